@@ -7,13 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing
+from . import bpe, merkle, packing, simhash, substring, warc
 from .common import table
 
 #: Vocabulary file of the queries; the operators take any path.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -22,9 +34,30 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE, with_ids=False)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_warc": op3_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_bpe": op9_bpe,
+    "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Digests in hexadecimal of payloads; archives come back as they were written.
+OP3_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as digest, coalesce(html, '') as payload from pages),
+k as (select payload, max(page_id) as kept from p where n >= 1000 group by payload)
+select p.page_id, p.n::bigint as payload_bytes, p.digest as payload_digest,
+    case when k.kept is null or k.kept = p.page_id then 'response' else 'revisit' end as record_type,
+    case when k.kept <> p.page_id then k.kept end as refers_to
+from p left join k using (payload)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_document_fingerprints": merkle.ORACLE_SQL,
+    "op3_warc": OP3_SQL,
+}

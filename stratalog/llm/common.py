@@ -94,3 +94,28 @@ def words_of(text):
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Remembered(dict):
+    """Results of a function of a word, for the words met lately.
+
+    Holds at most twice ``limit`` words: when ``limit`` new ones have come, what
+    was not asked for since the last such time is forgotten.  Words over 64
+    characters are not kept.
+    """
+
+    def __init__(self, function, limit: int):
+        super().__init__()
+        self.function, self.limit, self.before = function, limit, {}
+
+    def __missing__(self, word):
+        found = self.before.get(word)
+        if found is None:
+            found = self.function(word)
+            if len(word) > 64:
+                return found
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            self.clear()
+        self[word] = found
+        return found
