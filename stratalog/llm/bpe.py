@@ -22,8 +22,11 @@ kept out of the result) change nothing.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -41,11 +44,11 @@ END = "</w>"
 SHIFT = 0x10000
 
 
-def _class(major: str) -> str:
-    """Ranges of a major category by Python's own Unicode tables, which are as old as the library's; ``regex`` has newer ones."""
+def _class(*categories: str) -> str:
+    """Ranges of Unicode categories by Python's own tables, which are no newer than the library's; ``regex`` has newer ones."""
     out, first = [], None
     for c in range(0x110001):
-        inside = c < 0x110000 and unicodedata.category(chr(c))[0] == major
+        inside = c < 0x110000 and unicodedata.category(chr(c)).startswith(categories)
         if inside and first is None:
             first = c
         elif not inside and first is not None:
@@ -54,9 +57,17 @@ def _class(major: str) -> str:
     return "".join(out)
 
 
-LETTER, NUMBER = _class("L"), _class("N")
-#: Fixed value: the pattern that cuts normalised text into pieces.
-PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
+#: Fixed value: the pattern that cuts normalised text into pieces, with its letters (L), numbers (N) and spaces (S) spelled out.
+PIECES = "[{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{N}]|[^{S}{L}{N}]+"
+#: Spaces of Latin-1; its letters after lower-casing; its numbers.
+LATIN = {"L": "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "N": "0-9\xb2\xb3\xb9\xbc-\xbe", "S": "\t-\r \x85\xa0"}
+LATIN_PIECES = re.compile(PIECES.format(**LATIN))
+
+
+@functools.cache
+def wide_patterns() -> tuple[regex.Pattern, regex.Pattern]:
+    """Pieces of any text, and code points newer than Python's tables."""
+    return regex.compile(PIECES.format(L=_class("L"), N=_class("N"), S=r"\s")), regex.compile(f"[{_class('Cn')}]")
 
 
 def byte_symbols() -> list[str]:
@@ -122,23 +133,23 @@ class Vocabulary:
             until, token = self.made_at[token], parts[side]
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            known = True
-            for x, x_until in self._spine(left, 1):
-                for y, y_until in self._spine(right, 0):
-                    m = self.rank.get((x, y))
-                    # among equal ranks the leftmost merges first: the left side's own merge wins a tie, the right side's loses it
-                    if m is not None and m < x_until and m <= y_until:
-                        known = False
-            if len(self.pairs) >= 1_000_000:
-                self.pairs.clear()
-            self.pairs[left, right] = known
+        """Decides a pair and enters it in the table."""
+        known, inner = True, self._spine(right, 0)
+        for x, x_until in self._spine(left, 1):
+            for y, y_until in inner:
+                m = self.rank.get((x, y))
+                # among equal ranks the leftmost merges first: the left side's own merge wins a tie, the right side's loses it
+                if m is not None and m < x_until and m <= y_until:
+                    known = False
+        if len(self.pairs) >= 500_000:
+            self.pairs.clear()
+        self.pairs[left, right] = known
         return known
 
     def encode_piece(self, piece: str) -> list[int]:
         """Token ids of one piece of normalised text."""
-        return self.encode_symbols("".join([SYMBOLS[b] for b in piece.encode()]))
+        plain = piece.isascii() and piece.isalnum()  # then the stand-ins are the characters themselves
+        return self.encode_symbols(piece if plain else "".join([SYMBOLS[b] for b in piece.encode()]))
 
     def encode_symbols(self, symbols: str) -> list[int]:
         word = symbols[:-1] + chr(ord(symbols[-1]) + SHIFT)
@@ -146,24 +157,30 @@ class Vocabulary:
         longest = [-1] * (n + 1)
         for end, (token, size) in self.automaton.iter(word):
             longest[end - size + 1] = token  # ends ascend, so the longest comes last
+        if self.length[longest[0]] == n:
+            return [longest[0]]
+        length, shorter, pairs = self.length, self.shorter, self.pairs
         out: list[int] = []
-        dead = bytearray(n + 1)
-        at, token = 0, longest[0]
+        dead: set[int] = set()
+        at, token, before = 0, longest[0], -1
         while at < n:
             while token >= 0:
-                end = at + self.length[token]
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
-                    break
-                token = self.shorter[token]
+                end = at + length[token]
+                if end not in dead:
+                    fits = True if before < 0 else pairs.get((before, token))
+                    if fits is None:
+                        fits = self.compatible(before, token)
+                    if fits:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = end
-                token = longest[at]
+                at, before, token = end, token, longest[end]
             else:
-                dead[at] = 1
+                dead.add(at)
                 token = out.pop()
-                at -= self.length[token]
-                token = self.shorter[token]
+                at -= length[token]
+                before, token = out[-1] if out else -1, shorter[token]
         return out
 
     def cut_by_library(self, text: str) -> list[str]:
@@ -173,12 +190,6 @@ class Vocabulary:
         t = self.library[0]
         return [piece for piece, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))]
 
-    def normalise(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        if "Σ" in text:  # str.lower() would look at a sigma's neighbours
-            return "".join(c.lower() for c in text)
-        return text.lower()
-
     def decode(self, ids: np.ndarray) -> bytes:
         """Names of the tokens joined by a space, copied out of the buffer through the offset table."""
         if not len(ids):
@@ -193,43 +204,53 @@ class Vocabulary:
         return out.tobytes()
 
 
-class Encoder(dict):
-    """Words (cut at spaces and line feeds) to packed ids; at most ``limit`` words are remembered."""
+def pieces_of(text: str) -> list[str] | None:
+    """Pieces of a text without special tokens, normalised; None if some of its code points are newer than Python's tables."""
+    if in_latin_1(text):
+        return LATIN_PIECES.findall(normalise(text))
+    pieces, unknown = wide_patterns()
+    return None if unknown.search(text) else pieces.findall(normalise(text))
+
+
+class Encoder:
+    """Texts to packed ids; pieces met lately are remembered."""
 
     def __init__(self, vocabulary: Vocabulary, limit: int = 250_000):
-        super().__init__()
-        self.v, self.limit = vocabulary, limit
-        self.pieces: dict[str, bytes] = {}
+        self.v = vocabulary
+        self.pieces = common.Remembered(lambda piece: pack(self.v.encode_piece(piece)), limit)
 
-    def __missing__(self, word: str) -> bytes:
+    def encode(self, text: str) -> bytes:
+        """Ids of the whole text as little-endian unsigned 32-bit integers."""
         v, out = self.v, []
-        parts = v.special_split.split(word) if v.special_split and "<|" in word else [word]
-        for part in parts:
+        for part in v.special_split.split(text) if "<|" in text and v.special_split else [text]:
             if part in v.special:
-                out.append(v.special[part].to_bytes(4, "little"))
-                continue
-            if not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part):
-                out += [np.array(v.encode_symbols(x), dtype="<u4").tobytes() for x in v.cut_by_library(part)]
-                continue
-            for piece in PIECE.findall(v.normalise(part)):
-                ids = self.pieces.get(piece)
-                if ids is None:
-                    ids = np.array(v.encode_piece(piece), dtype="<u4").tobytes()
-                    if len(piece) <= 64:
-                        if len(self.pieces) >= self.limit:
-                            self.pieces.clear()
-                        self.pieces[piece] = ids
-                out.append(ids)
-        found = b"".join(out)
-        if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = found
-        return found
+                out.append(pack([v.special[part]]))
+            elif (pieces := pieces_of(part)) is not None:
+                out += map(self.pieces.__getitem__, pieces)
+            else:
+                out += [pack(v.encode_symbols(x)) for x in v.cut_by_library(part)]
+        return b"".join(out)
 
-    def encode(self, text: str) -> bytes:
-        """Ids of the whole text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+def normalise(text: str) -> str:
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    if "\u03a3" in text:  # str.lower() would look at a sigma's neighbours
+        return "".join(c.lower() for c in text)
+    return text.lower()
+
+
+def in_latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _encoders: dict[str, Encoder] = {}
