@@ -29,41 +29,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from . import common
+from . import bpe, common
 
 SEPARATOR = 0
 
 
-class WordIds(dict):
-    """Words (cut at spaces and line feeds) to the tokenizer's ids, packed; at most ``limit`` are remembered.
+class Ids:
+    """Texts to the tokenizer's ids, packed.
 
-    The tokenizer drops white space and never joins text across it, so words
-    can be encoded on their own; a test holds this against whole texts.
+    Text is cut into the tokenizer's pieces here, and each piece goes to the
+    tokenizer's model; pieces met lately are remembered.  A text with special
+    tokens or very new code points goes through the whole tokenizer.  A test
+    holds all of this against the tokenizer alone.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+    def __init__(self, path: str, limit: int = 250_000):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = common.Remembered(self._piece, limit)
 
-    def __missing__(self, word: str) -> bytes:
-        found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = found
-        return found
+    def _piece(self, piece: str) -> bytes:
+        return bpe.pack([t.id for t in self.tokenizer.model.tokenize("".join([bpe.SYMBOLS[b] for b in piece.encode()]))])
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        pieces = None if "<|" in text else bpe.pieces_of(text)
+        if pieces is None:
+            return bpe.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
 
-_words: dict[str, WordIds] = {}
+_tables: dict[str, Ids] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _words:
-        _words[path] = WordIds(path)
-    return _words[path]
+def ids_of(path: str) -> Ids:
+    if path not in _tables:
+        _tables[path] = Ids(path)
+    return _tables[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, with_ids: bool = False) -> DataFrame:
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, with_ids: bool = Fals
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_ids(tokenizer)
+        table = ids_of(tokenizer)
         tail = SEPARATOR.to_bytes(4, "little")
         for batch in batches:
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
