@@ -141,7 +141,7 @@ def references(rows: DataFrame, least_words: int) -> DataFrame:
     return good.groupBy("language").agg(F.array(*means[0]).alias("class_ref"), F.array(*means[1]).alias("word_ref"))
 
 
-def judge(docs: DataFrame, class_limit: float = 0.25, word_limit: float = 0.5, class_guard: int = 20, word_guard: int = 100, reference_words: int = 100) -> DataFrame:
+def judge(docs: DataFrame, class_limit: float = 0.25, word_limit: float = 0.35, class_guard: int = 20, word_guard: int = 100, reference_words: int = 100) -> DataFrame:
     """Base metrics, distances and the verdict (kept) of every document."""
     rows = common.materialise(metrics(docs), "quality")
     known = F.broadcast(references(rows, reference_words))  # at most five rows
