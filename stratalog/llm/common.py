@@ -6,13 +6,14 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, scratch  # noqa: F401  (used by the operators from here)
+
 #: Runs of anything but space, tab, LF, VT, FF and CR are words.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 BREAK_CHARS = " \t\n\x0b\x0c\r"
@@ -40,52 +41,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset and
-    the master is local (tests), a temporary folder is used instead.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not conf.get("spark.master", "").startswith("local") or "cluster" in conf.get("spark.master", ""):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = _local_dir()
-    return found.rstrip("/")
-
-
-_local: list[str] = []
-
-
-def _local_dir() -> str:
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="stratalog-shared-"))
-        atexit.register(shutil.rmtree, _local[0], True)
-    return "file://" + _local[0]
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the shared folder; it is removed when the application ends."""
-    path = f"{shared_dir(spark)}/stratalog-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
-
-    This cuts lineage: a lost executor costs at most the stage in flight, and a
-    table that is read several times is computed once.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words_of(text):
     """Column of the words of a text column; null and empty texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), WORD_BREAK)
