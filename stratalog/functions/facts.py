@@ -98,3 +98,8 @@ def empty(spark: SparkSession) -> DataFrame:
 
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def relationalise_columns(rows: DataFrame, subject: Column, relation: Column, obj: Column) -> DataFrame:
+    """One fact without attributes for each row, its relation from a column."""
+    return rows.select(subject.alias("subject"), relation.alias("relation"), obj.alias("object"), F.expr(NO_ATTRS).alias("attrs"), F.lit("").alias("attrs_key")).where("subject is not null and relation is not null and object is not null")
