@@ -1,2 +1,562 @@
+"""Analyses of closed facts, logs and records: graphs, revisions, causality, sources, declarations, governance, actions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import clocks, conditions
+from ..functions import facts as T
+from ..language import declarations as decl
+from ..language.names import relation_name as rel
+from ..language.program import parse
+from ..operators import actions, causal, events, governance, impact, revision
+from ..sources import embedded, records
+from . import data
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# ---- graphs
+
+EDGES = "edges as (select 'part.n' || p_partkey as a, 'part.n' || (p_partkey // 2) as b, 'rel.dependsOn' as r from part where p_partkey >= 2 union all select 'ring.n' || p_partkey, 'ring.n' || case when p_partkey % 100 = 3 then p_partkey - 2 else p_partkey + 1 end, 'rel.uses' from part where p_partkey % 100 in (1, 2, 3) and p_partkey > 100)"
+
+
+def _graph(spark, sf_dir) -> DataFrame:
+    return impact.graph(data.part_graph(spark, sf_dir))
+
+
+@query("dependency_edges", f"with {EDGES} select a as dependent, b as dependency, r as relation from edges")
+def dependency_edges(spark, sf_dir):
+    return impact.ordered(_graph(spark, sf_dir)).select("dependent", "dependency", "relation")
+
+
+@query(
+    "impact_distance",
+    f"with recursive {EDGES}, walk as (select 'part.n3' as origin, a as node, 1 as d, a || '#' || r || '@' || b as path from edges where b = 'part.n3' union all select w.origin, e.a, w.d + 1, w.path || ' ' || e.a || '#' || e.r || '@' || e.b from walk w join edges e on e.b = w.node) select origin, node, d::bigint as distance, case when d = 1 then 'direct' else 'transitive' end as kind, path from walk",
+)
+def impact_distance(spark, sf_dir):
+    found = impact.impact(_graph(spark, sf_dir), ["part.n3"])
+    path = F.array_join(F.transform("path", lambda p: F.concat(p["dependent"], F.lit("#"), p["relation"], F.lit("@"), p["dependency"])), " ")
+    return found.select("origin", "node", F.col("distance").cast("bigint").alias("distance"), "kind", path.alias("path"))
+
+
+@query("impact_rank", f"with recursive {EDGES}, walk as (select a as node, 1 as d, p as rank0, [p] as ranks from (select a, row_number() over (order by a) as p from edges where b = 'part.n5') union all select e.a, w.d + 1, 0, list_append(w.ranks, e.o) from walk w join (select a, b, row_number() over (partition by b order by a) as o from edges) e on e.b = w.node) select node, row_number() over (order by d, ranks)::bigint as rank from walk")
+def impact_rank(spark, sf_dir):
+    return impact.impact(_graph(spark, sf_dir), ["part.n5"]).select("node", "rank")
+
+
+@query("cyclic_nodes", f"with {EDGES} select distinct a as node from edges where a like 'ring.%'")
+def cyclic_nodes(spark, sf_dir):
+    return impact.cyclic_nodes(_graph(spark, sf_dir))
+
+
+@query(
+    "bounded_impact",
+    f"with recursive {EDGES}, walk as (select a as node, 1 as d from edges where b = 'part.n1' union all select e.a, w.d + 1 from walk w join edges e on e.b = w.node where w.d < 3) select node, d::bigint as distance from walk",
+)
+def bounded_impact(spark, sf_dir):
+    found, _ = impact.bounded(_graph(spark, sf_dir), ["part.n1"], max_depth=3)
+    return found.select("node", F.col("distance").cast("bigint").alias("distance"))
+
+
+@query("reverse_neighbours", f"with {EDGES} select a as node from edges where b = 'part.n7'")
+def reverse_neighbours(spark, sf_dir):
+    return impact.reverse(_graph(spark, sf_dir), "part.n7").select(F.col("dependent").alias("node"))
+
+
+# ---- revisions
+
+SNAP = "select 'user.u' || user_id as subject, max_by(event_type, event_id) as type, max(event_id) as revision from events where event_id <= {n} group by user_id"
+
+
+@query("snapshot_at", f"select * from ({SNAP.format(n=5000)}) where type <> 'error'")
+def snapshot_at(spark, sf_dir):
+    return revision.snapshot(data.event_log(spark, sf_dir), 5000).select("subject", T.typed(F.col("attrs"), "type", "text").alias("type"), "revision")
+
+
+@query("snapshot_latest", "select 'user.u' || user_id as subject, max_by(event_type, event_id) as type from events group by user_id having max_by(event_type, event_id) <> 'error'")
+def snapshot_latest(spark, sf_dir):
+    return revision.snapshot(data.event_log(spark, sf_dir)).select("subject", T.typed(F.col("attrs"), "type", "text").alias("type"))
+
+
+@query("latest_revision", "select max(event_id)::bigint as revision from events")
+def latest_revision(spark, sf_dir):
+    return revision.latest_revision(data.event_log(spark, sf_dir))
+
+
+@query("log_problems", "select 'duplicate_revision' as kind, count(*)::bigint as n from (select user_id, event_id % 100 from events group by all having count(*) > 1)")
+def log_problems(spark, sf_dir):
+    log = data.event_log(spark, sf_dir).withColumn("revision", F.col("revision") % 100)
+    return revision.problems(log).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("log_append", "select count(*)::bigint as rows, (select count(*) from events where event_id % 3 = 0)::bigint as rejected from events")
+def log_append(spark, sf_dir):
+    log = data.event_log(spark, sf_dir)
+    old = log.where("revision % 3 = 0")
+    grown, left = revision.append(old, log), revision.rejected(old, log)
+    return grown.agg(F.count("*").alias("rows")).crossJoin(left.agg(F.count("*").alias("rejected")))
+
+
+@query(
+    "drift",
+    f"with a as (select * from ({SNAP.format(n=3000)}) where type <> 'error'), b as (select * from ({SNAP.format(n=6000)}) where type <> 'error') select 'added' as change, b.subject from b left join a on a.subject = b.subject where a.subject is null union all select 'removed', a.subject from a left join b on a.subject = b.subject where b.subject is null",
+)
+def drift(spark, sf_dir):
+    none = F.expr(T.NO_ATTRS)
+    log = data.event_log(spark, sf_dir).withColumns({"attrs": none, "attrs_key": F.lit("")})
+    return revision.drift(log, 3000, 6000).select("change", "subject")
+
+
+def _batch(spark, sf_dir, low: int, high: int) -> DataFrame:
+    o = data.table(spark, sf_dir, "orders").where(F.col("o_orderkey").between(low, high))
+    facts = T.relationalise(o, T.node("order", F.col("o_orderkey")), rel("status"), F.concat(F.lit("value."), F.when(F.lit(low > 1) & (F.col("o_orderkey") % 7 == 0), F.lit("X")).otherwise(F.col("o_orderstatus"))))
+    return facts.withColumn("declaration", F.col("subject"))
+
+
+@query(
+    "batch_diff",
+    """with a as (select o_orderkey as k, o_orderstatus as v from orders where o_orderkey between 1 and 900), b as (select o_orderkey as k, case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end as v from orders where o_orderkey between 100 and 1200)
+    select 'order.n' || coalesce(a.k, b.k) as declaration, op, case when a.k is null then 'declaration_added' when b.k is null then 'declaration_removed' else 'declaration_changed' end as cause, 'value.' || case when op = 'assert' then b.v else a.v end as object
+    from a full join b on a.k = b.k cross join (values ('assert'), ('retract')) as ops(op) where a.v is distinct from b.v and case when op = 'assert' then b.v else a.v end is not null""",
+)
+def batch_diff(spark, sf_dir):
+    return revision.diff(_batch(spark, sf_dir, 1, 900), _batch(spark, sf_dir, 100, 1200)).select("declaration", "op", "cause", "object")
+
+
+@query("replay_matches", "select 0::bigint as differences")
+def replay_matches(spark, sf_dir):
+    log = data.event_log(spark, sf_dir)
+    return revision.replay_differences(log, revision.snapshot(log)).agg(F.count("*").alias("differences"))
+
+
+# ---- causality and clocks
+
+
+def _turn_edges(spark, sf_dir) -> DataFrame:
+    return data.turns(spark, sf_dir).select(F.col("subject").alias("left"), F.col("object").alias("right"))
+
+
+TURN = "select distinct conv_id, turn from conversations"
+
+
+@query("causal_before", f"with recursive t as ({TURN}), e as (select a.conv_id, a.turn as l, b.turn as r from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1), w as (select * from e union select w.conv_id, w.l, e.r from w join e on e.conv_id = w.conv_id and e.l = w.r) select 'turn.n' || conv_id || '.n' || l as \"left\", 'turn.n' || conv_id || '.n' || r as \"right\" from w")
+def causal_before(spark, sf_dir):
+    return causal.before(_turn_edges(spark, sf_dir))
+
+
+@query("causal_concurrent", f"with c as (select conv_id, max(turn) as last from ({TURN}) group by 1) select 'turn.n' || a.conv_id || '.n0' as \"left\", 'turn.n' || b.conv_id || '.n0' as \"right\" from c a join c b on a.conv_id // 10 = b.conv_id // 10 where 'turn.n' || a.conv_id || '.n0' < 'turn.n' || b.conv_id || '.n0'")
+def causal_concurrent(spark, sf_dir):
+    first = data.table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    members = first.select(F.concat(F.lit("turn.n"), F.col("conv_id").cast("string"), F.lit(".n0")).alias("event"), F.floor(F.col("conv_id") / 10).alias("block"))
+    return causal.concurrent_within(causal.before(_turn_edges(spark, sf_dir)), members, "block")
+
+
+def _clocked(spark, sf_dir) -> DataFrame:
+    """Events with clocks: each user counts own events; every fifth has heard of the user before it."""
+    e = data.table(spark, sf_dir, "events").where("user_id <= 40")
+    own = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    actor = lambda c: F.concat(F.lit("a"), c.cast("string"))
+    heard = F.when(F.col("event_id") % 5 == 0, F.create_map(actor(F.col("user_id")), own, actor(F.col("user_id") + 1000), F.floor(F.col("event_id") / 50).cast("int"))).otherwise(F.create_map(actor(F.col("user_id")), own))
+    return e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event"), "user_id", "event_id", heard.alias("vector"), own.alias("n"))
+
+
+@query(
+    "vector_before",
+    """with c as (select event_id, user_id, row_number() over (partition by user_id order by event_id) as n, case when event_id % 5 = 0 then event_id // 50 else 0 end as h from events where user_id <= 40)
+    select 'e' || a.event_id as "left", 'e' || b.event_id as "right" from c a join c b on a.user_id = b.user_id where a.n <= b.n and a.h <= b.h and (a.n < b.n or a.h < b.h)""",
+)
+def vector_before(spark, sf_dir):
+    return causal.edges_of_vector_clocks(_clocked(spark, sf_dir), "user_id")
+
+
+@query(
+    "vector_concurrent",
+    """with c as (select event_id, user_id, row_number() over (partition by user_id order by event_id) as n, case when event_id % 5 = 0 then event_id // 50 else 0 end as h from events where user_id <= 40)
+    select count(*)::bigint as n from c a join c b on a.user_id = b.user_id and a.event_id < b.event_id where not (a.n <= b.n and a.h <= b.h and (a.n < b.n or a.h < b.h)) and not (b.n <= a.n and b.h <= a.h and (b.n < a.n or b.h < a.h))""",
+)
+def vector_concurrent(spark, sf_dir):
+    c = _clocked(spark, sf_dir)
+    a, b = c.select("user_id", F.col("event_id").alias("i"), F.col("vector").alias("l")), c.select("user_id", F.col("event_id").alias("j"), F.col("vector").alias("r"))
+    return a.join(b, "user_id").where("i < j").where(clocks.vector_concurrent(F.col("l"), F.col("r"))).agg(F.count("*").alias("n"))
+
+
+@query("hlc_before", "select 'e' || a.event_id as \"left\", 'e' || b.event_id as \"right\" from events a join events b on a.user_id = b.user_id and epoch(a.ts)::bigint // 3600 <= epoch(b.ts)::bigint // 3600 where a.user_id <= 20 and (epoch(a.ts)::bigint // 3600 < epoch(b.ts)::bigint // 3600 or a.event_id % 7 < b.event_id % 7)")
+def hlc_before(spark, sf_dir):
+    wall = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
+    e = data.table(spark, sf_dir, "events").where("user_id <= 20").select("user_id", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event"), F.struct(F.lit("a").alias("actor"), wall.alias("wall"), (F.col("event_id") % 7).alias("logical")).alias("hybrid"))
+    a, b = e.select("user_id", F.col("event").alias("left"), F.col("hybrid").alias("l")), e.select("user_id", F.col("event").alias("right"), F.col("hybrid").alias("r"))
+    return a.join(b, "user_id").where(clocks.hybrid_before(F.col("l"), F.col("r"))).select("left", "right")
+
+
+@query("clock_consistency", f"with recursive t as ({TURN}), e as (select a.conv_id, a.turn as l, b.turn as r from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1), w as (select * from e union select w.conv_id, w.l, e.r from w join e on e.conv_id = w.conv_id and e.l = w.r) select 'turn.n' || conv_id || '.n' || l as \"left\", 'turn.n' || conv_id || '.n' || r as \"right\" from w where not l // 2 < r // 2")
+def clock_consistency(spark, sf_dir):
+    c = data.table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    clocked = c.select(F.concat(F.lit("turn.n"), F.col("conv_id").cast("string"), F.lit(".n"), F.col("turn").cast("string")).alias("event"), F.struct(F.lit("a").alias("actor"), F.floor(F.col("turn") / 2).alias("counter")).alias("lamport"))
+    return causal.inconsistent(causal.before(_turn_edges(spark, sf_dir)), clocked, "lamport")
+
+
+# ---- sources
+
+
+@query(
+    "records_to_facts",
+    "select relation, count(*)::bigint as n, count(distinct object)::bigint as objects from (select 'rel.ingestedRecord' as relation, 'value.record' as object from events union all select 'rel.observedFrom', 'datasource.stream' from events union all select 'rel.userId', 'value.' || user_id from events union all select 'rel.kindOf', 'value.' || event_type from events) group by 1",
+)
+def records_to_facts(spark, sf_dir):
+    found = records.to_facts(data.records(spark, sf_dir), "datasource:stream", 1)
+    return found.groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("object").alias("objects"))
+
+
+@query("metric_observations", "select 'metric.' || event_type as metric, count(*)::bigint as n, round(sum(value), 2) as total from events group by 1")
+def metric_observations(spark, sf_dir):
+    found = records.to_facts(data.records(spark, sf_dir), "datasource:stream", 1).where(F.col("relation") == rel("observed_from"))
+    value = F.coalesce(T.typed(F.col("attrs"), "value", "decimal"), T.typed(F.col("attrs"), "value", "integer").cast("double"))
+    return found.groupBy(F.col("subject").alias("metric")).agg(F.count("*").alias("n"), F.round(F.sum(value), 2).alias("total"))
+
+
+@query("import_rows", "with n as (select *, row_number() over (order by n_nationkey) - 1 as k from nation) select 'row.n' || k as subject, 'rel.name' as relation, 'value.' || replace(n_name, ' ', '_') as object from n union all select 'row.n' || k, 'rel.regionKey', 'value.' || n_regionkey from n")
+def import_rows(spark, sf_dir):
+    n = data.table(spark, sf_dir, "nation")
+    rows = n.select(F.col("n_nationkey").cast("bigint").alias("record_no"), F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region_key"))).alias("body"))
+    return records.import_rows(rows).select("subject", "relation", "object")
+
+
+@query("explicit_edges", "select 'e' || (event_id - 1) as \"left\", 'e' || event_id as \"right\" from events where event_id >= 1")
+def explicit_edges(spark, sf_dir):
+    e = data.table(spark, sf_dir, "events").where("event_id >= 1")
+    body = F.to_json(F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event_id"), F.array(F.concat(F.lit("e"), (F.col("event_id") - 1).cast("string"))).alias("before")))
+    return records.explicit_edges(e.select(F.col("event_id").alias("record_no"), body.alias("body")))
+
+
+@query(
+    "block_drift",
+    "select 'b' || p_partkey as block_id, case when p_partkey % 10 = 0 then 'removed' when p_partkey % 10 = 1 then 'added' else 'changed' end as change, case when p_partkey % 10 = 2 then 'text' else '' end as fields from part where p_partkey % 10 in (0, 1, 2)",
+)
+def block_drift(spark, sf_dir):
+    p = data.table(spark, sf_dir, "part")
+    block = lambda text: [F.concat(F.lit("b"), F.col("p_partkey").cast("string")).alias("block_id"), F.lit("f").alias("file"), F.lit("d").alias("declaration"), F.lit("c").alias("context"), text.alias("text")]
+    old = p.where("p_partkey % 10 <> 1").select(*block(F.col("p_name")))
+    new = p.where("p_partkey % 10 <> 0").select(*block(F.when(F.col("p_partkey") % 10 == 2, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))))
+    return embedded.drift(old, new).select("block_id", "change", F.concat_ws(",", "fields").alias("fields"))
+
+
+# ---- declarations
+
+UNIT = parse("""
+SERVICE api [uses=[db, cache], criticality=HIGH, environment=prod].
+SERVICE db [criticality=low].
+SERVICE cache [used_by=[web]].
+SERVICE web [provider=aws].
+PROVIDER aws [source="hashicorp/aws", engine=terraform].
+DATASOURCE feed [type=rest, format=json, poll_mode=interval].
+METRIC latency [source="p99 of api", unit=ms].
+LTS_ATOM door [states=#{open closed}, initial=closed, transitions={[closed push] [open], [open pull] [closed]}].
+""")
+
+
+@query(
+    "declaration_lowering",
+    """select * from (values ('service.api','rel.uses','service.db'), ('service.db','rel.usedBy','service.api'), ('service.api','rel.dependsOn','service.db'), ('service.api','rel.uses','service.cache'), ('service.cache','rel.usedBy','service.api'), ('service.api','rel.dependsOn','service.cache'),
+    ('service.cache','rel.usedBy','service.web'), ('service.web','rel.uses','service.cache'), ('service.web','rel.provider','provider.aws'), ('provider.aws','rel.providesFor','service.web')) as t(subject, relation, object)""",
+)
+def declaration_lowering(spark, sf_dir):
+    facts = T.from_atoms(spark, UNIT.facts())
+    return facts.where(F.col("relation").isin([rel(x) for x in ("uses", "used_by", "depends_on", "provider", "provides_for")])).select("subject", "relation", "object")
+
+
+@query("declaration_missing_refs", "select 'customer.n' || c_custkey as declaration, 'nation' as key from customer where c_nationkey >= 20")
+def declaration_missing_refs(spark, sf_dir):
+    c, n = data.table(spark, sf_dir, "customer"), data.table(spark, sf_dir, "nation").where("n_nationkey < 20")
+    refs = c.select(T.node("customer", F.col("c_custkey")).alias("declaration"), F.lit("nation").alias("key"), F.array(T.node("nation", F.col("c_nationkey"))).alias("options"))
+    return governance.missing_references(refs, n.select(T.node("nation", F.col("n_nationkey")).alias("entity"))).select("declaration", "key")
+
+
+@query("service_cycle", "select 'service.a' as declaration union all select 'service.b' union all select 'service.c'")
+def service_cycle(spark, sf_dir):
+    found = decl.issues([decl.parse(f"SERVICE {a} [uses={b}].", 1) for a, b in (("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"))])
+    return spark.createDataFrame([(i.declaration,) for i in found if i.kind == "dependency_cycle"], "declaration string")
+
+
+# ---- governance
+
+
+@query("relation_cardinality", "select * from (select 'rel.inRegion' as relation, count(*)::bigint as facts from nation union all select 'rel.inNation', (select count(*) from customer) + (select count(*) from supplier) union all select 'rel.placedBy', count(*) from orders union all select 'rel.status', count(*) from orders)")
+def relation_cardinality(spark, sf_dir):
+    return governance.cardinalities(data.places(spark, sf_dir).unionByName(data.orders(spark, sf_dir)))
+
+
+PACK = parse("""
+RULE located:
+IF ?c#in_nation@?n AND ?n#in_region@?r
+THEN ?c#in_area@?r.
+QUERY found:
+FIND ?c WHERE ?c#in_area@region:1.
+QUERY none:
+FIND ?c WHERE ?c#in_area@region:77.
+QUERY wide:
+FIND ?o ?r WHERE ?o#placed_by@?c AND ?c#in_nation@?n AND ?n#in_region@?r.
+QUERY_PACK base [queries=[found, none], must_return=[found, none]].
+DSL_PROFILE main [query_pack=base, planner_hint=high_selectivity_first].
+""")
+
+
+@query("must_return", "select 'found' as query, 'pass' as status, count(*)::bigint as rows from (select c_custkey from customer join nation on c_nationkey = n_nationkey where n_regionkey = 1 union all select s_suppkey from supplier join nation on s_nationkey = n_nationkey where n_regionkey = 1) union all select 'none', 'fail', 0")
+def must_return(spark, sf_dir):
+    rows = governance.check_packs(PACK, data.places(spark, sf_dir))
+    return spark.createDataFrame([(r["query"], r["status"], r["rows"]) for r in rows], "query string, status string, rows bigint")
+
+
+@query("plan_order", "select 'wide' as query, 'rel.inRegion,rel.inNation,rel.placedBy' as relations")
+def plan_order(spark, sf_dir):
+    plans = governance.plan_queries(PACK, data.places(spark, sf_dir).unionByName(data.orders(spark, sf_dir)))
+    order = lambda p: ",".join(a.split("#")[1].split("@")[0] for a in p["after"])
+    return spark.createDataFrame([(p["query"], order(p)) for p in plans if p["query"] == "wide"], "query string, relations string")
+
+
+STATUSES = "case p_partkey % 5 when 0 then 'ready' when 1 then 'verified' when 2 then 'draft' when 3 then 'in_progress' else 'proved' end"
+
+
+def _targets(spark, sf_dir) -> DataFrame:
+    p = data.table(spark, sf_dir, "part")
+    status = F.expr(STATUSES)
+    needs = F.when(F.col("p_partkey") >= 2, F.array(F.concat(F.lit("t"), F.floor(F.col("p_partkey") / 2).cast("string")))).otherwise(F.array().cast("array<string>"))
+    return p.select(F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("id"), F.lit("m").alias("module"), F.lit("f").alias("file"), F.col("p_name").alias("declaration"), status.alias("status"), F.col("p_size").cast("bigint").alias("priority"), needs.alias("dependencies"))
+
+
+TARGET_SQL = f"t as (select 't' || p_partkey as id, {STATUSES} as status, p_size::bigint as priority, case when p_partkey >= 2 then 't' || (p_partkey // 2) end as need from part), d as (select t.id, t.status, t.priority, concat_ws(',', case when t.status not in ('ready', 'in_progress') then 'status:' || t.status end, case when t.need is not null and n.id is null then 'missing:' || t.need when n.status not in ('verified', 'reviewed', 'proved') then 'dependency:' || t.need || ':' || n.status end) as reasons from t left join t n on n.id = t.need)"
+
+
+@query("schedule_plan", f"with {TARGET_SQL} select id, priority, reasons = '' as ready, reasons from d")
+def schedule_plan(spark, sf_dir):
+    return governance.schedule(_targets(spark, sf_dir)).select("id", "priority", "ready", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query("schedule_next", f"with {TARGET_SQL} select id, priority from d where reasons = '' order by priority desc, id limit 1")
+def schedule_next(spark, sf_dir):
+    return governance.schedule_next(_targets(spark, sf_dir)).select("id", "priority")
+
+
+@query("target_problems", "select 'missing' as kind, 't1->t0' as detail where false")
+def target_problems(spark, sf_dir):
+    return governance.target_problems(_targets(spark, sf_dir))
+
+
+def _contracts(spark, sf_dir) -> DataFrame:
+    """Parts as theorems: assumptions, guarantees, criticality and evidence by their keys."""
+    p = data.table(spark, sf_dir, "part").where("p_partkey <= 2000")
+    me, k = T.node("theorem", F.col("p_partkey")), F.col("p_partkey")
+    fact = lambda rows, relation, obj: T.relationalise(rows, me, rel(relation), obj)
+    return T.union([
+        fact(p, "kind", F.lit("entity.theorem")), fact(p.where("p_partkey % 3 = 0"), "requires_assumption", T.node("assumption", k)), fact(p.where("p_partkey % 4 = 0"), "requires_lemma", T.node("lemma", k)),
+        T.relationalise(p.where("p_partkey % 2 = 0"), T.node("assumption", k), rel("kind"), F.lit("entity.assumption")), T.relationalise(p, T.node("lemma", k), rel("kind"), F.lit("entity.lemma")),
+        fact(p.where("p_partkey % 5 <> 0"), "ensures", T.node("g", k)), fact(p.where("p_partkey % 7 = 0"), "criticality", F.lit("value.high")), fact(p.where("p_partkey % 14 = 0"), "proof_token", T.node("token", k)), fact(p.where("p_partkey % 11 = 0"), "unconditional", F.lit("value.true")),
+    ])
+
+
+@query(
+    "theorem_audit",
+    """select 'theorem.n' || k as theorem, concat_ws(',', case when k % 3 <> 0 and k % 4 <> 0 and k % 11 <> 0 then 'vacuous-contract' end, case when k % 5 = 0 then 'guarantee-missing' end, case when k % 3 = 0 and k % 2 <> 0 then 'missing-assumption:assumption.n' || k end, case when k % 7 = 0 and k % 14 <> 0 then 'proof-evidence-missing' end) as issues
+    from (select p_partkey as k from part where p_partkey <= 2000)""",
+)
+def theorem_audit(spark, sf_dir):
+    return governance.theorem_audit(_contracts(spark, sf_dir)).select("theorem", F.concat_ws(",", "issues").alias("issues"))
+
+
+@query(
+    "claim_audit",
+    """select 'claim.n' || k as claim, concat_ws(',', case when k % 4 = 0 then 'support-missing' when k % 4 = 3 then 'support-kind-missing:thing.n' || k end, case when k % 10 = 0 then 'external-claim-proof-boundary' end) as issues, case k % 4 when 0 then '' when 1 then 'kernel' when 2 then 'empirical' else 'unknown' end as classes
+    from (select p_partkey as k from part)""",
+)
+def claim_audit(spark, sf_dir):
+    p, k = data.table(spark, sf_dir, "part"), F.col("p_partkey")
+    me = T.node("claim", k)
+    facts = T.union([
+        T.relationalise(p, me, rel("kind"), F.lit("entity.claim")), T.relationalise(p.where("p_partkey % 4 <> 0"), me, rel("supported_by"), T.node("thing", k)), T.relationalise(p.where("p_partkey % 10 = 0"), me, rel("proved_claim"), F.lit("value.true")),
+        T.relationalise(p.where("p_partkey % 4 = 1"), T.node("thing", k), rel("kind"), F.lit("entity.theorem")), T.relationalise(p.where("p_partkey % 4 = 2"), T.node("thing", k), rel("kind"), F.lit("entity.dataset")),
+    ])
+    return governance.claim_audit(facts).select("claim", F.concat_ws(",", "issues").alias("issues"), F.concat_ws(",", F.transform("supports", lambda s: s["class"])).alias("classes"))
+
+
+@query(
+    "obligation_verdicts",
+    """with o as (select p_partkey as k, case p_partkey % 5 when 0 then 'open' when 1 then 'proved' when 2 then 'failed' when 3 then 'waived' else 'pending' end as status, case when p_partkey % 2 = 0 then 'lean4' else 'z3' end as tool, case when p_partkey % 3 = 0 then 'critical' else 'low' end as crit, p_partkey % 4 = 0 as evident, p_partkey % 7 <> 0 as waiver, p_partkey % 13 = 0 as strange from part)
+    select verdict, reason, count(*)::bigint as n from (select case when reason is not null then 'blocked' when status = 'failed' then 'violated' when status = 'proved' then 'satisfied' else 'waived' end as verdict, coalesce(reason, '-') as reason from (select *, case when strange then 'unknown-relation' when status = 'failed' then null
+        when status in ('open', 'pending') then case when tool <> 'lean4' and not evident then 'backend-unavailable-without-evidence' else 'obligation-not-discharged' end
+        when status = 'proved' then case when not evident then 'proved-status-requires-evidence' end when not waiver then 'waiver-reason-missing' when crit = 'critical' then 'critical-obligation-cannot-be-waived' end as reason from o)) group by 1, 2""",
+)
+def obligation_verdicts(spark, sf_dir):
+    p, k = data.table(spark, sf_dir, "part"), F.col("p_partkey")
+    rows = p.select(
+        T.node("po", k).alias("id"), F.when(k % 13 == 0, "rel.strange").otherwise("rel.refines").alias("relation"), F.lit("s").alias("statement"), F.when(k % 2 == 0, "lean4").otherwise("z3").alias("tool"),
+        F.expr("case p_partkey % 5 when 0 then 'open' when 1 then 'proved' when 2 then 'failed' when 3 then 'waived' else 'pending' end").alias("status"), F.when(k % 3 == 0, "critical").otherwise("low").alias("criticality"),
+        F.when(k % 4 == 0, F.array(F.lit("e"))).otherwise(F.array().cast("array<string>")).alias("evidence"), F.when(k % 7 != 0, F.lit("agreed")).alias("waiver_reason"),
+    )
+    audited = governance.obligation_audit(rows, spark.createDataFrame([("rel.refines",)], "relation string"))
+    return audited.groupBy("verdict", F.coalesce("reason", F.lit("-")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "proof_token_resolution",
+    "select case when k % 6 = 0 then 'missing' when k % 6 = 1 then 'ambiguous' when k % 6 = 2 then 'module_mismatch' when k % 6 = 3 then 'uses_sorry' when k % 12 = 4 then 'fingerprint_missing' else 'resolved' end as status, count(*)::bigint as n from (select p_partkey as k from part) group by 1",
+)
+def proof_token_resolution(spark, sf_dir):
+    p, k = data.table(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.concat(F.lit("d"), k.cast("string"))
+    tokens = p.select(F.concat(F.lit("t"), k.cast("string")).alias("id"), name.alias("declaration"), F.lit("m").alias("module"), F.lit("theorem").alias("kind"), F.lit("certified").alias("trust"))
+    event = lambda rows: rows.select(name.alias("declaration"), F.when(k % 6 == 2, "other").otherwise("m").alias("module"), F.lit("theorem").alias("kind"), F.lit("certified").alias("trust"), F.lit(True).alias("kernel_checked"), (k % 6 == 3).alias("uses_sorry"), F.when(k % 12 == 4, "").otherwise("x").alias("fingerprint"))
+    found = governance.resolve_tokens(tokens, event(p.where("p_partkey % 6 <> 0")).unionByName(event(p.where("p_partkey % 6 = 1"))))
+    return found.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "lock_compare",
+    "select 't' || k as token_id, case when k % 5 = 0 then 'unexpected' when k % 5 = 1 then 'missing' when k % 5 = 2 then 'fingerprint_changed' when k % 5 = 3 then 'unresolved' else 'unchanged' end as status from (select p_partkey as k from part)",
+)
+def lock_compare(spark, sf_dir):
+    p, k = data.table(spark, sf_dir, "part"), F.col("p_partkey")
+    row = lambda rows, print_, resolved: rows.select(F.concat(F.lit("t"), k.cast("string")).alias("token_id"), F.lit("d").alias("declaration"), F.lit("m").alias("module"), F.lit("theorem").alias("kind"), print_.alias("fingerprint"), resolved.alias("resolved"))
+    locked = row(p.where("p_partkey % 5 <> 0"), F.lit("x"), F.lit(True))
+    now = row(p.where("p_partkey % 5 <> 1"), F.when(k % 5 == 2, "y").otherwise("x"), k % 5 != 3)
+    return governance.compare_locks(locked, now)
+
+
+@query("type_errors", "select 'supplier.n' || s_suppkey as subject from supplier")
+def type_errors(spark, sf_dir):
+    facts = data.places(spark, sf_dir)
+    kinds = facts.select(F.explode(F.array("subject", "object")).alias("node")).distinct().withColumn("kind", F.substring_index("node", ".", 1))
+    signatures = spark.createDataFrame([(rel("in_region"), "nation", "region"), (rel("in_nation"), "customer", "nation")], "relation string, subject_kind string, object_kind string")
+    return governance.type_errors(facts, signatures, kinds).select("subject")
+
+
+MEASURES = "select case when l_linenumber % 2 = 0 then 'store' else 'query' end as component, case l_suppkey % 3 when 0 then 'a' when 1 then 'b' else 'c' end as candidate, case l_partkey % 4 when 0 then 'latency' when 1 then 'throughput' when 2 then 'safety' else 'effort' end as metric, l_discount * 10 as value, case when l_partkey % 4 = 3 then 0.2 else 0.5 + l_tax * 5 end as confidence, l_quantity::bigint as samples from lineitem"
+SCORES = f"with m as ({MEASURES}), g as (select component, candidate, metric, sum(value * confidence * samples) / sum(confidence * samples) as value, sum(confidence * samples) / sum(samples) as confidence, sum(samples) as samples from m group by 1, 2, 3), s as (select component, candidate, count(*)::bigint as metric_count, sum(w) as covered_weight, sum(w * value) / sum(w) as score from g join (values ('latency', 0.4), ('throughput', 0.3), ('safety', 0.2), ('effort', 0.1)) as t(metric, w) using (metric) where confidence >= 0.5 and samples >= 10 group by 1, 2)"
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    i = data.table(spark, sf_dir, "lineitem")
+    rows = i.select(F.expr("case when l_linenumber % 2 = 0 then 'store' else 'query' end").alias("component"), F.expr("case l_suppkey % 3 when 0 then 'a' when 1 then 'b' else 'c' end").alias("candidate"), F.expr("case l_partkey % 4 when 0 then 'latency' when 1 then 'throughput' when 2 then 'safety' else 'effort' end").alias("metric"), (F.col("l_discount") * 10).alias("value"), F.expr("case when l_partkey % 4 = 3 then 0.2D else 0.5D + l_tax * 5 end").alias("confidence"), F.col("l_quantity").cast("bigint").alias("samples"))
+    return governance.weighted_scores(rows, {"latency": 0.4, "throughput": 0.3, "safety": 0.2, "effort": 0.1}, 0.5, 10)
+
+
+@query("weighted_scores", f"{SCORES} select component, candidate, metric_count, round(covered_weight, 6)::double as covered_weight, round(score, 6) as score from s")
+def weighted_scores(spark, sf_dir):
+    return _scores(spark, sf_dir).select("component", "candidate", "metric_count", F.round("covered_weight", 6).alias("covered_weight"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "decision_margin",
+    f"{SCORES}, r as (select *, row_number() over (partition by component order by score desc, candidate) as n, lead(score) over (partition by component order by score desc, candidate) as second from s) select component, candidate as recommended, case when score - second < 0.001 then 'review_required' when candidate = 'a' then 'retain_current' else 'candidate_change' end as status, round(score - second, 6) as margin from r where n = 1",
+)
+def decision_margin(spark, sf_dir):
+    current = spark.createDataFrame([("store", "a"), ("query", "a")], "component string, current string")
+    return governance.decide_candidates(_scores(spark, sf_dir), current, 3, 0.001).select("component", "recommended", "status", F.round("margin", 6).alias("margin"))
+
+
+@query("condition_eval", "select c_custkey from customer where (not (c_acctbal > 5000 and c_nationkey < 10) or c_custkey / 3 >= 20 + 1.5) and not (c_nationkey = 7)")
+def condition_eval(spark, sf_dir):
+    c = data.table(spark, sf_dir, "customer")
+    return c.where(conditions.column("(c_acctbal > 5000 && c_nationkey < 10 -> c_custkey / 3 >= 20 + 1.5) && !(c_nationkey = 7)")).select("c_custkey")
+
+
+# ---- actions and events
+
+
+def _requests(spark, sf_dir) -> DataFrame:
+    """Orders as requests for action tokens; what is wrong with one follows from its key."""
+    o, k = data.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    yes = F.lit(True)
+    text = lambda p: F.concat(F.lit(p), k.cast("string"))
+    evidence = {e: (k % 11 != i) if i < 4 else yes for i, e in enumerate(actions.EVIDENCE)}
+    return o.select(
+        text("t").alias("token_id"), F.lit("task").alias("task_id"), F.concat(F.lit("agent"), (k % 9).cast("string")).alias("agent_id"), F.lit("m").alias("module"), F.lit("r1").alias("base_revision"), F.when(k % 13 == 0, "r2").otherwise("r1").alias("current_revision"), F.lit("s").alias("scope"), text("l").alias("lease_id"),
+        F.when(k % 17 == 0, "sha256:zz").otherwise(F.concat(F.lit("sha256:"), F.sha2(k.cast("string"), 256))).alias("context_bundle_id"), F.lit(100).cast("bigint").alias("now"), (k % 50).cast("bigint").alias("ttl_seconds"),
+        F.concat(F.lit("agent"), (k % 9).cast("string")).alias("lease_agent"), F.lit("m").alias("lease_module"), F.lit("s").alias("lease_scope"), F.lit("r1").alias("lease_base_revision"), (k % 19 != 0).alias("lease_active"), F.lit(120).cast("bigint").alias("lease_expires_at"),
+        F.lit("edit").alias("action_type"), text("n").alias("target"), F.array(F.lit("p1"), F.lit("p2")).alias("required_postconditions"), F.when(k % 23 == 0, "none").otherwise("rollback").alias("rollback_kind"), F.lit("ref").alias("rollback_reference"), *[v.alias(n) for n, v in evidence.items()],
+    )
+
+
+FAILURES = "concat_ws(',', case when k % 11 = 0 then 'context-fresh' end, case when k % 11 = 1 then 'context-complete' end, case when k % 11 = 2 then 'no-critical-conflict' end, case when k % 11 = 3 then 'authorized' end, case when k % 13 = 0 then 'context-stale' end, case when k % 19 = 0 then 'lease-inactive' end, case when k % 50 = 0 then 'invalid-token-ttl' end, case when k % 17 = 0 then 'invalid-context-bundle-id' end, case when k % 23 = 0 then 'missing-rollback' end)"
+
+
+@query("token_failures", f"select 't' || k as token_id, f as failures, case when f = '' then least(100 + k % 50, 120) end as expires_at from (select k, {FAILURES} as f from (select o_orderkey as k from orders))")
+def token_failures(spark, sf_dir):
+    return actions.issue_tokens(_requests(spark, sf_dir)).select("token_id", F.concat_ws(",", "failures").alias("failures"), "expires_at")
+
+
+def _life(spark, sf_dir) -> DataFrame:
+    issued = actions.issue_tokens(_requests(spark, sf_dir))
+    k = F.substring("token_id", 2, 20).cast("bigint")
+    points = issued.where(k % 2 == 0).select("token_id", F.concat(F.lit("c"), k.cast("string")).alias("checkpoint_id"), F.when(k % 10 == 0, "nobody").otherwise(F.col("agent_id")).alias("agent_id"), F.lit("r1").alias("current_revision"), F.concat(F.lit("sha256:"), F.sha2("token_id", 256)).alias("snapshot_digest"), F.lit(101).cast("bigint").alias("now"))
+    none = F.array().cast("array<struct<artifact:string,hash:string>>")
+    runs = issued.where(k % 4 == 0).select("token_id", F.concat(F.lit("a"), k.cast("string")).alias("action_id"), F.concat(F.lit("c"), k.cast("string")).alias("checkpoint_id"), F.lit("r1").alias("current_revision"), F.lit(102).cast("bigint").alias("now"), F.lit(True).alias("store_integrity"), F.col("lease_agent"), "lease_module", "lease_scope", "lease_base_revision", F.lit(True).alias("lease_active"), F.lit(120).cast("bigint").alias("lease_expires_at"), none.alias("outputs"))
+    return actions.token_life(issued, points, runs)
+
+
+LIFE = f"l as (select k, case when f <> '' then 'denied' when k % 2 <> 0 or k % 10 = 0 or 101 >= least(100 + k % 50, 120) then 'issued' when k % 4 = 0 and 102 < least(100 + k % 50, 120) then 'consumed' else 'checkpointed' end as state from (select k, {FAILURES} as f from (select o_orderkey as k from orders)))"
+
+
+@query("token_life", f"with {LIFE} select 't' || k as token_id, state from l")
+def token_life(spark, sf_dir):
+    return _life(spark, sf_dir).select("token_id", "state")
+
+
+@query(
+    "recovery_outcome",
+    f"with {LIFE} select 't' || k as token_id, case when state <> 'consumed' then 'lifecycle-invalid' when k % 3 = 0 then case when k % 8 = 0 then case when k % 16 = 0 then 'recovery-failed' else 'recovered' end else 'recovery-required' end else case when k % 8 = 0 then 'recovery-failed' else 'verified' end end as outcome from l",
+)
+def recovery_outcome(spark, sf_dir):
+    life, asked = _life(spark, sf_dir), _requests(spark, sf_dir)
+    tokens = life.join(asked.select("token_id", "required_postconditions", F.lit("rollback").alias("rollback_kind"), "rollback_reference"), "token_id")
+    k = F.substring("token_id", 2, 20).cast("bigint")
+    seen = asked.select("token_id", F.explode(F.array(F.lit("p1"), F.lit("p2"))).alias("name")).withColumns({"passed": ~((F.col("name") == "p2") & (k % 3 == 0)), "evidence": F.lit("e")})
+    undone = asked.where(k % 8 == 0).select("token_id", F.lit("rollback").alias("kind"), F.lit("ref").alias("reference"), (k % 16 != 0).alias("completed"), F.lit("e").alias("evidence"))
+    return actions.recovery_audit(tokens, seen, undone).select("token_id", "outcome")
+
+
+@query("lease_overlaps", "with l as (select o_orderkey as k, o_custkey as c, o_orderkey % 1000 as a, o_orderkey % 1000 + 200 as b from orders) select distinct 'l' || x.k as lease_id from l x join l y on x.c = y.c and (y.a < x.a or (y.a = x.a and 'l' || y.k < 'l' || x.k)) and x.a < y.b")
+def lease_overlaps(spark, sf_dir):
+    o, k = data.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    rows = o.select(F.concat(F.lit("l"), k.cast("string")).alias("lease_id"), F.lit("m").alias("module"), F.col("o_custkey").cast("string").alias("scope"), (k % 1000).alias("starts_at"), (k % 1000 + 200).alias("expires_at"), F.lit(True).alias("active"))
+    return actions.overlapping_leases(rows).select("lease_id")
+
+
+def _stream(spark, sf_dir) -> DataFrame:
+    e, k = data.table(spark, sf_dir, "events"), F.col("event_id")
+    kinds = F.array(*[F.lit(x) for x in events.WORKFLOW_TYPES], F.lit("other"))
+    payload = F.to_json(F.struct(F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("w"), (F.col("user_id") % 40).cast("string"))).alias("workflow_id"), F.col("props").alias("props")))
+    return e.select(F.concat(F.lit("s"), (F.col("user_id") % 16).cast("string")).alias("stream"), k.alias("order"), F.concat(F.lit("e"), k.cast("string")).alias("event_id"), F.get(kinds, (k % 10).cast("int")).alias("event_type"), F.concat(F.lit("a"), (k % 5).cast("string")).alias("actor"), F.concat(F.lit("r"), (F.col("user_id") % 7).cast("string")).alias("request_id"), payload.alias("payload"))
+
+
+@query("event_chain_verify", "select 's' || (user_id % 16) as stream, count(*)::bigint as events, 0::bigint as gaps, 0::bigint as broken_links, true as ok from events group by 1")
+def event_chain_verify(spark, sf_dir):
+    return events.verify_chain(events.chain(_stream(spark, sf_dir))).select("stream", "events", "gaps", "broken_links", "ok")
+
+
+@query("event_receipts", "select 's' || (user_id % 16) as stream, 1::bigint as first_revision, count(*)::bigint as last_revision, count(*)::bigint as events from events group by 1")
+def event_receipts(spark, sf_dir):
+    return events.receipts(events.chain(_stream(spark, sf_dir))).select("stream", "first_revision", "last_revision", "events")
+
+
+@query("workflow_projection", "with e as (select *, case when user_id % 3 <> 0 then 'w' || (user_id % 40) else 'r' || (user_id % 7) end as w from events where event_id % 10 <> 9) select w as workflow_id, count(*)::bigint as observation_count, max(event_id)::bigint as last_revision, string_agg(distinct 'a' || (event_id % 5), ',' order by 'a' || (event_id % 5)) as actors from e group by 1")
+def workflow_projection(spark, sf_dir):
+    rows = _stream(spark, sf_dir).withColumn("revision", F.col("order"))
+    return events.workflow_projection(rows).select("workflow_id", "observation_count", "last_revision", F.concat_ws(",", "actors").alias("actors"))
+
+
+@query("report_compare", "select case when k % 3 = 0 then 'left' else 'right' end as side, count(*)::bigint as n from (select p_partkey as k from part) where k % 3 in (0, 1) group by 1")
+def report_compare(spark, sf_dir):
+    p = data.table(spark, sf_dir, "part").select(F.lit("s").alias("section"), F.concat(F.lit("line "), F.col("p_partkey").cast("string")).alias("line"), "p_partkey")
+    return governance.compare_reports(p.where("p_partkey % 3 <> 1"), p.where("p_partkey % 3 <> 0")).groupBy("side").agg(F.count("*").alias("n"))

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..language.names import NAMESPACE
-from ..storage import materialise
-from .fixpoint import Closure  # noqa: F401  (a graph is made of its facts)
+from ..storage import materialise, scratch
 
 #: Fixed value: relations whose subject depends on their object.
 POLICY = [f"{NAMESPACE}.{r}" for r in ("dependsOn", "uses", "requires", "validates", "implements", "formalizes", "supports")]
@@ -37,10 +36,10 @@ def reachable(edges: DataFrame, doubling: bool = True) -> DataFrame:
     delta = total
     while not delta.isEmpty():
         step = total if doubling else edges.select("a", "b").distinct()
-        right = step.withColumnsRenamed({"a": "b", "b": "c"})
-        made = delta.join(right, "b").select("a", F.col("c").alias("b"))
+        onward = lambda df: df.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        made = delta.join(onward(step), "b").select("a", F.col("c").alias("b"))
         if doubling:
-            made = made.unionByName(total.join(delta.withColumnsRenamed({"a": "b", "b": "c"}), "b").select("a", F.col("c").alias("b")))
+            made = made.unionByName(total.join(onward(delta), "b").select("a", F.col("c").alias("b")))
         delta = materialise(made.distinct().join(total, ["a", "b"], "left_anti"), "paths")
         total = materialise(total.unionByName(delta), "paths")
     return total
@@ -79,8 +78,15 @@ def impact(edges: DataFrame, changed: list[str] | DataFrame, max_depth: int | No
     spark = edges.sparkSession
     step = "struct<dependent:string,dependency:string,relation:string>"
     start = changed if isinstance(changed, DataFrame) else spark.createDataFrame([(c,) for c in dict.fromkeys(changed)], "node string")
-    seen = materialise(start.select(F.col("node").alias("origin"), "node", F.lit(0).alias("distance"), F.lit(0).cast("bigint").alias("rank"), F.array().cast(f"array<{step}>").alias("path")).distinct(), "impact")
-    frontier, depth = seen, 0
+    root = scratch(spark, "impact")
+    edges = materialise(edges, "edges")
+    frontier = materialise(start.select(F.col("node").alias("origin"), "node", F.lit(0).alias("distance"), F.lit(0).cast("bigint").alias("rank"), F.array().cast(f"array<{step}>").alias("path")).distinct(), "impact", f"{root}/level=0")
+    schema, depth = frontier.schema, 0
+
+    def met_so_far() -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{root}/level={i}" for i in range(depth + 1)])
+
+    seen = frontier
     while max_depth is None or depth < max_depth:
         depth += 1
         left = frontier.withColumnsRenamed({"node": "dependency", "rank": "parent_rank", "path": "parent_path"}).drop("distance")
@@ -93,10 +99,10 @@ def impact(edges: DataFrame, changed: list[str] | DataFrame, max_depth: int | No
         new = new.select("origin", F.col("dependent").alias("node"), F.lit(depth).alias("distance"), (F.col("__next") + F.col("__at") - 1).cast("bigint").alias("rank"), F.concat("parent_path", F.array(F.struct("dependent", "dependency", "relation").cast(step))).alias("path"))
         if max_nodes is not None:
             new = new.where(F.col("rank") <= max_nodes)
-        frontier = materialise(new, "impact")
+        frontier = materialise(new, "impact", f"{root}/level={depth}")
+        seen = met_so_far()
         if frontier.isEmpty():
             break
-        seen = materialise(seen.unionByName(frontier), "impact")
     return seen.where("distance > 0").withColumn("kind", F.when(F.col("distance") == 1, "direct").otherwise("transitive"))
 
 
