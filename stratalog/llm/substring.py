@@ -28,6 +28,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +48,46 @@ FINISHER = 0xD6E8FEB86659FD93
 GATHER = 150_000
 
 
-_hashes = common.Remembered(xxhash.xxh64_intdigest, 200_000)
+#: Bytes that are hashed at once, and the powers of the hash's base for them; the base is odd, so it has an inverse modulo 2**64.
+CHUNK = 1 << 17
+BASE = 0x5851F42D4C957F2D
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+def _powers(base: int) -> np.ndarray:
+    out = np.full(CHUNK + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return out.cumprod(dtype=np.uint64)
+
+
+POWERS, INVERSES = _powers(BASE), _powers(pow(BASE, -1, 1 << 64))
+
+
+def hash_words(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words joined by one space: a 64-bit hash, begin and end of each.
+
+    A word's hash is the polynomial of its bytes, a difference of running sums;
+    so all words of a chunk are hashed by a few operations on its bytes.
+    """
+    a = np.frombuffer(joined, dtype=np.uint8)
+    space = np.flatnonzero(a == 32)
+    begin, end = np.concatenate([[0], space + 1]), np.concatenate([space, [len(a)]])
+    out = np.empty(len(begin), dtype=np.uint64)
+    i = 0
+    while i < len(begin):
+        base = begin[i]
+        j = int(np.searchsorted(end, base + CHUNK, side="right"))
+        if j == i:  # one word of more than a chunk
+            out[i] = xxhash.xxh64_intdigest(joined[base : end[i]])
+            i += 1
+            continue
+        part = a[base : end[j - 1]].astype(np.uint64)
+        part += np.uint64(1)
+        part *= POWERS[: len(part)]
+        sums = np.concatenate([[np.uint64(0)], part.cumsum(dtype=np.uint64)])
+        x, y = begin[i:j] - base, end[i:j] - base
+        out[i:j] = (sums[y] - sums[x]) * INVERSES[x]
+        i = j
+    return out, begin, end
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
@@ -83,9 +119,9 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(least[: len(h) - w + 1], least[w - size :][: len(h) - w + 1]) if size < w else least
 
 
-def stretches(words: list[bytes], k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stretches(hashes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Minimiser, first window and number of windows of each stretch of a document of at least k words."""
-    least = sliding_min(rolling(hash_words(words), m), k - m + 1)
+    least = sliding_min(rolling(hashes, m), k - m + 1)
     begin = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     return least[begin], begin, np.diff(np.concatenate([begin, [len(least)]]))
 
@@ -100,8 +136,8 @@ def pack_blob(rows: list[tuple[int, int, int, int, bytes]], compressor: zstandar
     return struct.pack("<I", windows) + compressor.compress(head + b"".join(a.tobytes() for a in arrays) + b" ".join([r[4] for r in rows]))
 
 
-def unpack_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """doc_id, checksum, first window, windows of each stretch; all words in a row."""
+def unpack_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """doc_id, checksum, first window, windows of each stretch; all words joined by a space."""
     raw = zstandard.ZstdDecompressor().decompress(memoryview(blob)[4:])
     n, d = struct.unpack_from("<II", raw)
     at = 8
@@ -110,47 +146,65 @@ def unpack_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         out.append(np.frombuffer(raw, kind, count, at))
         at += out[-1].nbytes
     place = out[2]
-    return out[0][place], out[1][place].astype(np.int64), out[3].astype(np.int64), out[4].astype(np.int64), raw[at:].split(b" ")
-
-
-def find_repeats(doc: np.ndarray, check: np.ndarray, start: np.ndarray, count: np.ndarray, words: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of the stretches, in order: is it a repeat; and its hash."""
-    size = count + k - 1
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    total = int(count.sum())
-    row = np.repeat(np.arange(len(count)), count)
-    inner = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-    place = first[row] + inner
-    key = rolling(hash_words(words), k)[place]
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    met = np.zeros(total, dtype=bool)
+    return out[0][place], out[1][place].astype(np.int64), out[3].astype(np.int64), out[4].astype(np.int64), raw[at:]
+
+
+@dataclass
+class Windows:
+    """The windows of some stretches, in order: the stretch, the place in it, bytes from and to, hash."""
+
+    row: np.ndarray
+    inner: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    key: np.ndarray
+    joined: bytes
+
+    @classmethod
+    def of(cls, count: np.ndarray, joined: bytes, k: int) -> "Windows":
+        first = np.cumsum(count + k - 1) - (count + k - 1)
+        row = np.repeat(np.arange(len(count)), count)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        place = first[row] + inner
+        hashes, begin, end = hash_words(joined)
+        return cls(row, inner, begin[place], end[place + k - 1], rolling(hashes, k)[place], joined)
+
+    def text(self, i: int) -> bytes:
+        return self.joined[self.begin[i] : self.end[i]]
+
+
+def find_repeats(doc: np.ndarray, check: np.ndarray, start: np.ndarray, w: Windows) -> np.ndarray:
+    """For every window: does it start earlier as well?"""
+    order = np.argsort(w.key, kind="stable")
+    same = w.key[order][1:] == w.key[order][:-1]
+    met = np.zeros(len(order), dtype=bool)
     met[1:] |= same
     met[:-1] |= same
-    repeat = np.zeros(total, dtype=bool)
+    repeat = np.zeros(len(order), dtype=bool)
     some = order[met]
     if not len(some):
-        return repeat, key
-    r = row[some]
-    at = start[r] + inner[some]
-    some = some[(by := np.lexsort((at, check[r], doc[r], key[some])))]
-    r, at = r[by], at[by]
-    new = np.concatenate([[True], key[some][1:] != key[some][:-1]])
+        return repeat
+    r = w.row[some]
+    at = start[r] + w.inner[some]
+    by = np.lexsort((at, check[r], doc[r], w.key[some]))
+    some, r, at = some[by], r[by], at[by]
+    new = np.concatenate([[True], w.key[some][1:] != w.key[some][:-1]])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))
-    later = (doc[r] != doc[r[lead]]) | (check[r] != check[r[lead]]) | (at != at[lead])
+    repeat[some] = (doc[r] != doc[r[lead]]) | (check[r] != check[r[lead]]) | (at != at[lead])
+    # equal hashes: the words decide
     odd: dict[int, list[int]] = {}
-    text_at = place[some].tolist()
-    lead = lead.tolist()
-    wrong = [i for i in np.flatnonzero(~new).tolist() if words[text_at[i] : text_at[i] + k] != words[text_at[lead[i]] : text_at[lead[i]] + k]]
-    repeat[some] = later
-    for i in wrong:  # equal hash, other words: rare, and told apart by the words
-        odd.setdefault(lead[i], []).append(i)
+    head, first = b"", -1
+    for i, f in zip(np.flatnonzero(~new).tolist(), lead[~new].tolist()):
+        if f != first:
+            head, first = w.text(some[f]), f
+        if w.text(some[i]) != head:
+            odd.setdefault(f, []).append(i)
     for members in odd.values():
-        firsts: dict[tuple[bytes, ...], int] = {}
+        firsts: dict[bytes, int] = {}
         for i in members:
-            f = firsts.setdefault(tuple(words[text_at[i] : text_at[i] + k]), i)
+            f = firsts.setdefault(w.text(some[i]), i)
             repeat[some[i]] = (doc[r[i]], check[r[i]], at[i]) != (doc[r[f]], check[r[f]], at[f])
-    return repeat, key
+    return repeat
 
 
 #: Rows on their way: repeats that are settled (blob is null), or a blob for a bucket.  Every row has a bucket, by which it is dealt.
@@ -211,10 +265,9 @@ def cut(docs: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
                     continue
                 check = zlib.crc32(data)
                 joined = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-                least, begin, count = stretches(words, k, m)
-                left = np.where(begin > 0, ends[begin - 1], 0).tolist()
-                right = (ends[begin + count + k - 2] - 1).tolist()
+                hashes, from_byte, to_byte = hash_words(joined)
+                least, begin, count = stretches(hashes, k, m)
+                left, right = from_byte[begin].tolist(), to_byte[begin + count + k - 2].tolist()
                 for bucket, a, n, x, y in zip((least % np.uint64(buckets)).tolist(), begin.tolist(), count.tolist(), left, right):
                     packed = joined[x:y]
                     known = seen.get(packed)
@@ -244,25 +297,19 @@ def settle(rows: DataFrame, k: int, limit: int, buckets: int, next_buckets: int)
     def part(held: list[bytes], whole: bool) -> Iterator[pa.RecordBatch]:
         parts = [unpack_blob(b) for b in held]
         doc, check, start, count = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        words = [w for p in parts for w in p[4]]
-        repeat, key = find_repeats(doc, check, start, count, words, k)
-        row = np.repeat(np.arange(len(count)), count)
-        inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        w = Windows.of(count, b" ".join([p[4] for p in parts]), k)
+        repeat = find_repeats(doc, check, start, w)
         hit = np.flatnonzero(repeat)
         if len(hit):
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)]))
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(w.row[hit]) != 0)]))
             first = hit[new]
-            r = row[first]
-            yield settled_batch(doc[r], check[r], start[r] + inner[first], np.diff(np.concatenate([new, [len(hit)]])), buckets)
+            r = w.row[first]
+            yield settled_batch(doc[r], check[r], start[r] + w.inner[first], np.diff(np.concatenate([new, [len(hit)]])), buckets)
         if not whole:  # the earliest of each kind in this part goes on alone, to a bucket by its own hash
-            at = np.cumsum(count + k - 1) - (count + k - 1)
-
-            def rest() -> Iterator[tuple[int, tuple[int, int, int, int, bytes]]]:
-                for i in np.flatnonzero(~repeat).tolist():
-                    r, w = row[i], int(at[row[i]] + inner[i])
-                    yield int(key[i]) % next_buckets, (int(doc[r]), int(check[r]), int(start[r] + inner[i]), 1, b" ".join(words[w : w + k]))
-
-            yield from send(rest())
+            yield from send(
+                (int(w.key[i]) % next_buckets, (int(doc[r]), int(check[r]), int(start[r] + w.inner[i]), 1, w.text(i)))
+                for i, r in ((i, w.row[i]) for i in np.flatnonzero(~repeat).tolist())
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, windows, whole = None, [], 0, True
@@ -292,7 +339,7 @@ def settle(rows: DataFrame, k: int, limit: int, buckets: int, next_buckets: int)
     return dealt.mapInArrow(run, ROW)
 
 
-def repeats(docs: DataFrame, k: int = 20, m: int = 4, limit: int = 1_000_000, bucket_bytes: int = 1_000_000) -> DataFrame:
+def repeats(docs: DataFrame, k: int = 20, m: int = 4, limit: int = 1_000_000, bucket_bytes: int = 200_000) -> DataFrame:
     """doc, check, start, windows: stretches of windows that also start earlier.
 
     ``docs`` has doc_id and text.  There is one bucket for each ``bucket_bytes``
@@ -300,7 +347,7 @@ def repeats(docs: DataFrame, k: int = 20, m: int = 4, limit: int = 1_000_000, bu
     """
     common.ship(docs.sparkSession)
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(64, min(size // bucket_bytes, 1 << 20))
+    buckets = max(64, min(size // bucket_bytes, 1 << 24))
     slim = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text")
     rows, out = cut(slim, k, m, buckets), None
     while True:
