@@ -126,3 +126,22 @@ def may_execute(workflows: DataFrame) -> DataFrame:
     c = F.col
     test = c("token_issued") & c("checkpointed") & ~c("consumed") & (c("checkpoint_revision") == c("current_revision")) & c("store_integrity")
     return workflows.withColumn("may_execute", F.coalesce(test, F.lit(False)))
+
+
+def recovery_of_facts(facts: DataFrame, request: str) -> dict:
+    """The recovery audit of one request node from its facts: state, required, postconditionEvent and recoveryEvent."""
+    from ..functions import facts as T
+    from ..language.names import NAMESPACE
+
+    own = facts.where(F.col("subject") == request)
+    of = lambda name: own.where(F.col("relation") == f"{NAMESPACE}.{name}")
+    a = F.col("attrs")
+    state = of("tokenState").select(F.substring_index("object", ".", -1).alias("state"), T.typed(a, "rollback_kind", "text").alias("rollback_kind"), T.typed(a, "rollback_reference", "text").alias("rollback_reference"))
+    required = of("requiresPostcondition").agg(F.sort_array(F.collect_set(F.regexp_replace("object", "^post\\.", ""))).alias("required_postconditions"))
+    tokens = state.crossJoin(required).withColumn("token_id", F.lit(request))
+    seen = of("postconditionEvent").select(F.lit(request).alias("token_id"), F.regexp_replace("object", "^post\\.", "").alias("name"), T.typed(a, "passed", "boolean").alias("passed"), T.typed(a, "evidence", "text").alias("evidence"))
+    undone = of("recoveryEvent").select(F.lit(request).alias("token_id"), T.typed(a, "kind", "text").alias("kind"), T.typed(a, "reference", "text").alias("reference"), T.typed(a, "completed", "boolean").alias("completed"), T.typed(a, "evidence", "text").alias("evidence"))
+    row = recovery_audit(tokens, seen, undone).first()
+    if row is None:
+        raise ValueError(f"{request} has no token state")
+    return row.asDict()
