@@ -145,3 +145,36 @@ def recovery_of_facts(facts: DataFrame, request: str) -> dict:
     if row is None:
         raise ValueError(f"{request} has no token state")
     return row.asDict()
+
+
+def preflight(requests: DataFrame, grants: DataFrame, leases: DataFrame, checkpoints: DataFrame, heads: DataFrame) -> DataFrame:
+    """``requests`` with failures and allowed, judged against what is stored.
+
+    Requests: request_id, agent_id, module, base_revision, scope, lease_id,
+    checkpoint_id, now, preconditions_pass, rollback_kind, rollback_reference.
+    Grants: agent_id, scope.  Leases: lease_id, agent_id, module, scope,
+    base_revision, expires_at, active.  Checkpoints: checkpoint_id, module,
+    revision.  Heads: module, revision, store_integrity.
+    """
+    q = requests.alias("q")
+    g = grants.select("agent_id", "scope").distinct().withColumn("granted", F.lit(True)).alias("g")
+    rows = q.join(g, (F.col("q.agent_id") == F.col("g.agent_id")) & (F.col("q.scope") == F.col("g.scope")), "left")
+    rows = rows.join(leases.alias("l"), F.col("q.lease_id") == F.col("l.lease_id"), "left").join(checkpoints.alias("k"), F.col("q.checkpoint_id") == F.col("k.checkpoint_id"), "left").join(heads.alias("h"), F.col("q.module") == F.col("h.module"), "left")
+    c = F.col
+    lease = (c("l.agent_id") == c("q.agent_id")) & (c("l.module") == c("q.module")) & (c("l.scope") == c("q.scope")) & (c("l.base_revision") == c("q.base_revision")) & c("l.active") & (c("l.expires_at") > c("q.now"))
+    failures = _failures([
+        ("store-replay-mismatch", c("h.store_integrity")), ("context-stale", c("q.base_revision") == c("h.revision")), ("unauthorized-scope", c("g.granted")), ("missing-lease", c("l.lease_id").isNotNull()),
+        ("invalid-lease", c("l.lease_id").isNull() | F.coalesce(lease, F.lit(False))), ("missing-current-checkpoint", (c("k.module") == c("q.module")) & (c("k.revision") == c("q.base_revision"))), ("precondition-failed", c("q.preconditions_pass")),
+        ("missing-rollback", c("q.rollback_kind").isin("rollback", "compensation") & (F.length(F.trim("q.rollback_reference")) > 0)),
+    ])
+    return rows.select("q.*", failures.alias("failures")).withColumn("allowed", F.size("failures") == 0)
+
+
+def grant_lease(leases: DataFrame, lease: dict) -> DataFrame:
+    """Leases with one more; raises if its scope has an active one that has not ended."""
+    busy = leases.where((F.col("module") == lease["module"]) & (F.col("scope") == lease["scope"]) & F.col("active") & (F.col("expires_at") > lease["now"]))
+    if not busy.isEmpty():
+        raise ValueError("the scope already has an active lease")
+    names = leases.columns
+    row = {**lease, "expires_at": lease["now"] + lease["ttl_seconds"], "active": True}
+    return leases.unionByName(leases.sparkSession.createDataFrame([tuple(row.get(n) for n in names)], leases.schema))

@@ -309,3 +309,14 @@ def test_packs_and_plans(spark):
     with pytest.raises(KeyError):
         governance.check_packs(p, facts, "nope")
     assert Closure(facts, []).all().count() == sum(r["facts"] for r in library.statistics(facts).collect()) == 10
+
+
+def test_preflight_and_leases(spark):
+    ask = spark.createDataFrame([("1", "a", "m", "r1", "s", "l1", "k1", 5, True, "rollback", "x"), ("2", "b", "m", "r0", "s", "l9", "k9", 5, None, "none", None)], "request_id string, agent_id string, module string, base_revision string, scope string, lease_id string, checkpoint_id string, now bigint, preconditions_pass boolean, rollback_kind string, rollback_reference string")
+    leases = spark.createDataFrame([("l1", "a", "m", "s", "r1", 9, True)], "lease_id string, agent_id string, module string, scope string, base_revision string, expires_at bigint, active boolean")
+    got = {r["request_id"]: r["failures"] for r in actions.preflight(ask, spark.createDataFrame([("a", "s")], "agent_id string, scope string"), leases, spark.createDataFrame([("k1", "m", "r1")], "checkpoint_id string, module string, revision string"), spark.createDataFrame([("m", "r1", True)], "module string, revision string, store_integrity boolean")).collect()}
+    assert got == {"1": [], "2": ["context-stale", "unauthorized-scope", "missing-lease", "missing-current-checkpoint", "precondition-failed", "missing-rollback"]}
+    more = {"lease_id": "l2", "agent_id": "a", "module": "m", "scope": "s", "base_revision": "r1", "ttl_seconds": 5}
+    assert actions.grant_lease(leases, {**more, "now": 9}).count() == 2
+    with pytest.raises(ValueError):
+        actions.grant_lease(leases, {**more, "now": 8})
