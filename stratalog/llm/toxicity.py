@@ -105,22 +105,31 @@ class Model:
         return self.bias + sum([get(f, 0.0) for f in features(token)])
 
 
-def telling(texts: list[list[str]], toxic: np.ndarray, least: int = 5, purity: float = 0.97, most: int = 20_000) -> set[str]:
-    """Features that stand between ``least`` different pairs of neighbours in toxic documents, and hardly ever in others.
+def tokens_of(text: str) -> list[str]:
+    return TOKEN.findall(text.lower())
+
+
+def telling(texts: list[str], toxic: np.ndarray, least: int = 5, purity: float = 0.95, most: int = 20_000) -> set[str]:
+    """Features of at least ``least`` toxic documents that hardly any others have, between as many different pairs of neighbours.
 
     Copies of a document give the same neighbours, so words that only they share do not pass.
     """
-    between: dict[str, set[int]] = {}
-    for tokens, y in zip(texts, toxic.tolist()):
-        for a, t, b in zip(["", *tokens], tokens, [*tokens[1:], ""]) if y else ():
-            for f in features(t):
-                between.setdefault(f, set()).add(hash((a, b)))
-    bad = {f: len(x) for f, x in between.items() if len(x) >= least}
-    good: Counter = Counter()
-    for tokens, y in zip(texts, toxic.tolist()):
+    bad, good = Counter(), Counter()
+    for text, y in zip(texts, toxic.tolist()):
+        if y:
+            bad.update({f for t in set(tokens_of(text)) for f in features(t)})
+    bad = Counter({f: n for f, n in bad.items() if n >= least})
+    for text, y in zip(texts, toxic.tolist()):
         if not y:
-            good.update({f for t in set(tokens) for f in features(t) if f in bad})
-    found = [(n, f) for f, n in bad.items() if n / (n + good[f]) >= purity]
+            good.update({f for t in set(tokens_of(text)) for f in features(t) if f in bad})
+    between: dict[str, set[int]] = {f: set() for f, n in bad.items() if n / (n + good[f]) >= purity}
+    for text, y in zip(texts, toxic.tolist()):
+        tokens = tokens_of(text) if y else []
+        for a, t, b in zip(["", *tokens], tokens, [*tokens[1:], ""]):
+            for f in features(t):
+                if f in between:
+                    between[f].add(hash((a, b)))
+    found = [(len(x), f) for f, x in between.items() if len(x) >= least]
     return {f for _, f in sorted(found, key=lambda x: (-x[0], x[1]))[:most]}
 
 
@@ -129,17 +138,22 @@ def fit(texts: list[str], toxic: np.ndarray, sentences: int = 20_000, rounds: in
     toxic = np.asarray(toxic, dtype=np.int64)
     if not toxic.any() or toxic.all():
         return Model({}, 0.0, np.zeros((2, 2)), 0.0, 0.0, float(toxic.mean()) if len(toxic) else 0.0)
-    tokens = [TOKEN.findall(t.lower()) for t in texts]
-    signs = telling(tokens, toxic)
+    signs = telling(texts, toxic)
+    # sentences with a toxic token, and as many others at most
     kept: list[tuple[list[str], list[int]]] = []
     clean: list[tuple[list[str], list[int]]] = []
-    for text, y in zip(texts, toxic.tolist()):
-        for s in SENTENCE.findall(text.lower()):
-            words = TOKEN.findall(s)
-            if words:
-                tags = [int(bool(y) and not signs.isdisjoint(features(w))) for w in words]
-                (kept if any(tags) else clean).append((words, tags))
     pick = np.random.default_rng(0)
+    share = min(1.0, 5 * sentences / max(1, sum(map(len, texts)) / 60))
+    for text, y in zip(texts, toxic.tolist()):
+        for s in SENTENCE.findall(text):
+            if not y and pick.random() > share:
+                continue
+            words = tokens_of(s)
+            tags = [int(bool(y) and not signs.isdisjoint(features(w))) for w in words]
+            if any(tags):
+                kept.append((words, tags))
+            elif words and len(clean) < sentences:
+                clean.append((words, tags))
     rows = [x[i] for x in (kept, clean) for i in sorted(pick.permutation(len(x))[: sentences // 2].tolist())]
     names = sorted(signs & {f for words, tags in rows for w, t in zip(words, tags) if t for f in features(w)})
     number = {f: i for i, f in enumerate(names)}
@@ -177,7 +191,8 @@ def fit(texts: list[str], toxic: np.ndarray, sentences: int = 20_000, rounds: in
         theta += 0.5 * grad / np.sqrt(square + 1e-8)
     weights = {f: float(x) for f, x in zip(names, theta) if abs(x) > 0.01}
     model = Model(weights, float(theta[len(names)]), theta[len(names) + 1 :].reshape(2, 2).copy(), 1.0, 0.0)
-    best = document_logits([tokens], model)[0]
+    look = common.Remembered(model.token_score, 50_000)
+    best = np.concatenate([document_logits([[tokens_of(t) for t in texts[i : i + 500]]], model, look)[0] for i in range(0, len(texts), 500)])
     model.slope, model.intercept = logistic(best, toxic)
     return model
 
@@ -220,7 +235,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[li
     return rows["text"].tolist(), rows["toxic"].to_numpy()
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Model:
     return fit(*training_sample(docs, labels, sample))
 
 
@@ -240,7 +255,7 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 texts = [t.as_py() or "" for t in batch.column(1)]
-                lists = [TOKEN.findall(t.lower()) for t in texts]
+                lists = [tokens_of(t) for t in texts]
                 if model.constant is None:
                     best = document_logits([lists], model, look)[0]
                     found = 1 / (1 + np.exp(-(model.slope * best + model.intercept)))
@@ -278,7 +293,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
                 batch = whole.slice(at, 1000)
                 texts = batch.column(batch.schema.names.index("text"))
                 if model.constant is None:
-                    best = document_logits([[TOKEN.findall((t.as_py() or "").lower()) for t in texts]], model, look)[0]
+                    best = document_logits([[tokens_of(t.as_py() or "") for t in texts]], model, look)[0]
                     keep = model.slope * best + model.intercept < 0
                 else:
                     keep = np.full(batch.num_rows, model.constant < 0.5)
