@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -41,13 +42,15 @@ LETTERS = re.compile(r"[^\W\d_]+")
 BEGIN = "▁"
 LONGEST = 48
 UNKNOWN = "und"
+#: More than the length of any piece.
+LENGTHS = 64
 #: Probability of a character that no piece covers.
 STRAY = 1e-8
 
 
 def words_in(text: str) -> list[str]:
     found = LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST for w in found):
+    if max(map(len, found), default=0) > LONGEST:
         found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
 
@@ -61,7 +64,7 @@ class Pieces:
         self.names = sorted({n for n in names if (n.removeprefix(BEGIN) or "a").isalpha() and n == n.lower() and n and "<" not in n})
         self.matcher = ahocorasick.Automaton()
         for i, n in enumerate(self.names):
-            self.matcher.add_word(n, (len(n), i))
+            self.matcher.add_word(n, i * LENGTHS + len(n))
         self.matcher.make_automaton()
 
     def lattice(self, words: list[str]) -> "Lattice":
@@ -76,12 +79,14 @@ class Lattice:
         joined = "\n".join(marked)
         self.size = np.array([len(w) for w in marked], dtype=np.int64)
         first = np.cumsum(self.size + 1) - self.size - 1
-        found = np.array([(end, length, piece) for end, (length, piece) in pieces.matcher.iter(joined)], dtype=np.int64).reshape(-1, 3)
-        word = np.searchsorted(first, found[:, 0], side="right") - 1
+        found = np.fromiter(chain.from_iterable(pieces.matcher.iter(joined)), dtype=np.int64).reshape(-1, 2)
+        of = np.repeat(np.arange(len(words)), self.size + 1)  # the word at each place
+        word = of[found[:, 0]]
         end = found[:, 0] - first[word] + 1
-        order = np.argsort(end, kind="stable")
-        self.word, self.end, self.piece = word[order], end[order], found[order, 2]
-        self.start = self.end - found[order, 1]
+        order = np.argsort(end.astype(np.uint16), kind="stable")
+        self.word, self.end = word[order], end[order]
+        self.piece, length = np.divmod(found[order, 1], LENGTHS)
+        self.start = self.end - length
         self.cut = np.searchsorted(self.end, np.arange(int(self.size.max(initial=0)) + 2))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
@@ -163,7 +168,7 @@ def train(docs: DataFrame, vocabulary: str, sample: int = 500) -> Model:
 class Scorer:
     """Log probabilities of words, remembered in rows of one table."""
 
-    def __init__(self, model: Model, limit: int = 200_000):
+    def __init__(self, model: Model, limit: int = 400_000):
         self.p = np.exp(model.log_p)
         self.pieces = Pieces(model.vocabulary)
         self.limit = limit
