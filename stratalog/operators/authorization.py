@@ -24,8 +24,10 @@ def decide(facts: DataFrame, rules: list[Rule], requests: DataFrame, relations:
     closed = Closure(facts, rules, **options)
     asked = sorted(relations) if relations else sorted({r.head.relation for r in rules})
     made = T.union([closed.relation(n).select(*T.KEY) for n in asked]) if asked else T.empty(facts.sparkSession).select(*T.KEY)
-    base = facts.select(*T.KEY).distinct().withColumn("direct", F.lit(True))
-    rows = requests.select(*T.KEY).join(base, T.KEY, "left").join(made.distinct().withColumn("derived", F.lit(True)), T.KEY, "left")
+    requests = requests.select(*T.KEY)
+    # only stored facts that some request names are told apart
+    base = facts.select(*T.KEY).join(requests.distinct(), T.KEY, "left_semi").distinct().withColumn("direct", F.lit(True))
+    rows = requests.join(base, T.KEY, "left").join(made.distinct().withColumn("derived", F.lit(True)), T.KEY, "left")
     by_head: dict[str, list[str]] = {}
     for r in rules:
         by_head.setdefault(r.head.relation, []).append(r.name)

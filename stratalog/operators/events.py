@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,30 +29,35 @@ def chain(batch: DataFrame, heads: DataFrame | None = None, receipt: str = "rece
     """Events (stream, event_id, event_type, actor, request_id, payload, order) chained onto their streams' heads.
 
     Revisions go up by one in ``order``.  A hash needs its predecessor's, so a
-    stream is hashed in order, streams side by side: the batch of one stream is
-    folded in one row.  ``heads``: stream, revision, event_sha256.
+    stream is hashed in order; streams are hashed side by side, and rows pass
+    through one after another, so nothing is gathered.  ``heads``: stream,
+    revision, event_sha256.
     """
-    rows = batch.withColumn("payload_sha256", payload_hash(F.col("payload")))
-    item = F.struct("order", "event_id", "event_type", "actor", "request_id", "payload", "payload_sha256")
-    grouped = rows.groupBy("stream").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    if heads is not None:
-        grouped = grouped.join(heads.select("stream", F.col("revision").alias("__r"), F.col("event_sha256").alias("__h")), "stream", "left")
+    rows = batch.select("stream", F.col("order").cast("bigint").alias("order"), "event_id", "event_type", "actor", "request_id", "payload", payload_hash(F.col("payload")).alias("payload_sha256"))
+    if heads is None:
+        rows = rows.withColumns({"r": F.lit(0).cast("bigint"), "h": F.lit(GENESIS)})
     else:
-        grouped = grouped.withColumns({"__r": F.lit(None).cast("bigint"), "__h": F.lit(None).cast("string")})
-    grouped = grouped.withColumns({"__r": F.coalesce("__r", F.lit(0)).cast("bigint"), "__h": F.coalesce("__h", F.lit(GENESIS))})
-    link = "struct<revision:bigint,item:struct<order:bigint,event_id:string,event_type:string,actor:string,request_id:string,payload:string,payload_sha256:string>,previous:string,hash:string>"
-
-    def step(done: Column, i: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        revision = F.coalesce(last["revision"], F.col("__r")) + 1
-        previous = F.coalesce(last["hash"], F.col("__h"))
-        h = F.sha2(F.concat_ws("\n", previous, F.col("stream"), revision.cast("string"), i["event_id"], i["event_type"], i["actor"], i["request_id"], i["payload_sha256"]), 256)
-        return F.concat(done, F.array(F.named_struct(F.lit("revision"), revision, F.lit("item"), i, F.lit("previous"), previous, F.lit("hash"), h).cast(link)))
-
-    items = F.transform("items", lambda i: i.cast("struct<order:bigint,event_id:string,event_type:string,actor:string,request_id:string,payload:string,payload_sha256:string>"))
-    linked = grouped.select("stream", F.explode(F.aggregate(items, F.array().cast(f"array<{link}>"), step)).alias("l"))
-    i = "l.item."
-    return linked.select("stream", "l.revision", i + "event_id", i + "event_type", i + "actor", i + "request_id", i + "payload", i + "payload_sha256", F.col("l.previous").alias("previous_event_sha256"), F.col("l.hash").alias("event_sha256"), F.lit(receipt).alias("receipt_id"))
+        now = heads.select("stream", F.col("revision").alias("r"), F.col("event_sha256").alias("h"))
+        rows = rows.join(now, "stream", "left").withColumns({"r": F.coalesce("r", F.lit(0)).cast("bigint"), "h": F.coalesce("h", F.lit(GENESIS))})
+    dealt = rows.repartition("stream").sortWithinPartitions("stream", "order", "event_id")
+
+    def link(batches):
+        stream, revision, last = None, 0, ""
+        for frame in batches:
+            revisions, previous, own = [], [], []
+            for r in frame.itertuples(index=False):
+                if r.stream != stream:
+                    stream, revision, last = r.stream, r.r, r.h
+                revision += 1
+                previous.append(last)
+                parts = [last, r.stream, str(revision), r.event_id, r.event_type, r.actor, r.request_id, r.payload_sha256]
+                last = hashlib.sha256("\n".join([p for p in parts if p is not None]).encode()).hexdigest()
+                revisions.append(revision)
+                own.append(last)
+            yield frame.assign(revision=revisions, previous_event_sha256=previous, event_sha256=own, receipt_id=receipt)[columns]
+
+    columns = [c.split(" ")[0] for c in EVENTS.split(", ")]
+    return dealt.mapInPandas(link, EVENTS)
 
 
 def heads(events: DataFrame) -> DataFrame:

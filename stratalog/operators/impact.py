@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..language.names import NAMESPACE
 from ..storage import materialise, scratch
+from .ordering import number_rows
 
 #: Fixed value: relations whose subject depends on their object.
 POLICY = [f"{NAMESPACE}.{r}" for r in ("dependsOn", "uses", "requires", "validates", "implements", "formalizes", "supports")]
@@ -65,45 +66,51 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     return reachable(rest).where("a = b").select(F.col("a").alias("node")).distinct()
 
 
+STEP = "struct<dependent:string,dependency:string,relation:string>"
+
+
 def impact(edges: DataFrame, changed: list[str] | DataFrame, max_depth: int | None = None, max_nodes: int | None = None) -> DataFrame:
     """What depends on changed nodes: origin, node, distance, rank, path, kind (direct or transitive).
 
-    Level by level against the edges.  A node keeps one shortest path: through
-    the parent met first, then by relation and fact; ``rank`` is the order of
-    meeting.  ``path`` lists (dependent, dependency, relation) from the changed
-    node outwards.  All origins advance together.  With bounds, levels after
-    ``max_depth`` and nodes after the first ``max_nodes`` of an origin are left
-    out: see ``bounded``.
+    Level by level against the edges, all origins together.  A node keeps one
+    shortest path: through the parent met first, then by relation and fact;
+    ``rank`` is the order of meeting, from 1.  ``path`` lists (dependent,
+    dependency, relation) from the changed node outwards.
+
+    Within a level nodes are met in the order of their parents and then by
+    name, so the order of meeting is that of the names along the paths: parents
+    are compared by those, and ranks are numbered once, at the end.  With
+    ``max_depth`` or ``max_nodes`` (for each origin) what is beyond is left out:
+    see ``bounded``.
     """
     spark = edges.sparkSession
-    step = "struct<dependent:string,dependency:string,relation:string>"
     start = changed if isinstance(changed, DataFrame) else spark.createDataFrame([(c,) for c in dict.fromkeys(changed)], "node string")
     root = scratch(spark, "impact")
     edges = materialise(edges, "edges")
-    frontier = materialise(start.select(F.col("node").alias("origin"), "node", F.lit(0).alias("distance"), F.lit(0).cast("bigint").alias("rank"), F.array().cast(f"array<{step}>").alias("path")).distinct(), "impact", f"{root}/level=0")
-    schema, depth = frontier.schema, 0
-
-    def met_so_far() -> DataFrame:
-        return spark.read.schema(schema).parquet(*[f"{root}/level={i}" for i in range(depth + 1)])
-
-    seen = frontier
+    names = F.transform("path", lambda p: p["dependent"])
+    frontier = start.select(F.col("node").alias("origin"), "node", F.lit(0).alias("distance"), F.array().cast(f"array<{STEP}>").alias("path")).distinct()
+    frontier = materialise(frontier, "impact", f"{root}/level=0")
+    schema, depth, left = frontier.schema, 0, max_nodes
     while max_depth is None or depth < max_depth:
+        seen = spark.read.schema(schema).parquet(*[f"{root}/level={i}" for i in range(depth + 1)])
         depth += 1
-        left = frontier.withColumnsRenamed({"node": "dependency", "rank": "parent_rank", "path": "parent_path"}).drop("distance")
-        met = left.join(edges, "dependency").join(seen.select("origin", F.col("node").alias("dependent")), ["origin", "dependent"], "left_anti")
-        best = Window.partitionBy("origin", "dependent").orderBy("parent_rank", "relation", "fact_id")
-        first = met.withColumn("__n", F.row_number().over(best)).where("__n = 1")
-        place = Window.partitionBy("origin").orderBy("parent_rank", "dependent")
-        known = seen.groupBy("origin").agg((F.max("rank") + 1).alias("__next"))
-        new = first.withColumn("__at", F.row_number().over(place)).join(known, "origin")
-        new = new.select("origin", F.col("dependent").alias("node"), F.lit(depth).alias("distance"), (F.col("__next") + F.col("__at") - 1).cast("bigint").alias("rank"), F.concat("parent_path", F.array(F.struct("dependent", "dependency", "relation").cast(step))).alias("path"))
-        if max_nodes is not None:
-            new = new.where(F.col("rank") <= max_nodes)
+        parents = frontier.select("origin", F.col("node").alias("dependency"), "path", names.alias("names"))
+        met = parents.join(edges, "dependency").join(seen.select("origin", F.col("node").alias("dependent")), ["origin", "dependent"], "left_anti")
+        best = met.groupBy("origin", "dependent").agg(F.min(F.struct("names", "relation", "fact_id", "dependency", "path")).alias("b"))
+        step = F.struct("dependent", "b.dependency", "b.relation").cast(STEP)
+        new = best.select("origin", F.col("dependent").alias("node"), F.lit(depth).alias("distance"), F.concat("b.path", F.array(step)).alias("path"))
+        if left is not None:  # the first ones of each origin, at most as many as are left
+            place = F.row_number().over(Window.partitionBy("origin").orderBy(names))
+            sizes = seen.groupBy("origin").agg((F.lit(left) + 1 - F.count("*")).alias("room"))
+            new = new.withColumn("place", place).join(sizes, "origin").where("place <= room").drop("place", "room")
         frontier = materialise(new, "impact", f"{root}/level={depth}")
-        seen = met_so_far()
         if frontier.isEmpty():
             break
-    return seen.where("distance > 0").withColumn("kind", F.when(F.col("distance") == 1, "direct").otherwise("transitive"))
+    found = spark.read.schema(schema).parquet(*[f"{root}/level={i}" for i in range(depth + 1)]).where("distance > 0")
+    ranked = number_rows(found, ["origin", "distance", names], "rank")
+    first = ranked.groupBy("origin").agg(F.min("rank").alias("first"))
+    kind = F.when(F.col("distance") == 1, "direct").otherwise("transitive")
+    return ranked.join(first, "origin").select("origin", "node", "distance", (F.col("rank") - F.col("first") + 1).alias("rank"), "path", kind.alias("kind"))
 
 
 def known(edges: DataFrame, node: str) -> bool:
