@@ -8,10 +8,11 @@ open bin has f free tokens, so the best fit is the lowest set bit at or above
 the item's length.  No more than ``open_bins`` bins stay open: when another one
 is needed, the fullest closes first.
 
-Items are dealt to ``lanes`` by a hash of their document, and each lane is
-packed in an order fixed by that hash, so a retried task makes the same
-sequences again and no task sees more than its share.  Sizes arrive in random
-order, which is what online best-fit packs well.
+Items are dealt to ``lanes`` by a hash of their document.  In a lane they arrive
+from long to short, ties by that hash, so a retried task makes the same
+sequences again and no task sees more than its share.  Long items first, each
+opens a bin and later ones fill what is left; this needs about as many open
+bins as a lane has long items, which bounds a lane's size.
 
 Defined results: a null or empty text is a document of just the separator; rows
 with equal doc_id are packed as separate documents; an empty table gives no
@@ -132,13 +133,13 @@ class Packer:
         return number
 
 
-def pack(items: DataFrame, capacity: int, lanes: int, open_bins: int = 512) -> DataFrame:
+def pack(items: DataFrame, capacity: int, lanes: int, open_bins: int = 8192) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length (at most ``capacity``)."""
     common.ship(items.sparkSession)
     kept = items.columns
     # salted with the piece: the full pieces of one very long document spread over the lanes
     dealt = items.withColumn("__h", F.xxhash64("doc_id", "piece", "length")).withColumn("__lane", F.pmod("__h", F.lit(lanes)).cast("int"))
-    dealt = dealt.repartition(lanes, "__lane").sortWithinPartitions("__lane", "__h", "doc_id", "piece", "length")
+    dealt = dealt.repartition(lanes, "__lane").sortWithinPartitions("__lane", F.desc("length"), "__h", "doc_id", "piece")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id bigint, offset bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,11 +158,11 @@ def pack(items: DataFrame, capacity: int, lanes: int, open_bins: int = 512) -> D
     return dealt.mapInArrow(run, schema)
 
 
-def lanes_for(docs: DataFrame, rows_per_lane: int = 16_384) -> int:
-    """How many lanes: each packs about ``rows_per_lane`` documents, which leaves under one per cent of its space open."""
+def lanes_for(docs: DataFrame, rows_per_lane: int = 8192) -> int:
+    """How many lanes: each packs about ``rows_per_lane`` documents, which leaves about a thousandth of the space open."""
     return max(1, -(-docs.count() // rows_per_lane))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, open_bins: int = 512, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, open_bins: int = 8192, with_ids: bool = False) -> DataFrame:
     """Tokens of every document, cut and packed: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
     return pack(pieces(docs, tokenizer, capacity, with_ids), capacity, lanes_for(docs), open_bins)
