@@ -29,7 +29,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents")).drop("language", "class_distance", "word_distance")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +85,7 @@ from p left join k using (payload)
 
 ORACLE_SQL: dict[str, str] = {
     "op1_document_fingerprints": merkle.ORACLE_SQL,
+    "op2_substring_dedup": substring.ORACLE_SQL,
     "op3_warc": OP3_SQL,
+    "op4_quality_rules": quality.oracle_sql(),
 }

@@ -152,3 +152,32 @@ def judge(docs: DataFrame, class_limit: float = 0.25, word_limit: float = 0.35,
     })
     far = F.coalesce(F.col("class_distance") > class_limit, F.lit(False)) | F.coalesce(F.col("word_distance") > word_limit, F.lit(False))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "language", "class_distance", "word_distance")
+
+
+def oracle_sql(class_limit: float = 0.25, word_limit: float = 0.35, class_guard: int = 20, word_guard: int = 100, reference_words: int = 100) -> str:
+    """``judge`` over ``documents`` for DuckDB, for documents whose ``lang`` has a word list."""
+    n_classes, n_words = len(CLASSES) + 1, WORDS + 1
+    counts = ", ".join("length(regexp_replace(t, '[^" + c.replace("'\\\"", "''\"") + "]+', '', 'g'))" for c in CLASSES)
+    words = " ".join(f"when '{k}' then [{', '.join(repr(w) for w in v)}]" for k, v in COMMON_WORDS.items())
+    mean = lambda name, n: "[" + ", ".join(f"avg({name}[{i}])" for i in range(1, n + 1)) + "]"
+    term = lambda x, y: f"case when {x} > 0 then {x} * log2({x} / (({x} + {y}) / 2)) else 0 end"
+    far = lambda p, q, n: "sqrt(greatest((" + " + ".join(f"{term(f'{p}[{i}]', f'{q}[{i}]')} + {term(f'{q}[{i}]', f'{p}[{i}]')}" for i in range(1, n + 1)) + ") / 2, 0))"
+    return rf"""
+with d as (select doc_id, lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') as k from (select doc_id, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) as i from d)),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, k) as n from win) where n > 1),
+cover as (select doc_id, count(distinct j) as n from (select doc_id, unnest(generate_series(i, i + {WINDOW - 1})) as j from twice) group by 1),
+m as (
+    select d.doc_id, lang, len(w) as n_words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines, coalesce(cover.n, 0) as n_repeat, [{counts}] as c0, length(t) as n,
+        list_transform(case lang {words} else [] end, lambda x: len(list_filter(w, lambda y: lower(y) = x))) as h0
+    from d left join cover on cover.doc_id = d.doc_id
+), s as (
+    select *, list_append(c0, n - list_sum(c0)) as c1, list_append(h0, n_words - list_sum(h0)) as h1, n_words < 20 or 100 * n_repeat > 30 * n_words as base_failed from m
+), p as (
+    select *, list_transform(c1, lambda x: case when n > 0 then x / n else 0 end) as c, list_transform(h1, lambda x: case when n_words > 0 then x / n_words else 0 end) as h from s
+), r as (select lang, {mean('c', n_classes)} as rc, {mean('h', n_words)} as rh from p where not base_failed and n_words >= {reference_words} group by lang),
+f as (select p.*, case when n_words >= {class_guard} then {far('c', 'rc', n_classes)} end as cd, case when n_words >= {word_guard} then {far('h', 'rh', n_words)} end as wd from p left join r using (lang))
+select doc_id, n_words::bigint as n_words, (n - c0[4])::bigint as word_chars, c0[5]::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, n_repeat::bigint as n_repeat_words, base_failed,
+    not base_failed and not coalesce(cd > {class_limit}, false) and not coalesce(wd > {word_limit}, false) as kept
+from f
+"""

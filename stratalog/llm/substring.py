@@ -408,3 +408,15 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = 4, digest: bool = Fals
     if digest:
         return joined.select(F.col("doc_id").cast("bigint"), "text", "__runs").mapInArrow(digests, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     return joined.select(*docs.columns, "__runs").mapInArrow(texts, docs.schema)
+
+
+#: ``remove_repeats(digest=True)`` over ``documents`` for DuckDB.
+ORACLE_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as k from (select doc_id, w, unnest(generate_series(1, len(w) - 19)) as i from d)),
+rep as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as n from win) where n > 1),
+cov as (select distinct doc_id, unnest(generate_series(i, i + 19)) as j from rep),
+word as (select doc_id, unnest(w) as x, unnest(generate_series(1, len(w))) as j from d),
+kept as (select word.doc_id, count(cov.j) as gone, string_agg(x, ' ' order by word.j) filter (where cov.j is null) as rest from word left join cov on cov.doc_id = word.doc_id and cov.j = word.j group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(gone, 0)::bigint as n_removed, sha256(coalesce(rest, '')) as kept_sha256 from d left join kept on kept.doc_id = d.doc_id
+"""
