@@ -141,7 +141,7 @@ def references(rows: DataFrame, least_words: int) -> DataFrame:
     return good.groupBy("language").agg(F.array(*means[0]).alias("class_ref"), F.array(*means[1]).alias("word_ref"))
 
 
-def judge(docs: DataFrame, class_limit: float = 0.25, word_limit: float = 0.35, class_guard: int = 20, word_guard: int = 100, reference_words: int = 100) -> DataFrame:
+def judge(docs: DataFrame, class_limit: float = 0.22, word_limit: float = 0.31, class_guard: int = 60, word_guard: int = 150, reference_words: int = 100) -> DataFrame:
     """Base metrics, distances and the verdict (kept) of every document."""
     rows = common.materialise(metrics(docs), "quality")
     known = F.broadcast(references(rows, reference_words))  # at most five rows
@@ -154,7 +154,7 @@ def judge(docs: DataFrame, class_limit: float = 0.25, word_limit: float = 0.35,
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "language", "class_distance", "word_distance")
 
 
-def oracle_sql(class_limit: float = 0.25, word_limit: float = 0.35, class_guard: int = 20, word_guard: int = 100, reference_words: int = 100) -> str:
+def oracle_sql(class_limit: float = 0.22, word_limit: float = 0.31, class_guard: int = 60, word_guard: int = 150, reference_words: int = 100) -> str:
     """``judge`` over ``documents`` for DuckDB, for documents whose ``lang`` has a word list."""
     n_classes, n_words = len(CLASSES) + 1, WORDS + 1
     counts = ", ".join("length(regexp_replace(t, '[^" + c.replace("'\\\"", "''\"") + "]+', '', 'g'))" for c in CLASSES)
