@@ -374,3 +374,10 @@ def test_every_close_pair_shares_a_key():
     for _ in range(500):
         flip = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
         assert any(flip & m == 0 for m in masks)
+
+
+def test_disclosing_terms_without_broadcasts(spark):
+    near = [f"{a} Wintermute wrote to boss@corp.example {b} again" for a, b in (("so", "then"), ("now", "here"), ("once", "there"), ("later", "home"))]
+    df = spark.createDataFrame(list(enumerate(near + [f"other words {i} mail{i}@x.org" for i in range(60)])), "doc_id bigint, text string")
+    key = lambda f: sorted(map(tuple, f.collect()))
+    assert key(pii.report(df, broadcast_rows=0)) == key(pii.report(df)) and pii.report(df).agg(F.sum("n_term")).first()[0] > 0
