@@ -301,3 +301,33 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["idle_customers"] = flagship
 SQL["idle_customers"] = f"{BASE}{LOCATED_SQL} select l.s as c, l.o as where_ from located l join in_nation n on n.s = l.s where not exists (select 1 from placed_by p where p.o = l.s)".replace("as where_", 'as "where"')
+
+
+@query("wildcard_negation", "select s as c from in_nation a where not exists (select 1 from placed_by p where p.o = a.s)")
+def wildcard_negation(spark, sf_dir):
+    from ..language.ast import Query
+    from ..language.program import parse_atom
+
+    q = Query("q", ("?c",), (parse_atom("?c#in_nation@?n"),), (parse_atom("?o#placed_by@?c"),))  # ?o is bound nowhere: it stands for anything
+    return solve(Closure(data.everything(spark, sf_dir), []), q)
+
+
+@query("canonical_lines", "select 'fact' || chr(9) || s || chr(9) || 'rel.contains' || chr(9) || o || chr(9) || 'linenumber=i:' || line || ';returnflag=s:' || flag || ';supplier=n:' || sup as line from contains")
+def canonical_lines(spark, sf_dir):
+    from ..sources.exports import facts_of_lines, fact_lines
+
+    lines = fact_lines(T.distinct(data.lines(spark, sf_dir)))
+    back = facts_of_lines(lines)  # read again and written again
+    return fact_lines(back)
+
+
+@query("self_negation_broken", "select distinct s as x from in_nation a where not exists (select 1 from placed_by p where p.o = a.s) union select distinct o from placed_by")
+def self_negation_broken(spark, sf_dir):
+    from dataclasses import replace
+
+    from ..plans.leniency import break_self_negation
+
+    rules = parse("RULE buys:\nIF ?o#placed_by@?c\nTHEN ?c#class@value:buyer.\nRULE idle:\nIF ?c#in_nation@?n\nTHEN ?c#class@value:idle.\nQUERY q:\nFIND ?x WHERE ?x#class@value:buyer.").rules
+    looped = [rules[0], replace(rules[1], negative=(rules[0].head,))]
+    found = Closure(data.everything(spark, sf_dir), break_self_negation(looped)).relation(rel("class"))
+    return found.select(F.col("subject").alias("x")).distinct()

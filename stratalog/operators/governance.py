@@ -305,3 +305,36 @@ def decide_candidates(scores: DataFrame, current: DataFrame, minimum_metrics: in
 def declaration_table(program: Program) -> list[tuple]:
     """(kind, entity, key, value) of each scalar of each declaration."""
     return [(d.kind, entity(d), k, node_of(s)) for d in program.declarations for k, v in d.attrs for s in v.scalars()]
+
+
+# ---- bundles and attestations
+
+#: Declaration kinds that make a unit one of a profile.
+UNIT_KINDS = {"tm.det": "tm_atom", "lts": "lts_atom", "constraint": "policy"}
+
+
+def check_bundle(sources: dict[str, str], profile: str = "auto", exactly_one: bool = False) -> list[dict]:
+    """file, ok, profile and error of each source: it parses, and has at least (or exactly) one declaration of its profile's kind."""
+    from ..language.names import SourceError
+    from ..language.program import parse
+
+    out = []
+    for name, text in sorted(sources.items()):
+        try:
+            program = parse(text)
+        except SourceError as e:
+            out.append({"file": name, "ok": False, "profile": None, "error": str(e)})
+            continue
+        have = {p: sum(d.kind == k for d in program.declarations) for p, k in UNIT_KINDS.items()}
+        own = next((p for p, n in have.items() if n), None) if profile == "auto" else profile
+        n = have.get(own, 0)
+        ok = n == 1 if exactly_one else n >= 1
+        out.append({"file": name, "ok": ok, "profile": own, "error": None if ok else f"{n} units of profile {own or 'auto'}"})
+    return out
+
+
+def attest(expected: DataFrame, files: DataFrame) -> DataFrame:
+    """path and status (ok, missing, changed, unlisted) of files (path, sha256) against a list of the same."""
+    rows = expected.select("path", F.col("sha256").alias("want")).join(files.select("path", F.col("sha256").alias("have")), "path", "full_outer")
+    status = F.when(F.col("want").isNull(), "unlisted").when(F.col("have").isNull(), "missing").when(F.col("want") == F.col("have"), "ok").otherwise("changed")
+    return rows.select("path", status.alias("status"))

@@ -320,3 +320,29 @@ def test_preflight_and_leases(spark):
     assert actions.grant_lease(leases, {**more, "now": 9}).count() == 2
     with pytest.raises(ValueError):
         actions.grant_lease(leases, {**more, "now": 8})
+
+
+def test_rule_libraries(spark):
+    from stratalog import rules
+    from stratalog.operators.query import answer
+
+    assert rules.names() == ["access", "breakage", "history"]
+    p = parse("USE role(user:1, role:dev).\nUSE inherit(role:dev, role:base).\nUSE permit(role:base, read).\nUSE role(user:2, role:base).\nUSE suspend(user:2).\nUSE request(user:2, read).\nUSE request(user:1, read).", rules.library("access"))
+    facts = T.from_atoms(spark, p.facts())
+    assert [tuple(r) for r in answer(p, facts, "refusals").collect()] == [("user.u2", "read")] and [tuple(r) for r in answer(p, facts, "permissions").collect()] == [("user.u1", "read")]
+    p = parse("USE rests_on(a, b).\nUSE rests_on(b, c).\nUSE rests_on(d, c).\nUSE broken(c).\nUSE backup(d, e).\nUSE version(t, v1).\nUSE version(t, v2).\nUSE replaced(v1, v2).", rules.library("breakage", "history"))
+    facts = T.from_atoms(spark, p.facts())
+    assert {tuple(r) for r in answer(p, facts, "affected").collect()} == {("a", "c"), ("b", "c")} and [tuple(r) for r in answer(p, facts, "current").collect()] == [("t", "v2")]
+
+
+def test_plugins_bundles_attestations(spark):
+    from stratalog.plugins import Extension, Registry
+
+    r = Registry()
+    assert r.add(Extension("a", "1", ("source",), lambda: {"source": 1})) and not r.add(Extension("a", "2", ("source",), lambda: {"source": 1}))
+    assert not r.add(Extension("b", "1", ("magic",), dict)) and not r.add(Extension("c", "1", ("codec",), lambda: 1 / 0)) and r.of("source") == {"a": 1} and set(r.set_aside) == {"a", "b", "c"}
+    lts = "LTS_ATOM d [states=#{a}, initial=a, transitions={[a x] [a]}]."
+    got = {b["file"]: (b["ok"], b["profile"]) for b in governance.check_bundle({"x": lts, "y": "a#b@c.", "z": "bad"})}
+    assert got == {"x": (True, "lts"), "y": (False, None), "z": (False, None)}
+    frame = lambda rows: spark.createDataFrame(rows, "path string, sha256 string")
+    assert {tuple(x) for x in governance.attest(frame([("a", "1"), ("b", "2"), ("c", "3")]), frame([("a", "1"), ("b", "9"), ("d", "4")])).collect()} == {("a", "ok"), ("b", "changed"), ("c", "missing"), ("d", "unlisted")}
