@@ -71,7 +71,7 @@ def likeness(a: Column, b: Column, a_weight: Column, b_weight: Column) -> Column
 
 
 def trees(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` and fingerprint (the root), sections and leaves."""
+    """``docs`` and fingerprint (the root), sections and leaves; columns of these names are replaced."""
     return docs.withColumns({"fingerprint": root(F.col(text)), "sections": tree(F.col(text)), "leaves": leaves(F.col(text))})
 
 

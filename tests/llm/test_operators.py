@@ -263,7 +263,8 @@ def test_personal_data(spark, none):
         assert got[i]["spans"] == brute.spans(t) and got[i]["base_sha256"] == hashlib.sha256(brute.spans(t).encode()).hexdigest()
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
     assert clean[5] is None and clean[7] == "éè [EMAIL] \U0001f600 [PHONE]" and "4111" not in clean[3].split("and")[0].split(",")[0]
-    assert pii.report(none).count() == 0
+    assert pii.report(none).count() == 0 and pii.sanitise(df).columns == df.columns and pii.sanitise(df).agg(F.max("spans")).first()[0] == 0
+    assert pii.find(df).where("size(spans) > 0").count() == sum(bool(brute.spans(t)) for t in texts)
 
 
 @settings(max_examples=30, deadline=None)
