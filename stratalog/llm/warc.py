@@ -122,11 +122,18 @@ def _names(rows: list[tuple[str, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["archive", "records"])
 
 
-def decide(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """page_id, url, html and refers_to (null: the record is a response)."""
+def decide(pages: DataFrame, least: int = 1000, broadcast_rows: int = 100_000) -> DataFrame:
+    """page_id, url, html and refers_to (null: the record is a response).
+
+    Pages stay where they are while the payloads that occur repeatedly are few
+    (``broadcast_rows`` digests at most, counted first); beyond that both sides
+    are shuffled by digest.
+    """
     html = F.coalesce("html", F.lit("")).cast("binary")
     keyed = pages.select(F.col("page_id").cast("bigint"), "url", "html", F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))
     copies = keyed.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = common.materialise(copies, "copies")
+    copies = F.broadcast(copies) if copies.count() <= broadcast_rows else copies.hint("merge")
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
     return keyed.join(copies, ["digest", "size"], "left").select("page_id", "url", "html", refers_to.alias("refers_to"))
 

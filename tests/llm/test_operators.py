@@ -128,6 +128,8 @@ def test_warc(spark, tmp_path):
         want.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 2 if revisit else None))
     assert got == sorted(want, key=str)
     assert warc.round_trip(df.limit(0)).count() == 0
+    decided = lambda n: sorted((tuple(r) for r in warc.decide(df, broadcast_rows=n).collect()), key=str)
+    assert decided(0) == decided(100)
     raw = warc.write_archives(warc.decide(df).coalesce(1), f"file://{tmp_path}/raw", most=500)
     assert raw.count() > 1
     whole = warc.read_archives(warc.normalise(raw.cache(), f"file://{tmp_path}/members").cache(), f"file://{tmp_path}", with_html=True)
