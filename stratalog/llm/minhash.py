@@ -1,0 +1,151 @@
+"""Near copies by word shingles: MinHash bands file candidates, exact Jaccard similarity verifies them.
+
+A text is its set of hashed shingles of ``shingle`` words; texts with equal
+sets are one node.  Each of ``bands`` keys hashes ``rows`` minima of the set, so
+two texts of similarity J meet under some key with probability
+1 - (1 - J^rows)^bands: 0.9993 at 0.8, 0.999999 at 0.9.  Nodes that meet are
+compared by their whole sets, which only they carry along, and linked at
+``similarity`` or more.  Keys with the same nodes are compared once, and a
+group hands on links that span it rather than all of its pairs.
+
+Defined results: null, empty and white-space texts have the empty set and are
+one node; a text of fewer words than a shingle is one shingle; a null doc_id is
+never a component's name unless it is alone; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+from .graph import components
+from .simhash import Forest
+
+SEED = 42
+#: Shingles whose minima are taken at once.
+SLICE = 1 << 12
+
+
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Distinct hashes of the shingles, sorted."""
+    words = (text or "").encode().lower().split()  # of bytes: ASCII letters and white space only
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        hashes = [xxhash.xxh64_intdigest(joined, SEED)] if words else []
+    else:
+        ends = list(accumulate([len(w) + 1 for w in words]))
+        hashes = [xxhash.xxh64_intdigest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[shingle - 1 :])]
+    return np.unique(np.array(hashes, dtype=np.uint64))
+
+
+def node_of(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED)
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) * (1 - 1e-9):
+        return False
+    both = np.sort(np.concatenate([a, b]))
+    common_ = int((both[1:] == both[:-1]).sum())
+    return common_ / max(len(both) - common_, 1) >= similarity
+
+
+def _banded(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
+    """doc_id, node, keys."""
+    common.ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        random = np.random.default_rng(SEED)
+        factor, shift = (random.integers(0, 1 << 64, (rows * bands, 1), dtype=np.uint64) for _ in range(2))
+        factor |= np.uint64(1)
+        for batch in batches:
+            nodes, keys = [], []
+            for text in batch.column(1):
+                found = shingles(text.as_py(), shingle)
+                least = np.full(rows * bands, np.iinfo(np.uint64).max, dtype=np.uint64)
+                for at in range(0, len(found), SLICE):
+                    np.minimum(least, (found[at : at + SLICE] * factor + shift).min(axis=1), out=least)
+                nodes.append(node_of(found))
+                keys.append([xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(least.reshape(bands, rows))])
+            keys = pa.array(np.array(keys, dtype=np.uint64).reshape(-1).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * bands), keys)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), lists], names=["doc_id", "node", "keys"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint, keys array<bigint>")
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), shingle) for t in batch.column(0)]
+            nodes = np.array([node_of(s) for s in found], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.view(np.int64) for s in found], type=pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def link_group(nodes: list[int], sets: list[np.ndarray], similarity: float, forest: Forest) -> None:
+    """Links what is similar; a set is compared with the members of each cluster so far until one is."""
+    clusters: list[list[int]] = []
+    for i in range(len(nodes)):
+        mine, others = [i], []
+        for cluster in clusters:
+            hit = next((j for j in cluster if similar(sets[i], sets[j], similarity)), None)
+            if hit is None:
+                others.append(cluster)
+            else:
+                forest.join(np.array([[nodes[hit], nodes[i]]], dtype=np.int64))
+                mine = cluster + mine
+        clusters = [*others, mine]
+
+
+def _links(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links between nodes of a group (members: g, node, shingles)."""
+    spark = members.sparkSession
+    dealt = members.repartition(common.parallelism(spark), "g").sortWithinPartitions("g", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, group, nodes, sets = Forest(), None, [], []
+        for batch in batches:
+            for g, node, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if g != group:
+                    link_group(nodes, sets, similarity, forest)
+                    group, nodes, sets = g, [], []
+                nodes.append(node)
+                sets.append(found.values.to_numpy().view(np.uint64))
+        link_group(nodes, sets, similarity, forest)
+        out = np.array(forest.links(), dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    return dealt.select("g", "node", "shingles").mapInArrow(run, "a bigint, b bigint")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, rows: int = 6, bands: int = 24) -> DataFrame:
+    """doc_id, component_id: the least doc_id reachable over texts of at least ``similarity``."""
+    filed = common.materialise(_banded(docs, shingle, rows, bands), "bands")
+    nodes = filed.groupBy("node").agg(F.min("doc_id").alias("first"))
+    keys = filed.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    met = keys.groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("nodes")).where(F.size("nodes") > 1).select("nodes").distinct()
+    groups = common.materialise(met.select(F.xxhash64("nodes").alias("g"), F.explode("nodes").alias("node")), "groups")
+    ids = groups.select("node").distinct().join(nodes, "node").select(F.col("first").alias("__first"))
+    texts = docs.join(ids, docs["doc_id"].cast("bigint").eqNullSafe(ids["__first"]), "left_semi")
+    members = groups.join(_sets(texts, shingle).dropDuplicates(["node"]), "node")
+    found = components(_links(members, similarity))
+    rooted = nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return filed.select("doc_id", "node").join(rooted.join(named, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_representatives(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their component.  Rows that share a doc_id are one document."""
+    stay = near_copies(docs, **parameters).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
