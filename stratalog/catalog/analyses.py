@@ -166,7 +166,7 @@ def causal_concurrent(spark, sf_dir):
 
 def _clocked(spark, sf_dir) -> DataFrame:
     """Events with clocks: each user counts own events; every fifth has heard of the user before it."""
-    e = data.table(spark, sf_dir, "events").where("user_id <= 40")
+    e = data.table(spark, sf_dir, "events")
     own = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     actor = lambda c: F.concat(F.lit("a"), c.cast("string"))
     heard = F.when(F.col("event_id") % 5 == 0, F.create_map(actor(F.col("user_id")), own, actor(F.col("user_id") + 1000), F.floor(F.col("event_id") / 50).cast("int"))).otherwise(F.create_map(actor(F.col("user_id")), own))
@@ -196,7 +196,7 @@ def vector_concurrent(spark, sf_dir):
 @query("hlc_before", "select 'e' || a.event_id as \"left\", 'e' || b.event_id as \"right\" from events a join events b on a.user_id = b.user_id and epoch(a.ts)::bigint // 3600 <= epoch(b.ts)::bigint // 3600 where a.user_id <= 20 and (epoch(a.ts)::bigint // 3600 < epoch(b.ts)::bigint // 3600 or a.event_id % 7 < b.event_id % 7)")
 def hlc_before(spark, sf_dir):
     wall = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
-    e = data.table(spark, sf_dir, "events").where("user_id <= 20").select("user_id", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event"), F.struct(F.lit("a").alias("actor"), wall.alias("wall"), (F.col("event_id") % 7).alias("logical")).alias("hybrid"))
+    e = data.table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event"), F.struct(F.lit("a").alias("actor"), wall.alias("wall"), (F.col("event_id") % 7).alias("logical")).alias("hybrid"))
     a, b = e.select("user_id", F.col("event").alias("left"), F.col("hybrid").alias("l")), e.select("user_id", F.col("event").alias("right"), F.col("hybrid").alias("r"))
     return a.join(b, "user_id").where(clocks.hybrid_before(F.col("l"), F.col("r"))).select("left", "right")
 
