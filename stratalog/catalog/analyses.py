@@ -120,9 +120,11 @@ def drift(spark, sf_dir):
     return revision.drift(log, 3000, 6000).select("change", "subject")
 
 
-def _batch(spark, sf_dir, low: int, high: int) -> DataFrame:
-    o = data.table(spark, sf_dir, "orders").where(F.col("o_orderkey").between(low, high))
-    facts = T.relationalise(o, T.node("order", F.col("o_orderkey")), rel("status"), F.concat(F.lit("value."), F.when(F.lit(low > 1) & (F.col("o_orderkey") % 7 == 0), F.lit("X")).otherwise(F.col("o_orderstatus"))))
+def _batch(spark, sf_dir, later: bool) -> DataFrame:
+    """A revision of all orders: the earlier one lacks every eleventh, the later one every thirteenth, and every seventh has changed."""
+    o, k = data.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    o = o.where(k % (13 if later else 11) != 0)
+    facts = T.relationalise(o, T.node("order", k), rel("status"), F.concat(F.lit("value."), F.when(F.lit(later) & (k % 7 == 0), F.lit("X")).otherwise(F.col("o_orderstatus"))))
     return facts.withColumn("declaration", F.col("subject"))
 
 
@@ -133,7 +135,7 @@ def _batch(spark, sf_dir, low: int, high: int) -> DataFrame:
     from a full join b on a.k = b.k cross join (values ('assert'), ('retract')) as ops(op) where a.v is distinct from b.v and case when op = 'assert' then b.v else a.v end is not null""",
 )
 def batch_diff(spark, sf_dir):
-    return revision.diff(_batch(spark, sf_dir, 1, 900), _batch(spark, sf_dir, 100, 1200)).select("declaration", "op", "cause", "object")
+    return revision.diff(_batch(spark, sf_dir, False), _batch(spark, sf_dir, True)).select("declaration", "op", "cause", "object")
 
 
 @query("replay_matches", "select 0::bigint as differences")
@@ -159,8 +161,8 @@ def causal_before(spark, sf_dir):
 
 @query("causal_concurrent", f"with c as (select conv_id, max(turn) as last from ({TURN}) group by 1) select 'turn.n' || a.conv_id || '.n0' as \"left\", 'turn.n' || b.conv_id || '.n0' as \"right\" from c a join c b on a.conv_id // 10 = b.conv_id // 10 where 'turn.n' || a.conv_id || '.n0' < 'turn.n' || b.conv_id || '.n0'")
 def causal_concurrent(spark, sf_dir):
-    first = data.table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    members = first.select(F.concat(F.lit("turn.n"), F.col("conv_id").cast("string"), F.lit(".n0")).alias("event"), F.floor(F.col("conv_id") / 10).alias("block"))
+    turns = data.table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    members = turns.select(F.concat(F.lit("turn.n"), F.col("conv_id").cast("string"), F.lit(".n"), F.col("turn").cast("string")).alias("event"), F.floor(F.col("conv_id") / 10).alias("block"))
     return causal.concurrent_within(causal.before(_turn_edges(spark, sf_dir)), members, "block")
 
 
@@ -356,7 +358,7 @@ def target_problems(spark, sf_dir):
 
 def _contracts(spark, sf_dir) -> DataFrame:
     """Parts as theorems: assumptions, guarantees, criticality and evidence by their keys."""
-    p = data.table(spark, sf_dir, "part").where("p_partkey <= 2000")
+    p = data.table(spark, sf_dir, "part")
     me, k = T.node("theorem", F.col("p_partkey")), F.col("p_partkey")
     fact = lambda rows, relation, obj: T.relationalise(rows, me, rel(relation), obj)
     return T.union([

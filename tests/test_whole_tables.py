@@ -25,3 +25,21 @@ def test_clocks_of_all_users(spark, tmp_path):
     assert collected(spark, tmp_path, "vector_before") == sorted((f"e{a}", f"e{b}") for a, b in together if less(a, b))
     assert collected(spark, tmp_path, "vector_concurrent") == [(sum(a < b and not less(a, b) and not less(b, a) for a, b in together),)]
     assert collected(spark, tmp_path, "hlc_before") == sorted((f"e{a}", f"e{b}") for a, b in together if hybrid[a] < hybrid[b])
+
+
+def test_audit_diff_and_concurrency_of_whole_tables(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in range(1990, 2060)], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, "FOP"[k % 3]) for k in range(1150, 1500)], "o_orderkey bigint, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    turns = [(c, t) for c in range(8, 24) for t in range(c % 4 + 1)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [a for a, _ in collected(spark, tmp_path, "theorem_audit")] == [f"theorem.n{k}" for k in range(1990, 2060)]
+    want = []
+    for k in range(1150, 1500):
+        old = None if k % 11 == 0 else "FOP"[k % 3]
+        new = None if k % 13 == 0 else "X" if k % 7 == 0 else "FOP"[k % 3]
+        cause = "declaration_added" if old is None else "declaration_removed" if new is None else "declaration_changed"
+        want += [(f"order.n{k}", op, cause, f"value.{v}") for op, v in (("assert", new), ("retract", old)) if old != new and v]
+    assert collected(spark, tmp_path, "batch_diff") == sorted(want)
+    name = lambda x: f"turn.n{x[0]}.n{x[1]}"
+    pairs = [(name(a), name(b)) for a, b in product(turns, turns) if a[0] // 10 == b[0] // 10 and a[0] != b[0] and name(a) < name(b)]
+    assert collected(spark, tmp_path, "causal_concurrent") == sorted(pairs)
