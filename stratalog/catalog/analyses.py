@@ -130,7 +130,7 @@ def _batch(spark, sf_dir, later: bool) -> DataFrame:
 
 @query(
     "batch_diff",
-    """with a as (select o_orderkey as k, o_orderstatus as v from orders where o_orderkey between 1 and 900), b as (select o_orderkey as k, case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end as v from orders where o_orderkey between 100 and 1200)
+    """with a as (select o_orderkey as k, o_orderstatus as v from orders where o_orderkey % 11 <> 0), b as (select o_orderkey as k, case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end as v from orders where o_orderkey % 13 <> 0)
     select 'order.n' || coalesce(a.k, b.k) as declaration, op, case when a.k is null then 'declaration_added' when b.k is null then 'declaration_removed' else 'declaration_changed' end as cause, 'value.' || case when op = 'assert' then b.v else a.v end as object
     from a full join b on a.k = b.k cross join (values ('assert'), ('retract')) as ops(op) where a.v is distinct from b.v and case when op = 'assert' then b.v else a.v end is not null""",
 )
@@ -159,7 +159,13 @@ def causal_before(spark, sf_dir):
     return causal.before(_turn_edges(spark, sf_dir))
 
 
-@query("causal_concurrent", f"with c as (select conv_id, max(turn) as last from ({TURN}) group by 1) select 'turn.n' || a.conv_id || '.n0' as \"left\", 'turn.n' || b.conv_id || '.n0' as \"right\" from c a join c b on a.conv_id // 10 = b.conv_id // 10 where 'turn.n' || a.conv_id || '.n0' < 'turn.n' || b.conv_id || '.n0'")
+@query(
+    "causal_concurrent",
+    f"""with recursive t as ({TURN}), e as (select a.conv_id, a.turn as l, b.turn as r from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1), w as (select * from e union select w.conv_id, w.l, e.r from w join e on e.conv_id = w.conv_id and e.l = w.r),
+    m as (select conv_id, turn, conv_id // 10 as block, 'turn.n' || conv_id || '.n' || turn as event from t)
+    select a.event as "left", b.event as "right" from m a join m b on a.block = b.block and a.event < b.event
+    where not exists (select 1 from w where a.conv_id = b.conv_id and w.conv_id = a.conv_id and w.l = least(a.turn, b.turn) and w.r = greatest(a.turn, b.turn))""",
+)
 def causal_concurrent(spark, sf_dir):
     turns = data.table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
     members = turns.select(F.concat(F.lit("turn.n"), F.col("conv_id").cast("string"), F.lit(".n"), F.col("turn").cast("string")).alias("event"), F.floor(F.col("conv_id") / 10).alias("block"))
@@ -177,7 +183,7 @@ def _clocked(spark, sf_dir) -> DataFrame:
 
 @query(
     "vector_before",
-    """with c as (select event_id, user_id, row_number() over (partition by user_id order by event_id) as n, case when event_id % 5 = 0 then event_id // 50 else 0 end as h from events where user_id <= 40)
+    """with c as (select event_id, user_id, row_number() over (partition by user_id order by event_id) as n, case when event_id % 5 = 0 then event_id // 50 else 0 end as h from events)
     select 'e' || a.event_id as "left", 'e' || b.event_id as "right" from c a join c b on a.user_id = b.user_id where a.n <= b.n and a.h <= b.h and (a.n < b.n or a.h < b.h)""",
 )
 def vector_before(spark, sf_dir):
@@ -186,7 +192,7 @@ def vector_before(spark, sf_dir):
 
 @query(
     "vector_concurrent",
-    """with c as (select event_id, user_id, row_number() over (partition by user_id order by event_id) as n, case when event_id % 5 = 0 then event_id // 50 else 0 end as h from events where user_id <= 40)
+    """with c as (select event_id, user_id, row_number() over (partition by user_id order by event_id) as n, case when event_id % 5 = 0 then event_id // 50 else 0 end as h from events)
     select count(*)::bigint as n from c a join c b on a.user_id = b.user_id and a.event_id < b.event_id where not (a.n <= b.n and a.h <= b.h and (a.n < b.n or a.h < b.h)) and not (b.n <= a.n and b.h <= a.h and (b.n < a.n or b.h < a.h))""",
 )
 def vector_concurrent(spark, sf_dir):
@@ -195,7 +201,7 @@ def vector_concurrent(spark, sf_dir):
     return a.join(b, "user_id").where("i < j").where(clocks.vector_concurrent(F.col("l"), F.col("r"))).agg(F.count("*").alias("n"))
 
 
-@query("hlc_before", "select 'e' || a.event_id as \"left\", 'e' || b.event_id as \"right\" from events a join events b on a.user_id = b.user_id and epoch(a.ts)::bigint // 3600 <= epoch(b.ts)::bigint // 3600 where a.user_id <= 20 and (epoch(a.ts)::bigint // 3600 < epoch(b.ts)::bigint // 3600 or a.event_id % 7 < b.event_id % 7)")
+@query("hlc_before", "select 'e' || a.event_id as \"left\", 'e' || b.event_id as \"right\" from events a join events b on a.user_id = b.user_id and epoch(a.ts)::bigint // 3600 <= epoch(b.ts)::bigint // 3600 where (epoch(a.ts)::bigint // 3600 < epoch(b.ts)::bigint // 3600 or a.event_id % 7 < b.event_id % 7)")
 def hlc_before(spark, sf_dir):
     wall = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)
     e = data.table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event"), F.struct(F.lit("a").alias("actor"), wall.alias("wall"), (F.col("event_id") % 7).alias("logical")).alias("hybrid"))
@@ -371,7 +377,7 @@ def _contracts(spark, sf_dir) -> DataFrame:
 @query(
     "theorem_audit",
     """select 'theorem.n' || k as theorem, concat_ws(',', case when k % 3 <> 0 and k % 4 <> 0 and k % 11 <> 0 then 'vacuous-contract' end, case when k % 5 = 0 then 'guarantee-missing' end, case when k % 3 = 0 and k % 2 <> 0 then 'missing-assumption:assumption.n' || k end, case when k % 7 = 0 and k % 14 <> 0 then 'proof-evidence-missing' end) as issues
-    from (select p_partkey as k from part where p_partkey <= 2000)""",
+    from (select p_partkey as k from part)""",
 )
 def theorem_audit(spark, sf_dir):
     return governance.theorem_audit(_contracts(spark, sf_dir)).select("theorem", F.concat_ws(",", "issues").alias("issues"))
