@@ -88,4 +88,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring.ORACLE_SQL,
     "op3_warc": OP3_SQL,
     "op4_quality_rules": quality.oracle_sql(),
+    "op7_personal_data": pii.oracle_sql(),
 }

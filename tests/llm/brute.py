@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small tables."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -107,3 +108,42 @@ def quality(text):
     cover = {i for v in at.values() if len(v) > 1 for a in v for i in range(a, a + 8)}
     lines = [x for x in (text or "").split("\n") if words(x)]
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(cover))
+
+
+def terms(rows, threshold=0.5, support=3, risk=0.05):
+    """Disclosing terms of documents (doc_id, text) that are one passage each: term -> level."""
+    outside, held, prints = {}, {}, {}
+    for i, text in rows:
+        found = [(m.start(), m.end(), k, m[0].lower()) for k, p in KINDS for m in p.finditer(text or "") if valid(k, m[0])]
+        if not found:
+            continue
+        covered = {j for a, b, _, _ in found for j in range(a, b)}
+        clean = "".join(" " if j in covered else c for j, c in enumerate(text))
+        outside[i] = set(re.findall(r"[^\W\d_]{3,}", clean.lower()))
+        held[i] = set()
+        for _, _, k, v in found:
+            part = {"email": v.rpartition("@")[2], "ip": ".".join(v.split(".")[:2]), "card": re.sub("[^0-9]", "", v)[:4], "phone": re.sub(r"^(\+?[0-9]+).*", r"\1", v)}[k]
+            held[i] |= {(1, k, v), (2, k, part), (3, k)}
+        w = words(clean)
+        prints[i] = min(hashlib.md5(" ".join(w[j : j + 3]).encode()).hexdigest() for j in range(max(1, len(w) - 2)))
+    n = sum(1 for _, t in rows if t)
+    first = {min(i for i in prints if prints[i] == p) for p in set(prints.values())}
+    n_term = {}
+    for _, text in rows:
+        for t in set(re.findall(r"[^\W\d_]{3,}", (text or "").lower())):
+            n_term[t] = n_term.get(t, 0) + 1
+    count = lambda sets, keep: {x: sum(x in s for i, s in sets.items() if i in keep) for x in set().union(*sets.values())}
+    n_entity = count(held, set(held))
+    names = [e for e, k in count(held, first).items() if k >= support]
+    known = [t for t, k in count(outside, first).items() if k >= support]
+    both = {(e, t): sum(e in held[i] and t in outside[i] for i in first) for e in names for t in known}
+    both = {p: k for p, k in both.items() if k}
+    out = {}
+    for (e, t), k in both.items():
+        c = n_entity[e] / n
+        m = c * n_term[t]
+        if k < support or c == 1 or k <= m or k * math.log(k / m) - k + m < math.log(len(both) / risk):
+            continue
+        if math.log((k + c) / (n_term[t] + 1) / c) / -math.log(c) >= threshold:
+            out[t] = max(out.get(t, 0), e[0])
+    return out
