@@ -21,8 +21,15 @@ BREAK_CHARS = " \t\n\x0b\x0c\r"
 _shipped: set[str] = set()
 
 
+#: Files of fewer bytes than this may be one row group, which one task reads alone.
+SMALL = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one is dealt out, so that all cores work on it."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL
+    return df.repartition(parallelism(spark)) if small else df
 
 
 def ship(spark: SparkSession) -> None:

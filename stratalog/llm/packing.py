@@ -5,18 +5,20 @@ Documents longer than a sequence are cut into full pieces; what is left over
 an item goes into the open bin with the least free space that holds it.  The
 open bins are kept in one integer used as a bitset whose bit f says that some
 open bin has f free tokens, so the best fit is the lowest set bit at or above
-the item's length.  No more than ``open_bins`` bins stay open: when another one
-is needed, the fullest closes first.
+the item's length.  No more than ``open_bins`` bins are ever open: when another
+one is needed, the fullest closes first.
 
-Items are dealt to ``lanes`` by a hash of their document.  In a lane they arrive
-from long to short, ties by that hash, so a retried task makes the same
-sequences again and no task sees more than its share.  Long items first, each
-opens a bin and later ones fill what is left; this needs about as many open
-bins as a lane has long items, which bounds a lane's size.
+Items are dealt to lanes by a hash of their document and arrive there by doc_id
+and piece.  The next ``ahead`` of them are looked at together and placed from
+long to short: long ones open bins, the short ones behind them fill these.  So
+memory is bounded by the two parameters, a retried task makes the same sequences
+again, and no task sees more than its lane.  What a lane leaves open at its end
+is all that lanes cost.
 
 Defined results: a null or empty text is a document of just the separator; rows
-with equal doc_id are packed as separate documents; an empty table gives no
-rows; further columns are left out.
+with equal doc_id are packed as separate documents, and ties in length are
+placed in order of arrival; an empty table gives no rows; further columns are
+left out.  A very long text is held whole once, as its packed ids.
 """
 
 from __future__ import annotations
@@ -103,7 +105,7 @@ class Packer:
         self.capacity, self.open_bins = capacity, open_bins
         self.free = 0  # bit f: some open bin has f free tokens
         self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]  # by free tokens
-        self.open = self.made = 0
+        self.open = self.made = self.closed = 0  # closed: for want of room for another bin
 
     def put(self, length: int) -> tuple[int, int]:
         """(bin, offset in it) of an item."""
@@ -115,6 +117,7 @@ class Packer:
             if self.open == self.open_bins:
                 self._take((self.free & -self.free).bit_length() - 1)  # the fullest closes
                 self.open -= 1
+                self.closed += 1
             number, room = self.made, self.capacity
             self.made += 1
             self.open += 1
@@ -133,36 +136,52 @@ class Packer:
         return number
 
 
-def pack(items: DataFrame, capacity: int, lanes: int, open_bins: int = 8192) -> DataFrame:
+def pack(items: DataFrame, capacity: int, lanes: int, open_bins: int = 256, ahead: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length (at most ``capacity``)."""
     common.ship(items.sparkSession)
     kept = items.columns
     # salted with the piece: the full pieces of one very long document spread over the lanes
     dealt = items.withColumn("__h", F.xxhash64("doc_id", "piece", "length")).withColumn("__lane", F.pmod("__h", F.lit(lanes)).cast("int"))
-    dealt = dealt.repartition(lanes, "__lane").sortWithinPartitions("__lane", F.desc("length"), "__h", "doc_id", "piece")
+    dealt = dealt.repartition(lanes, "__lane").sortWithinPartitions("__lane", "doc_id", "piece", "length", "ids_crc32")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id bigint, offset bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lane, packer = None, None
+        lane, packer, held = None, None, None
+
+        def placed(some: pa.RecordBatch, at: int) -> pa.RecordBatch:
+            nonlocal lane, packer
+            if at != lane:
+                lane, packer = at, Packer(capacity, open_bins)
+            length = some.column(some.schema.names.index("length")).to_numpy()
+            seq, off = np.empty(len(length), dtype=np.int64), np.empty(len(length), dtype=np.int64)
+            for i in np.argsort(-length, kind="stable").tolist():
+                number, off[i] = packer.put(int(length[i]))
+                seq[i] = (lane << 40) | number
+            return pa.RecordBatch.from_arrays([some.column(some.schema.names.index(c)) for c in kept] + [pa.array(seq), pa.array(off)], names=[*kept, "sequence_id", "offset"])
+
         for batch in batches:
-            names = batch.schema.names
-            seq, off = [], []
-            for at, size in zip(batch.column(names.index("__lane")).to_pylist(), batch.column(names.index("length")).to_pylist()):
-                if at != lane:
-                    lane, packer = at, Packer(capacity, open_bins)
-                number, offset = packer.put(size)
-                seq.append((lane << 40) | number)
-                off.append(offset)
-            yield pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in kept] + [pa.array(seq, pa.int64()), pa.array(off, pa.int64())], names=[*kept, "sequence_id", "offset"])
+            held = pa.concat_batches([held, batch]) if held is not None else batch
+            of = held.column(held.schema.names.index("__lane")).to_numpy()
+            begin = 0
+            while begin < len(of):
+                end = int(np.searchsorted(of, of[begin], side="right"))
+                if end == len(of) and end - begin < ahead:
+                    break  # more of this lane may come
+                end = min(end, begin + ahead)
+                yield placed(held.slice(begin, end - begin), int(of[begin]))
+                begin = end
+            held = held.slice(begin)
+        if held is not None and held.num_rows:
+            yield placed(held, int(held.column(held.schema.names.index("__lane"))[0].as_py()))
 
     return dealt.mapInArrow(run, schema)
 
 
-def lanes_for(docs: DataFrame, rows_per_lane: int = 8192) -> int:
-    """How many lanes: each packs about ``rows_per_lane`` documents, which leaves about a thousandth of the space open."""
+def lanes_for(docs: DataFrame, rows_per_lane: int = 2048) -> int:
+    """How many lanes: each packs about ``rows_per_lane`` documents."""
     return max(1, -(-docs.count() // rows_per_lane))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, open_bins: int = 8192, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, open_bins: int = 256, with_ids: bool = False, rows_per_lane: int = 2048) -> DataFrame:
     """Tokens of every document, cut and packed: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
-    return pack(pieces(docs, tokenizer, capacity, with_ids), capacity, lanes_for(docs), open_bins)
+    return pack(pieces(docs, tokenizer, capacity, with_ids), capacity, lanes_for(docs, rows_per_lane), open_bins)
