@@ -9,17 +9,22 @@ algorithm from left to right.  A text's is the product over its words.
 *Training* is expectation-maximisation: the backward algorithm adds to each
 piece's count the share of the segmentations of each word that use it.  It runs
 on the word counts of a sample of at most about ``sample`` labelled documents a
-language, drawn by a hash of doc_id and counted in Spark; the model has one
-number a piece and language.
+language, drawn by a hash of doc_id and counted in Spark, and on words of at
+most ``TABLE`` letters; the model has one number a piece and language.
 
 *Scoring* is by word: words met lately are remembered with their log
 probabilities, new ones of a batch are computed together, position by position.
+A run of more than ``TABLE`` letters is scored on its own by the same algorithm,
+which needs the last few positions only and rescales them as it goes: no run is
+cut, its segmentations are all summed, and time is in proportion to its length.
+
+Words are runs of Unicode letters (general categories L) in training and in
+scoring alike; digits, fractions and numerals are none.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 without labelled documents every text is ``und``; ties go to the language first
-by name; words are cut after ``LONGEST`` letters, so a run of letters of any
-length is scored in full in bounded steps; repeated rows are each returned;
-further columns are left out.
+by name; repeated rows are each returned; an empty table gives no rows; further
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -38,9 +43,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Letters, and numerals that are not decimal digits.
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGIN = "▁"
-LONGEST = 48
+#: Longest words whose positions share a table; their probabilities are far above the least double.
+TABLE = 32
 UNKNOWN = "und"
 #: More than the length of any piece.
 LENGTHS = 64
@@ -50,9 +57,9 @@ STRAY = 1e-8
 
 def words_in(text: str) -> list[str]:
     found = LETTERS.findall(text.lower())
-    if max(map(len, found), default=0) > LONGEST:
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ("".join(c if c.isalpha() else " " for c in w).split())]
 
 
 class Pieces:
@@ -62,6 +69,7 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.names = sorted({n for n in names if (n.removeprefix(BEGIN) or "a").isalpha() and n == n.lower() and n and "<" not in n})
+        self.longest = max(map(len, self.names), default=0)
         self.matcher = ahocorasick.Automaton()
         for i, n in enumerate(self.names):
             self.matcher.add_word(n, i * LENGTHS + len(n))
@@ -70,6 +78,31 @@ class Pieces:
     def lattice(self, words: list[str]) -> "Lattice":
         return Lattice(self, words)
 
+    def log_probability(self, word: str, p: np.ndarray) -> np.ndarray:
+        """Log probability of a word of any length in each language.
+
+        Only the forward vectors of as many places as the longest piece has are
+        held, as a ring; they are divided by the latest one whenever that gets
+        small, and the logarithms of the divisors are added up.
+        """
+        marked, size = BEGIN + word, self.longest + 1
+        ring = np.zeros((size, p.shape[1]))
+        ring[0] = 1.0
+        scale = np.zeros(p.shape[1])
+        matches = self.matcher.iter(marked)
+        coming = next(matches, None)
+        for e in range(1, len(marked) + 1):
+            new = STRAY * ring[(e - 1) % size]
+            while coming is not None and coming[0] == e - 1:
+                piece, length = divmod(coming[1], LENGTHS)
+                new = new + ring[(e - length) % size] * p[piece]
+                coming = next(matches, None)
+            ring[e % size] = new
+            if new.min() < 1e-100:
+                ring /= new
+                scale += np.log(new)
+        return np.log(ring[len(marked) % size]) + scale
+
 
 class Lattice:
     """All pieces in some words: of which word, from where to where, which piece; sorted by their end."""
@@ -103,14 +136,14 @@ class Lattice:
         return alpha
 
     def log_probabilities(self, p: np.ndarray) -> np.ndarray:
-        return np.log(np.maximum(self.forward(p)[np.arange(len(self.size)), self.size], 1e-300))
+        return np.log(self.forward(p)[np.arange(len(self.size)), self.size])
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in each language; ``weight`` is words x languages."""
         alpha = self.forward(p)
         n, rows = self.size, np.arange(len(self.size))
         beta = np.zeros_like(alpha)
-        beta[rows, n] = weight / np.maximum(alpha[rows, n], 1e-300)
+        beta[rows, n] = weight / alpha[rows, n]
         counts = np.zeros_like(p)
         for e in range(alpha.shape[1] - 1, 0, -1):
             a, b = self.cut[e], self.cut[e + 1] if e + 1 < len(self.cut) else len(self.end)
@@ -133,7 +166,7 @@ def fit(counts: dict[str, dict[str, int]], vocabulary: str, rounds: int = 4, smo
     """Piece probabilities from each language's word counts."""
     languages = sorted(counts)
     pieces = Pieces(vocabulary)
-    words = sorted(set().union(*counts.values())) if counts else []
+    words = sorted(w for w in set().union(*counts.values()) if len(w) <= TABLE) if counts else []
     weight = np.array([[counts[x].get(w, 0) for x in languages] for w in words], dtype=np.float64).reshape(len(words), len(languages))
     # to begin with, a piece is the likelier the longer it is, alike in all languages
     p = np.repeat(np.array([4.0 ** (len(n) - 12) for n in pieces.names])[:, None], max(1, len(languages)), axis=1)
@@ -159,7 +192,7 @@ def train(docs: DataFrame, vocabulary: str, sample: int = 500) -> Model:
         limit = F.when(F.col("lang") == language, int(min(1.0, sample / n) * (1 << 20))).otherwise(limit)
     drawn = known.where(F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id").cast("bigint")), F.lit(1 << 20)) < limit)
     counts: dict[str, dict[str, int]] = {x: {} for x in sizes}
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{LONGEST}}}"), F.lit(0)))
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     for r in drawn.select("lang", words.alias("word")).groupBy("lang", "word").count().collect():  # the words of the sample
         counts[r["lang"]][r["word"]] = r["count"]
     return fit(counts, vocabulary)
@@ -177,6 +210,10 @@ class Scorer:
 
     def texts(self, lists: list[list[str]]) -> np.ndarray:
         """Log probability of each list of words in each language."""
+        runs = {w: self.pieces.log_probability(w, self.p) for w in {w for words in lists for w in words if len(w) > TABLE}}
+        if runs:
+            rest = self.texts([[w for w in words if len(w) <= TABLE] for words in lists])
+            return rest + np.array([sum((runs[w] for w in words if len(w) > TABLE), np.zeros(rest.shape[1])) for words in lists])
         new = list(set().union(*lists) - self.place.keys()) if lists else []
         if len(self.place) + len(new) > self.limit and self.place:
             self.place, self.table = {}, self.table[:0]

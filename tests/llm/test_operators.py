@@ -376,6 +376,76 @@ def test_forward_sums_segmentations():
     assert got == pytest.approx([np.log(total("▁" + w)) for w in ("hello", "yellow", "q中")])
 
 
+def segmentations(word, pieces):
+    """All ways to cut a word into pieces and strays (None), as lists of (piece, length)."""
+    if not word:
+        return [[]]
+    out = [[None, *rest] for rest in segmentations(word[1:], pieces)]
+    for n in range(1, len(word) + 1):
+        if word[:n] in pieces:
+            out += [[word[:n], *rest] for rest in segmentations(word[n:], pieces)]
+    return out
+
+
+def brute_language(counts, rounds=4, smoothing=0.1):
+    """Piece probabilities by enumeration of all segmentations of all words."""
+    names = langid.Pieces(PIECES).names
+    start = {n: 4.0 ** (len(n) - 12) for n in names}
+    share = lambda x: (lambda whole: {k: v / whole for k, v in x.items()})(sum(x.values()))
+    known, out = set(names), {}
+    for language, words in counts.items():
+        p = share(start)
+        cuts = {w: segmentations("▁" + w, known) for w in words}
+        for _ in range(rounds):
+            used = dict.fromkeys(names, smoothing)
+            for w, n in words.items():
+                weights = [np.prod([langid.STRAY if x is None else p[x] for x in c]) for c in cuts[w]]
+                for c, x in zip(cuts[w], weights):
+                    for piece in c:
+                        if piece is not None:
+                            used[piece] += n * x / sum(weights)
+            p = share(used)
+        out[language] = (p, lambda w, p=p: np.log(sum(np.prod([langid.STRAY if x is None else p[x] for x in c]) for c in segmentations("▁" + w, known))))
+    return out
+
+
+def test_language_by_enumeration(spark):
+    counts = {"xx": {"hello": 3, "yellow": 2, "low": 1}, "yy": {"hallo": 2, "gelb": 3, "well": 1}}
+    want, model = brute_language(counts), langid.fit(counts, PIECES)
+    names = langid.Pieces(PIECES).names
+    for k, language in enumerate(model.languages):
+        assert np.exp(model.log_p[:, k]) == pytest.approx(np.array([want[language][0][n] for n in names]), rel=1e-9)
+    texts = ["hello low", "gelb", "Hallo, WELL!", "½ ② yellow", "zz q"]
+    docs = spark.createDataFrame([*enumerate(texts), (9, "½ ² Ⅷ ①"), (10, "７ 3")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[a-z]+", text.lower())
+        logs = [sum(want[x][1](w) for w in words) for x in model.languages]
+        share = np.exp(np.array(logs) - max(logs))
+        assert got[i]["lang_pred"] == model.languages[int(np.argmax(logs))] and got[i]["score"] == pytest.approx(1 / share.sum())
+    assert got[9]["lang_pred"] == got[10]["lang_pred"] == "und"
+
+
+def test_long_runs_of_letters_are_not_cut():
+    model = langid.fit({"x": {"hello": 3, "yellow": 2}, "y": {"kalo": 3}}, PIECES)
+    scorer = langid.Scorer(model)
+    for word in ("hello" * 6, "helloyellow" * 2, "中" * 20):  # by either way
+        assert scorer.pieces.log_probability(word, scorer.p) == pytest.approx(scorer.pieces.lattice([word]).log_probabilities(scorer.p)[0])
+    run = "helloyellow" * 40
+    p = scorer.p[:, 0].astype(object)
+    a, place = [1] + [0] * (len(run) + 1), {n: i for i, n in enumerate(scorer.pieces.names)}
+    from fractions import Fraction
+
+    marked = "▁" + run
+    for e in range(1, len(marked) + 1):
+        a[e] = sum(a[s] * Fraction(float(p[place[marked[s:e]]])) for s in range(max(0, e - 40), e) if marked[s:e] in place) + Fraction(langid.STRAY) * a[e - 1]
+        a[e] = Fraction(a[e].numerator >> max(0, a[e].denominator.bit_length() - 4000), max(1, a[e].denominator >> max(0, a[e].denominator.bit_length() - 4000)))
+    exact = (a[-1].numerator.bit_length() - a[-1].denominator.bit_length()) * np.log(2)
+    assert scorer.texts([[run]])[0][0] == pytest.approx(exact, abs=2)
+    far = scorer.texts([["中" * 3000], ["中" * 3000 + "kalo" * 20], ["hello", run]])
+    assert np.isfinite(far).all() and far[1][1] > far[1][0] and far[2] == pytest.approx(scorer.texts([["hello"]])[0] + scorer.texts([[run]])[0])
+
+
 # ---- 9
 
 
