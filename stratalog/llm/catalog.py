@@ -84,7 +84,7 @@ from p left join k using (payload)
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_document_fingerprints": merkle.ORACLE_SQL,
+    "op1_document_fingerprints": merkle.oracle_sql(),
     "op2_substring_dedup": substring.ORACLE_SQL,
     "op3_warc": OP3_SQL,
     "op4_quality_rules": quality.oracle_sql(),

@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
+from itertools import zip_longest
 
 import xxhash
 
@@ -147,3 +149,35 @@ def terms(rows, threshold=0.5, support=3, risk=0.05):
         if math.log((k + c) / (n_term[t] + 1) / c) / -math.log(c) >= threshold:
             out[t] = max(out.get(t, 0), e[0])
     return out
+
+
+SENTENCE = re.compile(r"[^.!?\n]{1,120}[.!?]{0,8}|[.!?]{1,8}")
+
+
+def _sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def _leaves(text):
+    return [hashlib.md5(x.encode()).hexdigest()[:14] + f"{len(x):02x}" for x in SENTENCE.findall(text)]
+
+
+def merkle(text):
+    sections = [s.split("\n") for s in text.split("\n\n")]
+    root = _sha("r" + "".join(_sha("s" + "".join(_sha("p" + p) for p in s)) for s in sections))
+    return root + "/" + "/".join(",".join(_sha("p" + p)[:16] + ":" + ".".join(_leaves(p)) for p in s) for s in sections)
+
+
+def likeness(a, b):
+    count = lambda t: Counter(SENTENCE.findall(t) + ["\n"] * t.count("\n"))
+    both = sum(len(x) * n for x, n in (count(a) & count(b)).items())
+    return 2 * both / (len(a) + len(b)) if a or b else 1.0
+
+
+def edits(a, b):
+    out = []
+    for i, (s, t) in enumerate(zip_longest([s.split("\n") for s in a.split("\n\n")], [s.split("\n") for s in b.split("\n\n")])):
+        for j, (p, q) in enumerate(zip_longest(s or [], t or [])):
+            if p != q:
+                out.append(f"{i}:{j}:{'right' if p is None else 'left' if q is None else 'changed'}")
+    return ",".join(out)

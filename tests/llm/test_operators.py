@@ -53,7 +53,9 @@ def test_fingerprints(spark, rows, docs):
         t, nxt = texts[i], texts[(i + 1) % len(texts)]
         edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
         assert got[r[0]]["n_chars"] == len(t) and got[r[0]]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[r[0]]["near_next"] <= 1 and (got[r[0]]["edited_fingerprint"] == got[r[0]]["fingerprint"]) == (edited == t)
+        assert got[r[0]]["near_next"] == pytest.approx(brute.likeness(t, nxt)) and got[r[0]]["near_edited"] == pytest.approx(brute.likeness(t, edited))
+        assert got[r[0]]["fingerprint"] == brute.merkle(t) and got[r[0]]["edits"] == brute.edits(t, edited)
+        assert (got[r[0]]["edited_fingerprint"] == got[r[0]]["fingerprint"]) == (edited == t)
     by_text = {}
     for i, r in enumerate(rows):
         by_text.setdefault(texts[i], set()).add(got[r[0]]["fingerprint"])
@@ -66,9 +68,16 @@ def test_fingerprint_cases(spark, none):
     assert merkle.compare_edits(one).first()["near_next"] == 1.0
     twice = spark.createDataFrame([(1, "a."), (1, "a."), (2, None), (None, "z")], "doc_id bigint, text string")
     assert merkle.with_next_text(twice, runs=2).count() == 4 and {(r[0], r[2]) for r in merkle.with_next_text(twice, runs=2).collect()} == {(None, "a."), (1, "a."), (1, ""), (2, "z")}
-    pair = spark.createDataFrame([("one.\ntwo.\n\nthree.", "one.\nTWO.\n\nthree.\nfour.")], "a string, b string")
-    found = pair.select(merkle.differences(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("d")).first()["d"]
-    assert [(d["section"], d["paragraph"], d["kind"]) for d in found] == [(0, 1, "changed"), (1, 1, "only_right")]
+    pair = [("one.\ntwo.\n\nthree.", "one.\nTWO.\n\nthree.\nfour."), ("a.\na.\nb.", "a.\nb."), ("x", "x\n"), ("", "\n\n\n"), ("a. " * 5000, "a. " * 4000 + "b.\n\n"), ("one two " * 90_000, "one two " * 90_000 + "three")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pair)], "i int, a string, b string").select("i", merkle.tree("a").alias("a"), merkle.tree("b").alias("b"), F.length("a").alias("n"), F.length("b").alias("m"))
+    near = merkle.likeness(merkle.leaves("a"), merkle.leaves("b"), merkle.breaks("a"), merkle.breaks("b"), F.col("n"), F.col("m"))
+    for r in rows.select("i", near.alias("near"), merkle.differences("a", "b").alias("d")).collect():
+        assert r["near"] == pytest.approx(brute.likeness(*pair[r["i"]])) and r["d"] == brute.edits(*pair[r["i"]])
+    assert brute.edits(*pair[0]) == "0:1:changed,1:1:right" and brute.likeness(*pair[1]) < 1 and brute.likeness(*pair[2]) < 1
+    long = spark.createDataFrame([(1, "A sentence. " * 40_000 + "\n\nend"), (2, "z" * 300_000)], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["fingerprint"] for r in merkle.compare_edits(long).collect()} == {1: brute.merkle("A sentence. " * 40_000 + "\n\nend"), 2: brute.merkle("z" * 300_000)}
+    clash = spark.createDataFrame([("a", 1, 2)], "text string, tree int, fingerprint int")
+    assert merkle.trees(clash).first()["fingerprint"] == brute.merkle("a")
 
 
 # ---- 2
