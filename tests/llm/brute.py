@@ -112,7 +112,7 @@ def quality(text):
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(cover))
 
 
-def terms(rows, threshold=0.5, support=3, risk=0.05):
+def terms(rows, threshold=0.5, support=3, risk=0.05, belief=0.2):
     """Disclosing terms of documents (doc_id, text) that are one passage each: term -> level."""
     outside, held, prints = {}, {}, {}
     for i, text in rows:
@@ -146,7 +146,8 @@ def terms(rows, threshold=0.5, support=3, risk=0.05):
         m = c * n_term[t]
         if k < support or c == 1 or k <= m or k * math.log(k / m) - k + m < math.log(len(both) / risk):
             continue
-        if math.log((k + c) / (n_term[t] + 1) / c) / -math.log(c) >= threshold:
+        known = (k + c) / (n_term[t] + 1)
+        if math.log(known / c) / -math.log(c) >= threshold and known >= belief:
             out[t] = max(out.get(t, 0), e[0])
     return out
 
