@@ -1,30 +1,38 @@
 """Toxic spans by a linear-chain conditional random field (operator 5).
 
 *Labelled tokens.*  Labels mark documents, so tokens are labelled from them: a
-feature (a word, one of its beginnings or its ending) is telling if nearly all
-documents of the training sample that have it are marked toxic; a token with a
-telling feature in a toxic document is labelled toxic, every other token clean.
-
-*Model.*  Two states; a token's score is a bias and its features' weights, a
-pair of neighbours adds a transition weight.  Weights are fitted on sentences of
-the sample by gradient ascent on the conditional likelihood, with exact
-expectations from forward-backward.
+word, or one of its beginnings or endings, is telling if nearly all documents of
+the training sample that have it are marked toxic; a token with a telling part in
+a toxic document is labelled toxic, every other token of the sample clean.
+
+*Model.*  Two states; a token's score is a bias and the weights of its features:
+the word, its beginnings and endings, its shape (length, letters beyond ASCII)
+and the words before and after it.  Features of clean and toxic tokens alike
+have weights, so evidence counts for and against: a telling word in company that
+clean documents keep is no sign.  A pair of neighbours adds a transition weight.
+Weights are fitted by gradient ascent on the conditional likelihood of the
+labelled tokens, sentence by sentence, with exact expectations from
+forward-backward, and a penalty on their squares.
 
 *Scoring.*  Forward-backward over the whole text gives each token's marginal
 probability; a document's score is a logistic function of its greatest marginal
-log-odds, fitted on the sample's documents.  Forward and backward messages of a
-two-state chain are kept as odds, one number a token, which cannot overflow, and
-all documents of a batch advance together.
+log-odds, fitted on the sample's documents, and its offending offsets are the
+tokens of at least one half.  Forward and backward messages of a two-state chain
+are kept as odds, one number a token, which cannot overflow, and all documents
+of a batch advance together.
 
-The sample is at most about ``sample`` labelled documents, drawn by a hash of
-doc_id and collected to the driver; the model is a table of weights of at most
-``features`` entries.  Nothing else is collected.
+Bounds, all parameters: the model is fitted on about ``sample`` labelled
+documents, drawn by a hash of doc_id and collected to the driver, and there on
+at most ``sentences`` of their sentences with a toxic token and as many without,
+drawn by a fixed seed.  Scoring covers every whole text.
 
 Defined results: a null or empty text, or one without letters, gets the score of
 a document without any sign; without labels of both kinds every document gets
 the share of toxic labels (0 if there are none); of several labels for a doc_id
 the toxic one counts; null labels count as none; repeated rows are each
-returned; further columns are left out by ``score`` and kept by ``drop_toxic``.
+returned; a score of exactly one half is toxic; an empty table gives no rows;
+further columns, whatever their names, are left out by ``score`` and kept by
+``drop_toxic``.  A very long text is one chain, whose cost is its length.
 """
 
 from __future__ import annotations
@@ -48,9 +56,23 @@ MOST = 12.0
 
 
 def features(token: str) -> list[str]:
+    """The word, its beginnings and its endings."""
     return [token, *(token[:n] + "*" for n in (3, 4, 5, 6) if len(token) > n), *("*" + token[-n:] for n in (4, 5) if len(token) > n)]
 
 
+def shape(token: str) -> list[str]:
+    return [f"#{min(len(token), 12)}", "#ascii" if token.isascii() else "#wide"]
+
+
+def in_context(words: list[str]) -> list[list[str]]:
+    """All features of each word of a sentence; those of neighbours end in < (the word before) and > (the one after)."""
+    out = [[*features(w), *shape(w)] for w in words]
+    for i in range(1, len(words)):
+        out[i].append(words[i - 1] + "<")
+        out[i - 1].append(words[i] + ">")
+    return out
+
+
 def marginal_logits(scores: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """Log-odds of the second state for each token of sequences laid end to end.
 
@@ -100,17 +122,18 @@ class Model:
     intercept: float
     constant: float | None = None
 
-    def token_score(self, token: str) -> float:
+    def token_score(self, token: str) -> tuple[float, float, float]:
+        """What a word adds to its own score, to that of the word after it and to that of the word before it."""
         get = self.weights.get
-        return self.bias + sum([get(f, 0.0) for f in features(token)])
+        return self.bias + sum([get(f, 0.0) for f in [*features(token), *shape(token)]]), get(token + "<", 0.0), get(token + ">", 0.0)
 
 
 def tokens_of(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def telling(texts: list[str], toxic: np.ndarray, least: int = 5, purity: float = 0.95, most: int = 20_000) -> set[str]:
-    """Features of at least ``least`` toxic documents that hardly any others have, between as many different pairs of neighbours.
+def telling(texts: list[str], toxic: np.ndarray, least: int = 5, purity: float = 0.95) -> set[str]:
+    """Words, beginnings and endings of at least ``least`` toxic documents that hardly any others have, between as many different pairs of neighbours.
 
     Copies of a document give the same neighbours, so words that only they share do not pass.
     """
@@ -119,80 +142,88 @@ def telling(texts: list[str], toxic: np.ndarray, least: int = 5, purity: float =
         if y:
             bad.update({f for t in set(tokens_of(text)) for f in features(t)})
     bad = Counter({f: n for f, n in bad.items() if n >= least})
+    known = common.Remembered(lambda w: [f for f in features(w) if f in bad], 200_000)
     for text, y in zip(texts, toxic.tolist()):
         if not y:
-            good.update({f for t in set(tokens_of(text)) for f in features(t) if f in bad})
-    between: dict[str, set[int]] = {f: set() for f, n in bad.items() if n / (n + good[f]) >= purity}
+            good.update({f for t in set(tokens_of(text)) for f in known[t]})
+    between: dict[str, set[tuple[str, str]]] = {f: set() for f, n in bad.items() if n / (n + good[f]) >= purity}
     for text, y in zip(texts, toxic.tolist()):
         tokens = tokens_of(text) if y else []
         for a, t, b in zip(["", *tokens], tokens, [*tokens[1:], ""]):
             for f in features(t):
                 if f in between:
-                    between[f].add(hash((a, b)))
-    found = [(len(x), f) for f, x in between.items() if len(x) >= least]
-    return {f for _, f in sorted(found, key=lambda x: (-x[0], x[1]))[:most]}
+                    between[f].add((a, b))
+    return {f for f, x in between.items() if len(x) >= least}
+
+
+class Labelled:
+    """Sentences with tagged tokens: which feature occurs at which token."""
+
+    def __init__(self, rows: list[tuple[list[str], list[int]]], least: int = 5):
+        seen = Counter(f for words, _ in rows for found in in_context(words) for f in found)
+        self.names = sorted(f for f, n in seen.items() if n >= least)
+        number = {f: i for i, f in enumerate(self.names)}
+        place, feature, tag = [], [], []
+        for words, tags in rows:
+            for found, t in zip(in_context(words), tags):
+                known = [number[f] for f in found if f in number]
+                feature += known
+                place += [len(tag)] * len(known)
+                tag.append(t)
+        self.place, self.feature, self.tag = np.array(place, dtype=np.int64), np.array(feature, dtype=np.int64), np.array(tag, dtype=np.int64)
+        self.lengths = np.array([len(words) for words, _ in rows], dtype=np.int64)
+        inner = np.ones(len(tag), dtype=bool)
+        inner[np.cumsum(self.lengths) - self.lengths] = False
+        self.right = np.flatnonzero(inner)
+        self.left = self.right - 1
+        self.pairs = np.zeros((2, 2))
+        np.add.at(self.pairs, (self.tag[self.left], self.tag[self.right]), 1)
+
+    def gradient(self, theta: np.ndarray) -> np.ndarray:
+        """Of the log likelihood of the tags; ``theta`` is the features' weights, the bias and the transitions."""
+        n = len(self.names)
+        w, bias, trans = theta[:n], theta[n], theta[n + 1 :].reshape(2, 2)
+        score = np.bincount(self.place, w[self.feature], minlength=len(self.tag)) + bias
+        logits, forward, backward = chain(score, self.lengths, trans)
+        gap = self.tag - 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
+        # a pair's joint weight: forward odds of the left, transition, token and rest of the right
+        e, x, f = np.exp(trans), np.exp(np.clip(score[self.right], -MOST, MOST)) * backward[self.right], forward[self.left]
+        joint = np.stack([e[0, 0] * np.ones_like(f), e[0, 1] * x, e[1, 0] * f, e[1, 1] * f * x])
+        joint /= joint.sum(axis=0)
+        return np.concatenate([np.bincount(self.feature, gap[self.place], minlength=n), [gap.sum()], self.pairs.ravel() - joint.sum(axis=1)])
 
 
-def fit(texts: list[str], toxic: np.ndarray, sentences: int = 20_000, rounds: int = 60) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, sentences: int = 6_000, rounds: int = 60, penalty: float = 0.05, purity: float = 0.95) -> Model:
     """Fits the field and the document score on texts with labels 0 and 1."""
     toxic = np.asarray(toxic, dtype=np.int64)
     if not toxic.any() or toxic.all():
         return Model({}, 0.0, np.zeros((2, 2)), 0.0, 0.0, float(toxic.mean()) if len(toxic) else 0.0)
-    signs = telling(texts, toxic)
-    # sentences with a toxic token, and as many others at most
+    signs = telling(texts, toxic, purity=purity)
+    sign = common.Remembered(lambda w: int(not signs.isdisjoint(features(w))), 50_000)
     kept: list[tuple[list[str], list[int]]] = []
     clean: list[tuple[list[str], list[int]]] = []
-    pick = np.random.default_rng(0)
-    share = min(1.0, 5 * sentences / max(1, sum(map(len, texts)) / 60))
     for text, y in zip(texts, toxic.tolist()):
-        for s in SENTENCE.findall(text):
-            if not y and pick.random() > share:
-                continue
-            words = tokens_of(s)
-            tags = [int(bool(y) and not signs.isdisjoint(features(w))) for w in words]
+        for part in SENTENCE.findall(text):
+            words = tokens_of(part)
+            tags = [sign[w] for w in words] if y else [0] * len(words)
             if any(tags):
                 kept.append((words, tags))
-            elif words and len(clean) < sentences:
+            elif words:
                 clean.append((words, tags))
-    rows = [x[i] for x in (kept, clean) for i in sorted(pick.permutation(len(x))[: sentences // 2].tolist())]
-    names = sorted(signs & {f for words, tags in rows for w, t in zip(words, tags) if t for f in features(w)})
-    number = {f: i for i, f in enumerate(names)}
-    place, feature, tag, lengths = [], [], [], []
-    for words, tags in rows:
-        for w, t in zip(words, tags):
-            for f in features(w):
-                if f in number:
-                    place.append(len(tag))
-                    feature.append(number[f])
-            tag.append(t)
-        lengths.append(len(words))
-    place, feature, tag, lengths = np.array(place, dtype=np.int64), np.array(feature, dtype=np.int64), np.array(tag), np.array(lengths)
-    inner = np.ones(len(tag), dtype=bool)
-    inner[np.cumsum(lengths) - lengths] = False
-    left, right = np.flatnonzero(inner) - 1, np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (tag[left], tag[right]), 1)
-    theta = np.zeros(len(names) + 5)  # weights, bias, transitions
-    theta[len(names)] = -2.0
+    pick = np.random.default_rng(0)
+    data = Labelled([x[i] for x in (kept, clean) for i in sorted(pick.permutation(len(x))[:sentences].tolist())])
+    n = len(data.names)
+    theta = np.zeros(n + 5)
+    theta[n] = -2.0
     square = np.zeros_like(theta)
     for _ in range(rounds):
-        w, bias, trans = theta[: len(names)], theta[len(names)], theta[len(names) + 1 :].reshape(2, 2)
-        score = np.bincount(place, w[feature], minlength=len(tag)) + bias
-        logits, forward, backward = chain(score, lengths, trans)
-        p = 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
-        # a pair's joint weight: forward odds of the left, transition, token and rest of the right
-        e, x = np.exp(trans), np.exp(np.clip(score[right], -MOST, MOST)) * backward[right]
-        f = forward[left]
-        joint = np.stack([e[0, 0] * np.ones_like(f), e[0, 1] * x, e[1, 0] * f, e[1, 1] * f * x])
-        joint /= joint.sum(axis=0)
-        gap = tag - p
-        grad = np.concatenate([np.bincount(feature, gap[place], minlength=len(names)), [gap.sum()], (seen.ravel() - joint.sum(axis=1))]) - 0.05 * theta
+        grad = data.gradient(theta) - penalty * theta
         square += grad * grad
         theta += 0.5 * grad / np.sqrt(square + 1e-8)
-    weights = {f: float(x) for f, x in zip(names, theta) if abs(x) > 0.01}
-    model = Model(weights, float(theta[len(names)]), theta[len(names) + 1 :].reshape(2, 2).copy(), 1.0, 0.0)
+    weights = {f: float(x) for f, x in zip(data.names, theta) if abs(x) > 0.01}
+    model = Model(weights, float(theta[n]), theta[n + 1 :].reshape(2, 2).copy(), 1.0, 0.0)
     look = common.Remembered(model.token_score, 50_000)
-    best = np.concatenate([document_logits([[tokens_of(t) for t in texts[i : i + 500]]], model, look)[0] for i in range(0, len(texts), 500)])
+    best = np.concatenate([greatest(token_logits([tokens_of(t) for t in texts[i : i + 500]], model, look)) for i in range(0, len(texts), 500)])
     model.slope, model.intercept = logistic(best, toxic)
     return model
 
@@ -208,20 +239,26 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return max(float(theta[0]), 1e-3), float(theta[1])
 
 
-def document_logits(groups: list[list[list[str]]], model: Model, cache=None) -> list[np.ndarray]:
-    """For each group of token lists, every list's greatest marginal log-odds (-MOST without tokens)."""
-    look = cache if cache is not None else common.Remembered(model.token_score, 200_000)
-    out = []
-    for lists in groups:
-        lengths = np.array([len(t) for t in lists], dtype=np.int64)
-        scores = np.fromiter((x for t in lists for x in map(look.__getitem__, t)), dtype=np.float64, count=int(lengths.sum()))
-        best = np.full(len(lists), -MOST)
-        some = lengths > 0
-        if some.any():
-            logits = marginal_logits(scores, lengths[some], model.transition)
-            best[some] = np.maximum(np.maximum.reduceat(logits, np.cumsum(lengths[some]) - lengths[some]), -MOST)
-        out.append(np.minimum(best, MOST))
-    return out
+def token_logits(lists: list[list[str]], model: Model, look) -> list[np.ndarray]:
+    """Marginal log-odds of every token of each list."""
+    lengths = np.array([len(t) for t in lists], dtype=np.int64)
+    ends = np.cumsum(lengths)
+    total = int(lengths.sum())
+    if not total:
+        return [np.empty(0) for _ in lists]
+    parts = np.fromiter((x for words in lists for w in words for x in look[w]), dtype=np.float64, count=3 * total).reshape(-1, 3)
+    scores = parts[:, 0].copy()
+    follows = np.ones(total, dtype=bool)
+    follows[(ends - lengths)[lengths > 0]] = False
+    at = np.flatnonzero(follows)
+    scores[at] += parts[at - 1, 1]
+    scores[at - 1] += parts[at, 2]
+    return np.split(marginal_logits(scores, lengths[lengths > 0], model.transition), ends[:-1])
+
+
+def greatest(logits: list[np.ndarray]) -> np.ndarray:
+    """Each list's greatest log-odds, within MOST; -MOST without tokens."""
+    return np.clip([x.max(initial=-MOST) for x in logits], -MOST, MOST)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[str], np.ndarray]:
@@ -235,8 +272,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[li
     return rows["text"].tolist(), rows["toxic"].to_numpy()
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> Model:
-    return fit(*training_sample(docs, labels, sample))
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6_000, **parameters) -> Model:
+    return fit(*training_sample(docs, labels, sample), **parameters)
 
 
 def held_out(doc_id):
@@ -244,10 +281,11 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """doc_id, score and predicted; with ``spans`` also spans, an array of start, end, probability for tokens of at least one half."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score, predicted and spans: an array of start, end, probability of the tokens of at least one half."""
     common.ship(docs.sparkSession)
-    schema = "doc_id bigint, score double, predicted int" + ", spans array<struct<start:bigint,end:bigint,probability:double>>" * spans
+    schema = "doc_id bigint, score double, predicted int, spans array<struct<start:bigint,end:bigint,probability:double>>"
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = common.Remembered(model.token_score, 200_000)
@@ -255,31 +293,34 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 texts = [t.as_py() or "" for t in batch.column(1)]
-                lists = [tokens_of(t) for t in texts]
+                spans: list[list[dict]] = [[] for _ in texts]
                 if model.constant is None:
-                    best = document_logits([lists], model, look)[0]
-                    found = 1 / (1 + np.exp(-(model.slope * best + model.intercept)))
+                    logits = token_logits([tokens_of(t) for t in texts], model, look)
+                    found = 1 / (1 + np.exp(-(model.slope * greatest(logits) + model.intercept)))
+                    spans = [offending(t, x) if x.max(initial=-1.0) >= 0 else [] for t, x in zip(texts, logits)]
                 else:
                     found = np.full(len(texts), model.constant)
-                columns = [batch.column(0), pa.array(found), pa.array((found >= 0.5).astype(np.int32))]
-                if spans:
-                    columns.append(pa.array([offending(t, model, look) for t in texts], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))))
-                yield pa.RecordBatch.from_arrays(columns, names=[x.split(" ")[0] for x in schema.split(", ")][: len(columns)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= 0.5).astype(np.int32)), pa.array(spans, span)], names=["doc_id", "score", "predicted", "spans"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def offending(text: str, model: Model, look) -> list[dict]:
-    """Tokens whose marginal probability is at least one half, by code-point offsets."""
+def offending(text: str, logits: np.ndarray) -> list[dict]:
+    """Tokens of at least one half, by code-point offsets."""
     lower = text.lower()
-    if len(lower) != len(text):  # some letter has no lower case of one character
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    places = list(TOKEN.finditer(lower))
-    if not places or model.constant is not None:
-        return []
-    scores = np.array([look[m[0]] for m in places])
-    p = 1 / (1 + np.exp(-np.clip(marginal_logits(scores, np.array([len(scores)]), model.transition), -40, 40)))
-    return [{"start": places[i].start(), "end": places[i].end(), "probability": float(p[i])} for i in np.flatnonzero(p >= 0.5).tolist()]
+    if len(lower) != len(text):  # some letter's lower case is several characters; the words before it stand where the marks say
+        return _offending_by_letter(text, logits)
+    p = 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
+    return [{"start": m.start(), "end": m.end(), "probability": float(x)} for m, x in zip(TOKEN.finditer(lower), p.tolist()) if x >= 0.5]
+
+
+def _offending_by_letter(text: str, logits: np.ndarray) -> list[dict]:
+    from itertools import accumulate
+
+    ends = np.array(list(accumulate(len(c.lower()) for c in text)))  # of each character's lower case
+    p = 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
+    place = lambda i: int(np.searchsorted(ends, i, side="right"))
+    return [{"start": place(m.start()), "end": place(m.end() - 1) + 1, "probability": float(x)} for m, x in zip(TOKEN.finditer(text.lower()), p.tolist()) if x >= 0.5]
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -293,7 +334,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
                 batch = whole.slice(at, 1000)
                 texts = batch.column(batch.schema.names.index("text"))
                 if model.constant is None:
-                    best = document_logits([[tokens_of(t.as_py() or "") for t in texts]], model, look)[0]
+                    best = greatest(token_logits([tokens_of(t.as_py() or "") for t in texts], model, look))
                     keep = model.slope * best + model.intercept < 0
                 else:
                     keep = np.full(batch.num_rows, model.constant < 0.5)

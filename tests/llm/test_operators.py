@@ -200,7 +200,7 @@ def test_toxicity(spark, none):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], brute.SCHEMA)
     labels = spark.createDataFrame([(i, int(v), 9) for i, v in enumerate(y)], "doc_id bigint, toxic int, text int")
     model = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
-    got = {r["doc_id"]: r for r in toxicity.score(docs, model, spans=True).collect()}
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     held = [i for i in range(len(y)) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert held and all(got[i]["predicted"] == y[i] for i in held) and all(0 <= r["score"] <= 1 for r in got.values())
     hits = [texts[0][s["start"] : s["end"]].lower() for s in got[0]["spans"]]
@@ -229,6 +229,64 @@ def test_marginals_by_enumeration():
         at += n
 
 
+def tags_likelihood(theta, data, rows):
+    """Log likelihood of the tags by enumeration."""
+    from itertools import product
+
+    n = len(data.names)
+    number = {f: i for i, f in enumerate(data.names)}
+    trans, total = theta[n + 1 :].reshape(2, 2), 0.0
+    for words, tags in rows:
+        s = [theta[n] + sum(theta[number[f]] for f in found if f in number) for found in toxicity.in_context(words)]
+        weigh = lambda p: sum(s[i] * p[i] for i in range(len(p))) + sum(trans[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        total += weigh(tags) - np.log(sum(np.exp(weigh(p)) for p in product((0, 1), repeat=len(words))))
+    return total
+
+
+def test_gradient_by_enumeration():
+    rows = [("you are a blurgh today".split(), [0, 0, 0, 1, 0]), ("a blurgh blurgh".split(), [0, 1, 1]), ("blurgh".split(), [0]), ("today you".split(), [0, 0])]
+    data = toxicity.Labelled(rows, least=1)
+    theta = np.random.default_rng(0).normal(size=len(data.names) + 5) * 0.3
+    got = data.gradient(theta)
+    for i in range(len(theta)):
+        step = np.zeros_like(theta)
+        step[i] = 1e-5
+        assert got[i] == pytest.approx((tags_likelihood(theta + step, data, rows) - tags_likelihood(theta - step, data, rows)) / 2e-5, abs=1e-4)
+
+
+def test_context_counts_against():
+    """A word that is toxic unless another one stands before it: the field tells, a list of telling words does not."""
+    rnd = random.Random(0)
+    vocabulary = [f"v{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    texts, y = [], []
+    for i in range(900):
+        w = [rnd.choice(vocabulary) for _ in range(12)]
+        at = rnd.randrange(1, 11)
+        if i % 2:
+            w[at] = "zork"
+        elif i % 8 == 0:
+            w[at - 1 : at + 1] = ["harmless", "zork"]
+        texts.append(" ".join(w) + ".")
+        y.append(i % 2)
+    y = np.array(y)
+    signs = toxicity.telling(texts[:600], y[:600], purity=0.75)
+    model = toxicity.fit(texts[:600], y[:600], purity=0.75)
+    assert "zork" not in toxicity.telling(texts[:600], y[:600]) and "zork" in signs
+    assert min(model.weights.values()) < 0 and model.weights["harmless<"] < 0
+    look = {w: model.token_score(w) for t in texts for w in toxicity.tokens_of(t)}
+    best = toxicity.greatest(toxicity.token_logits([toxicity.tokens_of(t) for t in texts[600:]], model, look))
+    wrong = int(((model.slope * best + model.intercept >= 0) != y[600:]).sum())
+    by_list = sum(("zork" in t) != v for t, v in zip(texts[600:], y[600:].tolist()))
+    assert by_list > 20 and wrong < by_list / 4
+
+
+def test_offsets_of_letters_that_grow():
+    text = "İİ blurgh ok"
+    tokens = toxicity.tokens_of(text)
+    spans = toxicity.offending(text, np.array([5.0 if t == "blurgh" else -5.0 for t in tokens]))
+    assert [text[s["start"] : s["end"]] for s in spans] == ["blurgh"]
+
+
 # ---- 6
 
 
