@@ -10,18 +10,33 @@ Only distinct fingerprints are filed, so copies of one text meet as one row,
 and a key's group hands on links that span it rather than all of its pairs; a
 group too large for pairwise comparison is cut again by the same principle,
 over the bits in which its members still differ.  Components are found by
-``graph.components``.
+``graph.components`` over least doc_ids, so a component's least node is its name
+and no large component has to be brought together to be named.
+
+*By similarity* (``similar_texts``, ``keep_representatives``).  At a Jaccard
+similarity of 0.8 of shingle sets, about 0.15 of a fingerprint's bits differ,
+too many for whole blocks of 64 bits to agree.  So fingerprints are wider there:
+``CHECK`` bits for verification and as many blocks behind them as make a pair at
+the least similarity share one with probability ``recall``.  Blocks have about
+as many bits as the table's size has (three fewer), so that a block's value is
+shared by few unrelated texts at every size.  Texts that share a block and
+differ in at most ``within`` check bits are linked if their whole shingle sets
+are as similar as asked.
 
 Defined results: a null or empty text, or one of white space only, has
-fingerprint zero and is linked like any other; a text of fewer words than a
-shingle is one shingle; repeated rows are each returned; a null doc_id is never
-a component's name unless it is alone; an empty table gives no rows.
+fingerprint zero and is linked like any other (``similar_texts``: those are
+linked with each other); a text of fewer words than a shingle is one shingle;
+repeated rows are each returned; rows that share a doc_id are one document; a
+null doc_id is never a component's name unless it is alone; an empty table gives
+no rows; further columns are kept by ``keep_representatives`` and left out
+elsewhere.  A very long text's shingles are counted in slices.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import acos, ceil, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -175,19 +190,190 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int = 7) -> DataFrame:
     return filed.select("key", "fp").mapInArrow(run, "a bigint, b bigint")
 
 
+#: Names of nodes without a doc_id come after all doc_ids.
+LAST = (1 << 63) - 1 - (1 << 32)
+
+
+def _named(rows: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """doc_id, ``key``, component_id of rows with doc_id and key; ``edges`` (a, b) link keys."""
+    nodes = rows.groupBy(key).agg(F.coalesce(F.min("doc_id"), F.lit(LAST) + F.pmod(F.xxhash64(key), F.lit(1 << 32))).alias("name"))
+    nodes = common.materialise(nodes, "nodes")
+    side = lambda c: nodes.select(F.col(key).alias(c), F.col("name").alias(f"n{c}"))
+    found = components(edges.join(side("a"), "a").join(side("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    rooted = nodes.join(found.withColumnRenamed("node", "name"), "name", "left").select(key, F.coalesce("root", "name").alias("component_id"))
+    joined = rows.join(rooted, key)
+    return joined.select("doc_id", key, F.when(F.col("component_id") < LAST, F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, blocks: int = 7, words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the least doc_id reachable over links of at most ``distance`` bits."""
     fps = common.materialise(fingerprints(docs, words_per_shingle, seed), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(nodes.select("fp"), distance, blocks))
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = _named(fps, links(fps.select("fp").distinct(), distance, blocks), "fp")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---- by similarity
+
+#: Bits of a wide fingerprint that verify candidates.
+CHECK = 128
+#: Odd constants that make further hashes of a hash.
+MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(512)], dtype=np.uint64)
+#: Numbers of check bits within which texts are linked, closest first.
+LEVELS = (10, 20)
+
+
+def shingles(text: str | None, words_per_shingle: int, seed: int) -> np.ndarray:
+    """Distinct hashes of the shingles, sorted."""
+    words = (text or "").encode().lower().split()  # of bytes: ASCII letters and white space only
+    joined = b" ".join(words)
+    if len(words) <= words_per_shingle:
+        hashes = [xxhash.xxh64_intdigest(joined, seed)] if words else []
+    else:
+        ends = list(accumulate([len(w) + 1 for w in words]))
+        hashes = [xxhash.xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[words_per_shingle - 1 :])]
+    return np.unique(np.array(hashes, dtype=np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Bits that are set in over half of the hashes, each widened to ``bits`` bits."""
+    words = -(-bits // 64)
+    ones = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 12):
+        x = hashes[at : at + (1 << 12), None] * MIX[None, :words]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return (2 * ones > len(hashes))[:bits]
+
+
+def block_plan(rows: int, similarity: float, recall: float) -> tuple[int, int, int]:
+    """Bits of a block, number of blocks, and check bits in which pairs of the least similarity hardly ever differ more."""
+    differ = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+    size = max(10, max(rows, 2).bit_length() - 3)
+    blocks = ceil(log(1 - recall) / log(1 - (1 - differ) ** size))
+    return size, blocks, round(CHECK * differ + 3.5 * (CHECK * differ * (1 - differ)) ** 0.5)
+
+
+def node_of(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 0)
+
+
+def _filed(docs: DataFrame, words_per_shingle: int, seed: int, size: int, blocks: int) -> DataFrame:
+    """doc_id, node (a name of the shingle set), x and y (the check bits), keys."""
+    common.ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = 1 << np.arange(size, dtype=np.int64)
+        for batch in batches:
+            nodes, checks, keys = [], [], []
+            for text in batch.column(1):
+                hashes = shingles(text.as_py(), words_per_shingle, seed)
+                bits = wide_fingerprint(hashes, CHECK + size * blocks)
+                nodes.append(node_of(hashes))
+                checks.append(np.packbits(bits[:CHECK], bitorder="little").view("<i8"))
+                keys.append((bits[CHECK:].reshape(blocks, size) @ power) * blocks + np.arange(blocks))
+            check = np.array(checks, dtype=np.int64).reshape(-1, 2)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * blocks), pa.array(np.array(keys, dtype=np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(check[:, 0]), pa.array(check[:, 1]), lists], names=["doc_id", "node", "x", "y", "keys"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint, x bigint, y bigint, keys array<bigint>")
+
+
+def span(node: np.ndarray, x: np.ndarray, y: np.ndarray, within: int) -> list[tuple[int, int]]:
+    """Links that span the nodes of a group over pairs that differ in at most ``within`` bits.
+
+    Nodes are reached from one another; each is compared with those that are
+    not reached yet, so a group of close texts costs its size, not its square.
+    """
+    out: list[tuple[int, int]] = []
+    left = np.arange(len(node))
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = np.bitwise_count(x[left] ^ x[i]) + np.bitwise_count(y[left] ^ y[i]) <= within
+            if near.any():
+                reached = left[near].tolist()
+                out += [(int(node[i]), int(node[j])) for j in reached]
+                queue += reached
+                left = left[~near]
+    return out
+
+
+def _candidates(nodes: DataFrame, within: int) -> DataFrame:
+    """a < b: pairs of nodes (node, x, y, keys) that share a block, spanning what is close at each level."""
+    filed = nodes.select(F.explode("keys").alias("key"), "node", "x", "y")
+    filed = filed.repartition(common.parallelism(nodes.sparkSession), "key").sortWithinPartitions("key", "node")
+
+    def flush(key: np.ndarray, node: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        x, y = x.view(np.uint64), y.view(np.uint64)  # bits of signed numbers are counted in their absolute value
+        # groups with a close pair, found by comparing each row with the next ones of its key; in large groups that is left to ``span``
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        size = np.diff(cut)
+        of = np.repeat(np.arange(len(size)), size)
+        close = size > 64
+        at = np.flatnonzero(~close[of])
+        for d in range(1, 64):
+            at = at[at + d < len(key)]
+            at = at[of[at] == of[at + d]]
+            if not len(at):
+                break
+            near = np.bitwise_count(x[at] ^ x[at + d]) + np.bitwise_count(y[at] ^ y[at + d]) <= within
+            close[of[at[near]]] = True
+        found = {(min(p), max(p)) for g in np.flatnonzero(close).tolist() for k in {*LEVELS, within} for p in span(*(c[cut[g] : cut[g + 1]] for c in (node, x, y)), k)}
+        pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            columns = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key = columns[0]
+            if not len(key):
+                continue
+            rest.append(columns)
+            if key[0] == key[-1] or sum(len(c[0]) for c in rest) < 100_000:
+                continue  # the last key's group goes on
+            whole = int(np.searchsorted(key, key[-1]))
+            rest[-1] = tuple(c[:whole] for c in columns)
+            yield flush(*map(np.concatenate, zip(*rest)))
+            rest = [tuple(c[whole:] for c in columns)]
+        if rest:
+            yield flush(*map(np.concatenate, zip(*rest)))
+
+    return filed.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _sets(docs: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
+    """node, set: the hashes of each text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), words_per_shingle, seed) for t in batch.column(0)]
+            nodes = np.array([node_of(s) for s in found], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.view(np.int64) for s in found], type=pa.list_(pa.int64()))], names=["node", "set"])
+
+    return docs.select("text").mapInArrow(run, "node bigint, set array<bigint>")
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, recall: float = 0.99, seed: int = 42) -> DataFrame:
+    """doc_id, component_id: the least doc_id reachable over texts of at least ``similarity`` (Jaccard, of shingle sets)."""
+    size, blocks, within = block_plan(docs.count(), similarity, recall)
+    filed = common.materialise(_filed(docs, words_per_shingle, seed, size, blocks), "prints")
+    pairs = common.materialise(_candidates(filed.dropDuplicates(["node"]), within), "candidates")
+    # whole sets of the nodes that have candidates, once each
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = filed.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc"))
+    texts = docs.join(one.select("doc").distinct(), docs["doc_id"].cast("bigint").eqNullSafe(F.col("doc")), "left_semi")
+    sets = common.materialise(_sets(texts, words_per_shingle, seed).dropDuplicates(["node"]), "sets")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    edges = both.where(F.col("n") >= similarity * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+    return _named(filed.select("doc_id", "node"), edges, "node").select("doc_id", "component_id")
 
 
 def keep_representatives(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component: one document of each group stays.  Rows that share a doc_id are one document."""
-    groups = near_duplicates(docs, **parameters)
-    stay = groups.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
+    """The rows of ``docs`` whose doc_id names their component of ``similar_texts``: one document of each group stays."""
+    stay = similar_texts(docs, **parameters).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")

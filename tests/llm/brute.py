@@ -182,3 +182,19 @@ def edits(a, b):
             if p != q:
                 out.append(f"{i}:{j}:{'right' if p is None else 'left' if q is None else 'changed'}")
     return ",".join(out)
+
+
+def similar(texts, similarity=0.8):
+    """doc_id -> least doc_id reachable over texts of at least this Jaccard similarity of 5-word shingle sets."""
+    sets = {}
+    for i, t in texts.items():
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} if w else set()
+    name = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            a, b = sets[i], sets[j]
+            if j < i and name[i] != name[j] and (len(a & b) / len(a | b) if a | b else 1.0) >= similarity:
+                low, high = sorted((name[i], name[j]))
+                name = {k: low if v == high else v for k, v in name.items()}
+    return name
