@@ -9,7 +9,8 @@ can be had without inflating what is before it.
 Files go to a folder that all executors share, through pyarrow's file systems,
 under names of their own for each attempt; only names that a finished task has
 reported are read on, so retried and speculative tasks leave no half archives.
-Streams are worked off in pieces of ``PIECE`` bytes, records one at a time.
+Streams are worked off in pieces of ``PIECE`` bytes, compressed and inflated,
+records one at a time; a stream that is cut, or has lost records, raises.
 
 Which record holds a payload: of equal payloads of at least ``least`` bytes the
 one with the greatest page_id is the response, the others revisit it.  The
@@ -19,7 +20,8 @@ that a third of the pages share costs a row for each task.
 Defined results: null html is an empty payload, always a response; null page_id
 counts as less than any other; rows with equal payload and the greatest page_id
 are all responses; a null url has no target line; an empty table makes no
-archives; further columns are left out.
+archives; further columns, whatever their names, are left out.  A record is held
+whole, however long.  Payloads are equal if SHA-256 and length are.
 """
 
 from __future__ import annotations
@@ -102,14 +104,27 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """A gzip file's content in pieces, whether one member or many."""
-    engine = zlib.decompressobj(GZIP)
+    """A gzip file's content in pieces of at most ``PIECE`` bytes, whether one member or many.
+
+    A stream that ends within a member raises, also where that is between two
+    records: a member's end and checksum must be there.
+    """
+    engine, begun = zlib.decompressobj(GZIP), False
     while piece := stream.read(PIECE):
         while piece:
-            yield engine.decompress(piece)
-            piece = engine.unused_data
-            if engine.eof and piece:
-                engine = zlib.decompressobj(GZIP)
+            begun = True
+            out = engine.decompress(piece, PIECE)
+            if out:
+                yield out
+            piece = engine.unconsumed_tail or engine.unused_data
+            while not engine.eof and not piece and len(out) == PIECE:  # what the engine still holds
+                if out := engine.decompress(b"", PIECE):
+                    yield out
+            if engine.eof:
+                piece = engine.unused_data or piece
+                engine, begun = zlib.decompressobj(GZIP), False
+    if begun:
+        raise ValueError("the stream ends within a gzip member")
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -130,7 +145,7 @@ def decide(pages: DataFrame, least: int = 1000, broadcast_rows: int = 100_000) -
     are shuffled by digest.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
-    keyed = pages.select(F.col("page_id").cast("bigint"), "url", "html", F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))
+    keyed = pages.select(F.col("page_id").cast("bigint"), "url", "html", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
     copies = keyed.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = common.materialise(copies, "copies")
     copies = F.broadcast(copies) if copies.count() <= broadcast_rows else copies.hint("merge")
@@ -171,14 +186,17 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:0
 
 
 def normalise(archives: DataFrame, folder: str, level: int = 4) -> DataFrame:
-    """Rewrites each archive with one gzip member for each record and an index beside it; returns archive, records."""
+    """Rewrites each archive with one gzip member for each record and an index beside it; returns archive, records.
+
+    An archive must have as many records as ``records`` says (null: any number).
+    """
     common.ship(archives.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
         for batch in batches:
             done = []
-            for source in batch.column(0).to_pylist():
+            for source, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 name = f"{root}/{uuid.uuid4().hex}.warc.gz"
                 offset = count = 0
                 with store.open_input_stream(source, compression=None) as stream, store.open_output_stream(name, compression=None) as out, store.open_output_stream(f"{name}.idx", compression=None) as index:
@@ -188,11 +206,13 @@ def normalise(archives: DataFrame, folder: str, level: int = 4) -> DataFrame:
                         out.write(member)
                         index.write(json.dumps({"offset": offset, "length": len(member), "id": fields["warc-record-id"], "type": fields["warc-type"]}).encode() + b"\n")
                         offset, count = offset + len(member), count + 1
+                if expected is not None and count != expected:
+                    raise ValueError(f"{source} has {count} records, not {expected}")
                 done.append((name, count))
             yield _names(done)
 
     spread = archives.repartition(common.parallelism(archives.sparkSession))
-    return spread.select("archive").mapInArrow(run, "archive string, records bigint")
+    return spread.select("archive", "records").mapInArrow(run, "archive string, records bigint")
 
 
 def read_archives(archives: DataFrame, folder: str, with_html: bool = False) -> DataFrame:

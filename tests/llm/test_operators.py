@@ -148,6 +148,33 @@ def test_warc(spark, tmp_path):
     assert {r["html"] for r in whole.collect() if r["page_id"] == 3} == {small}
 
 
+def test_cut_and_dense_streams(spark, tmp_path):
+    import gzip
+    import io
+    import os
+
+    records = [warc.record(i, "u", b"a" * 5_000_000, None, "2024-01-01T00:00:00Z") for i in range(2)]
+    whole = zlib.compressobj(9, wbits=31)
+    data = whole.compress(records[0]) + whole.flush(zlib.Z_FULL_FLUSH)
+    cut = len(data)  # between two records
+    data += whole.compress(records[1]) + whole.flush()
+    pieces = list(warc.inflate(io.BytesIO(data)))
+    assert b"".join(pieces) == b"".join(records) and max(map(len, pieces)) <= warc.PIECE
+    assert b"".join(warc.inflate(io.BytesIO(gzip.compress(b"x") + gzip.compress(b"y" * 3_000_000)))) == b"x" + b"y" * 3_000_000
+    with pytest.raises(ValueError):
+        list(warc.inflate(io.BytesIO(data[:cut])))
+    folder = f"file://{tmp_path}"
+    names = []
+    for name, content in (("whole", data), ("cut", data[:cut])):
+        (tmp_path / name).write_bytes(content)
+        names.append(os.path.join(str(tmp_path), name))
+    rows = spark.createDataFrame([(names[0], 2)], "archive string, records bigint")
+    assert warc.normalise(rows, f"{folder}/out").first()["records"] == 2
+    for name, n in ((names[1], 2), (names[0], 3)):
+        with pytest.raises(Exception, match="ends within a gzip member|records, not"):
+            warc.normalise(spark.createDataFrame([(name, n)], "archive string, records bigint"), f"{folder}/bad").collect()
+
+
 def test_warc_damage():
     good = warc.record(1, "u", b"abc", None, "2024-01-01T00:00:00Z")
     assert [len(x[1]) for x in warc.split_records(iter([good[:10], good[10:] + good]))] == [len(good)] * 2
