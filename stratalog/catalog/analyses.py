@@ -57,7 +57,7 @@ def impact_rank(spark, sf_dir):
     return impact.impact(_graph(spark, sf_dir), ["part.n5"]).select("node", "rank")
 
 
-@query("cyclic_nodes", f"with {EDGES} select distinct a as node from edges where a like 'ring.%'")
+@query("cyclic_nodes", f"with recursive {EDGES}, w as (select a, b from edges union select w.a, e.b from w join edges e on w.b = e.a) select distinct a as node from w where a = b")
 def cyclic_nodes(spark, sf_dir):
     return impact.cyclic_nodes(_graph(spark, sf_dir))
 
@@ -138,10 +138,13 @@ def batch_diff(spark, sf_dir):
     return revision.diff(_batch(spark, sf_dir, False), _batch(spark, sf_dir, True)).select("declaration", "op", "cause", "object")
 
 
-@query("replay_matches", "select 0::bigint as differences")
+@query("replay_matches", f"select 'replayed' as side, subject from ({SNAP.format(n=1000000000)}) where type <> 'error' and subject like '%0' union all select 'stored', subject || 'x' from ({SNAP.format(n=1000000000)}) where type <> 'error' and subject like '%7'")
 def replay_matches(spark, sf_dir):
+    """A log against a stored snapshot that lacks some of its facts and has others twice, under another name."""
     log = data.event_log(spark, sf_dir)
-    return revision.replay_differences(log, revision.snapshot(log)).agg(F.count("*").alias("differences"))
+    stored = revision.snapshot(log).where("subject not like '%0'")
+    stored = stored.unionByName(stored.where("subject like '%7'").withColumn("subject", F.concat("subject", F.lit("x"))))
+    return revision.replay_differences(log, stored).select("side", "subject")
 
 
 # ---- causality and clocks
@@ -357,9 +360,20 @@ def schedule_next(spark, sf_dir):
     return governance.schedule_next(_targets(spark, sf_dir)).select("id", "priority")
 
 
-@query("target_problems", "select 'missing' as kind, 't1->t0' as detail where false")
+@query(
+    "target_problems",
+    """with k as (select p_partkey as k, p_partkey % 100 = 1 and p_partkey > 100 as back, exists (select 1 from part q where q.p_partkey = 2 * p.p_partkey) as has from part p)
+    select 'duplicate' as kind, 't' || k as detail from k where k % 97 = 0 union all select 'missing', 't' || k || '->gone' || k from k where k % 53 = 0 union all select 'missing', 't' || k || '->gone' || k from k where k % 53 = 0 and k % 97 = 0
+    union all select 'missing', 't' || k || '->t' || 2 * k from k where back and not has union all select 'missing', 't' || k || '->t' || 2 * k from k where back and not has and k % 97 = 0
+    union all select 'cycle', 't' || unnest([k, 2 * k]) from k where back and has""",
+)
 def target_problems(spark, sf_dir):
-    return governance.target_problems(_targets(spark, sf_dir))
+    """Targets of which some occur twice, some need what is not there, and some need a target that needs them."""
+    k = F.substring("id", 2, 20).cast("bigint")
+    gone = F.when(k % 53 == 0, F.array(F.concat(F.lit("gone"), k.cast("string")))).otherwise(F.array().cast("array<string>"))
+    back = F.when((k % 100 == 1) & (k > 100), F.array(F.concat(F.lit("t"), (2 * k).cast("string")))).otherwise(F.array().cast("array<string>"))
+    targets = _targets(spark, sf_dir).withColumn("dependencies", F.concat("dependencies", gone, back))
+    return governance.target_problems(targets.unionByName(targets.where(k % 97 == 0)))
 
 
 def _contracts(spark, sf_dir) -> DataFrame:
@@ -553,6 +567,24 @@ def event_chain_verify(spark, sf_dir):
     return events.verify_chain(events.chain(_stream(spark, sf_dir))).select("stream", "events", "gaps", "broken_links", "ok")
 
 
+@query(
+    "event_chain_faults",
+    """with e as (select 's' || (user_id % 16) as stream, event_id as k, row_number() over (partition by user_id % 16 order by event_id) as r from events),
+    l as (select *, lag(r, 1, 0) over (partition by stream order by k) as before from e where k % 91 <> 5)
+    select stream, count(*)::bigint as events, count(*) filter (where r <> before + 1)::bigint as gaps, count(*) filter (where r <> before + 1 or k % 60 = 11)::bigint as broken_links, count(*) filter (where k % 50 = 7)::bigint as bad_payloads,
+        count(*) filter (where k % 60 = 11 or k % 70 = 13)::bigint as bad_hashes, count(*) filter (where r <> before + 1 or k % 60 = 11 or k % 50 = 7 or k % 70 = 13) = 0 as ok from l group by 1""",
+)
+def event_chain_faults(spark, sf_dir):
+    """A chain from which events were taken, and in which payloads, links and an actor were changed."""
+    k = F.substring("event_id", 2, 20).cast("bigint")
+    forged = events.chain(_stream(spark, sf_dir)).where(k % 91 != 5).withColumns({
+        "payload": F.when(k % 50 == 7, F.concat(F.coalesce("payload", F.lit("")), F.lit(" "))).otherwise(F.col("payload")),
+        "previous_event_sha256": F.when(k % 60 == 11, F.lit("f" * 64)).otherwise(F.col("previous_event_sha256")),
+        "actor": F.when(k % 70 == 13, F.lit(None).cast("string")).otherwise(F.col("actor")),
+    })
+    return events.verify_chain(forged)
+
+
 @query("event_receipts", "select 's' || (user_id % 16) as stream, 1::bigint as first_revision, count(*)::bigint as last_revision, count(*)::bigint as events from events group by 1")
 def event_receipts(spark, sf_dir):
     return events.receipts(events.chain(_stream(spark, sf_dir))).select("stream", "first_revision", "last_revision", "events")

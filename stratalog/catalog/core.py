@@ -79,6 +79,10 @@ ask(
     "not_exists_orders", HAS_ORDER + "QUERY q:\nFIND ?c ?n WHERE ?c#in_nation@?n AND NOT ?c#has_order@value:true.",
     "select s as c, o as n from in_nation a where not exists (select 1 from placed_by p where p.o = a.s)",
 )
+ask(
+    "variables_by_case", "QUERY q:\nFIND ?x ?X ?x.y ?x_y WHERE ?x#in_nation@?X AND ?X#in_region@?x.y AND ?x_y#in_region@?x.y.",
+    'select distinct n.s as x, n.o as "X_2", r.o as x_y, p.s as x_y_2 from in_nation n join in_region r on n.o = r.s join in_region p on p.o = r.o',
+)
 ask("ground_not", "QUERY q:\nFIND ?n WHERE ?n#in_region@region:1 AND NOT region:9#closed@value:true.", "select s as n from in_region where o = 'region.n1'")
 ask("ground_not_blocks", "QUERY q:\nFIND ?n WHERE ?n#in_region@region:1 AND NOT nation:1#in_region@region:1.", "select s as n from in_region where o = 'region.n1' and not exists (select 1 from in_region where s = 'nation.n1' and o = 'region.n1')")
 ask(

@@ -17,12 +17,25 @@ WORKFLOW_TYPES = ["context-generated", "action-token-issued", "checkpoint-create
 
 
 def payload_hash(payload: Column) -> Column:
-    return F.sha2(F.coalesce(payload, F.lit("")), 256)
+    return F.sha2(fields(payload).cast("binary"), 256)
+
+
+def fields(*values: Column | str) -> Column:
+    """Values in writing that no other values have: each with its number of bytes before it, a null as a mark of its own."""
+    columns = [F.col(v) if isinstance(v, str) else v for v in values]
+    texts = [c.cast("string") for c in columns]
+    return F.concat_ws(",", *[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
+
+
+def fields_of(values: list) -> bytes:
+    """The same in Python."""
+    data = [None if v is None else str(v).encode() for v in values]
+    return b",".join([b"-" if d is None else b"%d:%s" % (len(d), d) for d in data])
 
 
 def link_hash(previous: Column) -> Column:
     """The hash of an event (columns of EVENTS) after ``previous``."""
-    return F.sha2(F.concat_ws("\n", previous, "stream", F.col("revision").cast("string"), "event_id", "event_type", "actor", "request_id", "payload_sha256"), 256)
+    return F.sha2(fields(previous, "stream", "revision", "event_id", "event_type", "actor", "request_id", "payload_sha256").cast("binary"), 256)
 
 
 def chain(batch: DataFrame, heads: DataFrame | None = None, receipt: str = "receipt") -> DataFrame:
@@ -50,8 +63,7 @@ def chain(batch: DataFrame, heads: DataFrame | None = None, receipt: str = "rece
                     stream, revision, last = r.stream, r.r, r.h
                 revision += 1
                 previous.append(last)
-                parts = [last, r.stream, str(revision), r.event_id, r.event_type, r.actor, r.request_id, r.payload_sha256]
-                last = hashlib.sha256("\n".join([p for p in parts if p is not None]).encode()).hexdigest()
+                last = hashlib.sha256(fields_of([last, r.stream, revision, r.event_id, r.event_type, r.actor, r.request_id, r.payload_sha256])).hexdigest()
                 revisions.append(revision)
                 own.append(last)
             yield frame.assign(revision=revisions, previous_event_sha256=previous, event_sha256=own, receipt_id=receipt)[columns]
@@ -90,10 +102,20 @@ def verify_chain(events: DataFrame) -> DataFrame:
 
 
 def receipts(events: DataFrame) -> DataFrame:
-    """receipt_id, stream, first and last revision, events, and the sha256 of the batch's event hashes in order."""
-    hashes = F.transform(F.array_sort(F.collect_list(F.struct("revision", "event_sha256"))), lambda x: x["event_sha256"])
-    rows = events.groupBy("receipt_id", "stream").agg(F.min("revision").alias("first_revision"), F.max("revision").alias("last_revision"), F.count("*").alias("events"), F.sha2(F.array_join(hashes, "\n"), 256).alias("batch_sha256"))
-    return rows.withColumn("receipt_sha256", F.sha2(F.concat_ws("\n", "receipt_id", "stream", F.col("first_revision").cast("string"), F.col("last_revision").cast("string"), F.col("events").cast("string"), "batch_sha256"), 256))
+    """receipt_id, stream, first and last revision, events, batch_sha256 over all events' revisions and hashes, receipt_sha256.
+
+    The batch's hash folds a digest of each event by exclusive or, word by
+    word, and adds the last event's hash, which commits to all before it.  So
+    it is pre-aggregated and no receipt's events are brought together.
+    """
+    digest = F.sha2(fields("revision", "event_sha256").cast("binary"), 256)
+    word = lambda k: F.conv(F.substring("__d", 1 + 16 * k, 16), 16, -10).cast("bigint")
+    folded = [F.bit_xor(word(k)).alias(f"__{k}") for k in range(4)]
+    rows = events.withColumn("__d", digest).groupBy("receipt_id", "stream").agg(
+        F.min("revision").alias("first_revision"), F.max("revision").alias("last_revision"), F.count("*").alias("events"), F.max_by("event_sha256", "revision").alias("__last"), *folded
+    )
+    rows = rows.withColumn("batch_sha256", F.sha2(fields(*[f"__{k}" for k in range(4)], "__last").cast("binary"), 256)).drop("__last", *[f"__{k}" for k in range(4)])
+    return rows.withColumn("receipt_sha256", F.sha2(fields("receipt_id", "stream", "first_revision", "last_revision", "events", "batch_sha256").cast("binary"), 256))
 
 
 def verify_receipts(events: DataFrame, kept: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def _head_columns(rule: Rule):
 def query_witnesses(traced: DataFrame, query: Query) -> DataFrame:
     """The selected variables and premise_ids of every witness of a query's answers."""
     rows = _witnesses(query, traced, traced)
-    return rows.select(*[F.col(bodies.column(v)).alias(v[1:].replace(".", "_")) for v in query.select], "premise_ids")
+    return rows.select(*bodies.answers(query.select), "premise_ids")
 
 
 def explain(traced: DataFrame, targets: DataFrame) -> DataFrame:

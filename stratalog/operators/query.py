@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..language.ast import Program, Query
 from ..plans import bodies
@@ -18,7 +17,7 @@ def solve(closed: Closure, query: Query, distinct: bool = True, ordered: bool =
     sorts the rows by the columns.
     """
     rows = bodies.body(query.positive, query.negative, closed.relation, closed.relation, closed.any_value)
-    rows = rows.select(*[F.col(bodies.column(v)).alias(v[1:].replace(".", "_")) for v in query.select])
+    rows = rows.select(*bodies.answers(query.select))
     if distinct:
         rows = rows.distinct()
     return rows.orderBy(*rows.columns) if ordered else rows

@@ -109,12 +109,9 @@ def publish(spark, path: str, operations: DataFrame, expected: int, event: str =
     elsewhere.  One writer at a time: the head is read, then a new partition
     is written whole.
     """
-    from pyspark.errors import AnalysisException
-
-    try:
-        head = latest_revision(spark.read.schema(LOG_SCHEMA).parquet(path)).first()["revision"]
-    except AnalysisException:
-        head = 0
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)  # any other trouble with the log raises
+    head = latest_revision(spark.read.schema(LOG_SCHEMA).parquet(path)).first()["revision"] if there else 0
     if head != expected:
         raise ValueError(f"revision conflict: the head is {head}, not {expected}")
     if not operations.where("relation like '%.provedClaim'").isEmpty():

@@ -13,8 +13,30 @@ from .analysis import connected_order
 
 
 def column(variable: str) -> str:
-    """The column of a variable."""
-    return "v_" + variable[1:].replace(".", "__")
+    """The column of a variable.
+
+    Spark's column names ignore case and split at dots; variables do neither.
+    So an underscore stands before what it changes: a capital letter, a dot, an
+    underscore itself.
+    """
+    return "v_" + "".join("__" if c == "_" else "_1" if c == "." else f"_{c.lower()}" if c != c.lower() else c for c in variable[1:])
+
+
+def answers(variables: tuple[str, ...] | list[str]) -> list[Column]:
+    """Columns of selected variables, named without question marks.
+
+    Dots become underscores; a name that is taken, in whatever case, gets the
+    first free number at its end.
+    """
+    out, taken = [], set()
+    for v in variables:
+        name = base = v[1:].replace(".", "_")
+        k = 2
+        while name.lower() in taken:
+            name, k = f"{base}_{k}", k + 1
+        taken.add(name.lower())
+        out.append(F.col(column(v)).alias(name))
+    return out
 
 
 Scan = Callable[[str], DataFrame]

@@ -119,6 +119,17 @@ def test_token_checks_fail_closed(spark):
     assert len(actions.issue_tokens(row).first()["failures"]) == 17
 
 
+def test_event_hashes_tell_fields_apart(spark):
+    rows = [("s", 1, "e", "t", "a", None, None), ("s", 1, "e", "t", None, "a", None), ("s", 1, "e", "t", "a\n", "", ""), ("s", 1, "e", "t", "a", "\n", ""), ("s", 1, "e", "t", "a", "", None), ("s", 1, "e", "t", "-", "1:a,", None)]
+    found = set()
+    for r in rows:
+        batch = spark.createDataFrame([r], "stream string, order bigint, event_id string, event_type string, actor string, request_id string, payload string")
+        one = events.chain(batch)
+        assert events.verify_chain(one).first()["ok"]
+        found.add(one.first()["event_sha256"])
+    assert len(found) == len(rows)
+
+
 def test_event_chain(spark):
     batch = spark.createDataFrame([("s", i, f"e{i}", "action-consumed", "a", "r", json.dumps({"workflow_id": "w"})) for i in range(5)], "stream string, order bigint, event_id string, event_type string, actor string, request_id string, payload string")
     first = events.chain(batch.where("order < 3"))
