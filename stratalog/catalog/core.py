@@ -335,3 +335,38 @@ def self_negation_broken(spark, sf_dir):
     looped = [rules[0], replace(rules[1], negative=(rules[0].head,))]
     found = Closure(data.everything(spark, sf_dir), break_self_negation(looped)).relation(rel("class"))
     return found.select(F.col("subject").alias("x")).distinct()
+
+
+# ---- a program of 84 rules
+
+
+def _sieve(steps: int = 12) -> str:
+    """Rules that take a mark's customers away step by step, each step negating what the step before it has found."""
+    out = []
+    for i in range(1, steps + 1):
+        before = "in_nation" if i == 1 else f"kept{i - 1}"
+        rules = [
+            (f"?c#{before}@?n AND ?c#marked@mark:{i}", f"?c#gone{i}@value:yes"), (f"?c#{before}@?n AND NOT ?c#gone{i}@value:yes", f"?c#kept{i}@?n"),
+            (f"?c#kept{i}@?n", f"?n#seen{i}@value:yes"), (f"?n#seen{i}@value:yes AND ?n#in_region@?r", f"?n#still{i}@?r"),
+            (f"?c#gone{i}@value:yes AND ?c#in_nation@?n", f"?n#lost{i}@value:yes"), (f"?n#lost{i}@value:yes AND ?n#still{i}@?r", f"?n#both{i}@?r"),
+            (f"?n#{f'both{i - 1}' if i > 1 else 'in_region'}@?r AND NOT ?n#lost{i}@value:yes", f"?n#spared{i}@?r"),
+        ]
+        out += [f"RULE step{i}_{k}:\nIF {when}\nTHEN {then}." for k, (when, then) in enumerate(rules)]
+    return "\n".join(out)
+
+
+@query(
+    "eighty_rules",
+    """select 'customer.n' || c.c_custkey as c, 'nation.n' || n.n_nationkey as n, 'region.n' || n.n_regionkey as r from customer c join nation n on c.c_nationkey = n.n_nationkey
+    where c.c_custkey % 13 = 0 and exists (select 1 from customer d where d.c_nationkey = n.n_nationkey and d.c_custkey % 13 = 12)
+    union all select 'customer.n' || c.c_custkey, 'spared', 'region.n' || n.n_regionkey from customer c join nation n on c.c_nationkey = n.n_nationkey
+    where c.c_custkey % 13 = 0 and exists (select 1 from customer d where d.c_nationkey = n.n_nationkey and d.c_custkey % 13 = 11) and not exists (select 1 from customer d where d.c_nationkey = n.n_nationkey and d.c_custkey % 13 = 12)""",
+)
+def eighty_rules(spark, sf_dir):
+    c, s = data.table(spark, sf_dir, "customer"), "c_custkey"
+    marks = T.relationalise(c.where("c_custkey % 13 > 0"), T.node("customer", F.col(s)), rel("marked"), T.node("mark", F.col(s) % 13))
+    program = parse(_sieve() + "\nQUERY both:\nFIND ?c ?n ?r WHERE ?c#kept12@?n AND ?n#both12@?r.\nQUERY spared:\nFIND ?c ?r WHERE ?c#kept12@?n AND ?n#spared12@?r.")
+    places = data.places(spark, sf_dir).where("subject not like 'supplier.%'")
+    closed = Closure(places.unionByName(marks), program.all_rules())
+    spared = solve(closed, program.query("spared")).select("c", F.lit("spared").alias("n"), "r")
+    return solve(closed, program.query("both")).unionByName(spared)

@@ -3,7 +3,9 @@
 Relations are evaluated in the order of their dependencies, one strongly
 connected component at a time, so negated relations are complete when they are
 read.  A component without recursion is one lazy plan and costs no job of its
-own.  A recursive one is evaluated semi-naively: a round joins what is new with
+own, unless several atoms read it and would plan it as often: where that makes
+plans large (``plan_atoms``), it is written once, so the plans of a program grow
+with its rules and not with the ways through them.  A recursive one is evaluated semi-naively: a round joins what is new with
 everything known, drops what is known already and writes what is left as one
 more piece of the component's table.  Pieces are read back as one Parquet
 relation, so plans do not grow from round to round, and a lost executor costs
@@ -15,6 +17,7 @@ logarithmic in the longest path.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -24,7 +27,7 @@ from ..functions import facts as T
 from ..language.ast import Atom, Rule, is_variable
 from ..plans import bodies
 from ..plans.analysis import Component, components, stratify
-from ..storage import scratch
+from ..storage import materialise, scratch
 
 
 class RoundLimit(RuntimeError):
@@ -35,15 +38,19 @@ class Closure:
     """Facts by relation, closed under rules.
 
     ``max_rounds`` limits the rounds of a component: it raises RoundLimit, or
-    with ``truncate`` stops there with what it has.
+    with ``truncate`` stops there with what it has.  A relation without
+    recursion is written once if the atoms that its readers would plan for it
+    are more than ``plan_atoms``.
     """
 
-    def __init__(self, facts: DataFrame, rules: list[Rule], max_rounds: int | None = None, truncate: bool = False, any_value: bool = False, doubling: bool = True):
+    def __init__(self, facts: DataFrame, rules: list[Rule], max_rounds: int | None = None, truncate: bool = False, any_value: bool = False, doubling: bool = True, plan_atoms: int = 8):
         stratify(rules)
         self.facts, self.rules = facts.select(*T.COLUMNS), rules
         self.max_rounds, self.truncate, self.any_value, self.doubling = max_rounds, truncate, any_value, doubling
         self.derived: dict[str, DataFrame] = {}
         self.rounds: dict[str, int] = {}
+        self.plan_atoms, self.atoms = plan_atoms, {}
+        self.readers = Counter(a.relation for r in rules for a in (*r.positive, *r.negative))
         for part in components(rules):
             if part.recursive:
                 self._recursive(part)
@@ -68,7 +75,11 @@ class Closure:
     def _once(self, part: Component) -> None:
         name = part.relations[0]
         made = [self._apply(r, self.relation) for r in part.rules]
-        self.derived[name] = T.distinct(T.union([self.base(name), *made]))
+        rows = T.distinct(T.union([self.base(name), *made]))
+        size = 1 + sum(self.atoms.get(a.relation, 1) for r in part.rules for a in (*r.positive, *r.negative))
+        if self.readers[name] > 1 and size * self.readers[name] > self.plan_atoms:
+            rows, size = materialise(rows, "relation"), 1
+        self.derived[name], self.atoms[name] = rows, size
 
     def _recursive(self, part: Component) -> None:
         spark = self.facts.sparkSession
