@@ -37,7 +37,9 @@ further columns, whatever their names, are left out by ``score`` and kept by
 
 from __future__ import annotations
 
+import random
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -151,7 +153,7 @@ def telling(texts: list[str], toxic: np.ndarray, least: int = 5, purity: float =
         tokens = tokens_of(text) if y else []
         for a, t, b in zip(["", *tokens], tokens, [*tokens[1:], ""]):
             for f in features(t):
-                if f in between:
+                if f in between and len(between[f]) < least:
                     between[f].add((a, b))
     return {f for f, x in between.items() if len(x) >= least}
 
@@ -163,14 +165,14 @@ class Labelled:
         seen = Counter(f for words, _ in rows for found in in_context(words) for f in found)
         self.names = sorted(f for f, n in seen.items() if n >= least)
         number = {f: i for i, f in enumerate(self.names)}
-        place, feature, tag = [], [], []
+        place, feature, tag = array("q"), array("q"), array("q")
         for words, tags in rows:
             for found, t in zip(in_context(words), tags):
                 known = [number[f] for f in found if f in number]
-                feature += known
-                place += [len(tag)] * len(known)
+                feature.extend(known)
+                place.extend([len(tag)] * len(known))
                 tag.append(t)
-        self.place, self.feature, self.tag = np.array(place, dtype=np.int64), np.array(feature, dtype=np.int64), np.array(tag, dtype=np.int64)
+        self.place, self.feature, self.tag = (np.frombuffer(x, dtype=np.int64) if x else np.empty(0, dtype=np.int64) for x in (place, feature, tag))
         self.lengths = np.array([len(words) for words, _ in rows], dtype=np.int64)
         inner = np.ones(len(tag), dtype=bool)
         inner[np.cumsum(self.lengths) - self.lengths] = False
@@ -200,18 +202,22 @@ def fit(texts: list[str], toxic: np.ndarray, sentences: int = 6_000, rounds: int
         return Model({}, 0.0, np.zeros((2, 2)), 0.0, 0.0, float(toxic.mean()) if len(toxic) else 0.0)
     signs = telling(texts, toxic, purity=purity)
     sign = common.Remembered(lambda w: int(not signs.isdisjoint(features(w))), 50_000)
-    kept: list[tuple[list[str], list[int]]] = []
-    clean: list[tuple[list[str], list[int]]] = []
+    drawn: tuple[list, list] = ([], [])  # sentences without and with a toxic token, and how many there were
+    met = [0, 0]
+    pick = random.Random(0)
     for text, y in zip(texts, toxic.tolist()):
         for part in SENTENCE.findall(text):
             words = tokens_of(part)
             tags = [sign[w] for w in words] if y else [0] * len(words)
-            if any(tags):
-                kept.append((words, tags))
-            elif words:
-                clean.append((words, tags))
-    pick = np.random.default_rng(0)
-    data = Labelled([x[i] for x in (kept, clean) for i in sorted(pick.permutation(len(x))[:sentences].tolist())])
+            kind = int(any(tags))
+            if not words:
+                continue
+            met[kind] += 1
+            if len(drawn[kind]) < sentences:
+                drawn[kind].append((words, tags))
+            elif (at := pick.randrange(met[kind])) < sentences:
+                drawn[kind][at] = (words, tags)
+    data = Labelled([*drawn[1], *drawn[0]])
     n = len(data.names)
     theta = np.zeros(n + 5)
     theta[n] = -2.0
