@@ -11,7 +11,7 @@ from ..language import declarations as decl
 from ..language.names import relation_name as rel
 from ..language.program import parse
 from ..operators import actions, causal, events, governance, impact, revision
-from ..sources import embedded, records
+from ..sources import embedded, envelope, records
 from . import data
 
 QUERIES: dict = {}
@@ -147,6 +147,33 @@ def replay_matches(spark, sf_dir):
     return revision.replay_differences(log, stored).select("side", "subject")
 
 
+@query("envelope_records", "select 'user.u' || user_id as subject, event_id as revision, 'e' || event_id as event, case when event_type = 'error' then 'retract' else 'assert' end as op, 's:' || event_type as type from events")
+def envelope_records(spark, sf_dir):
+    """A log written as lines and read back."""
+    log = data.event_log(spark, sf_dir)
+    edges = log.where("revision >= 1").select(F.concat(F.lit("e"), (F.col("revision") - 1).cast("string")).alias("left"), F.col("event").alias("right")).where("revision % 100 = 50")
+    found, _ = envelope.read(envelope.lines_of(log, edges, "events").select("line"))
+    return found.select("subject", "revision", "event", "op", F.col("attrs")["type"].alias("type"))
+
+
+@query(
+    "drift_report",
+    """with recursive cur as (select p_partkey as k, p_partkey // 2 as d from part where p_partkey >= 2 and p_partkey % 300 <> 0), seed as (select p_partkey as k from part where p_partkey >= 2 and p_partkey % 300 = 0),
+    w as (select cur.k, 1 as depth from cur join seed on cur.d = seed.k union select cur.k, depth + 1 from w join cur on cur.d = w.k where depth < 3)
+    select 'changed' as kind, 'part.n' || k as detail from seed union all select 'affected', 'part.n' || k from (select distinct k from w)
+    union all select * from (values ('1 discard', 'assumptions'), ('2 load', '2'), ('3 invalidate', 'affected'), ('4 revalidate', 'obligations'), ('5 preflight', '2')) as t(kind, detail) union all select 'complete', (not exists (select 1 from w join cur on cur.d = w.k where depth = 3))::varchar""",
+)
+def drift_report(spark, sf_dir):
+    """Parts whose dependency was retracted, what depends on them within three steps, and the plan."""
+    facts = data.part_graph(spark, sf_dir).where(F.col("relation") == rel("depends_on"))
+    k = F.regexp_extract("subject", "[0-9]+$", 0).cast("bigint")
+    one = facts.withColumns({"revision": F.lit(1).cast("bigint"), "event": F.lit("first"), "op": F.lit("assert")})
+    log = one.unionByName(one.where(k % 300 == 0).withColumns({"revision": F.lit(2).cast("bigint"), "event": F.lit("second"), "op": F.lit("retract")}))
+    now = impact.graph(revision.snapshot(log).select(*T.COLUMNS))
+    rows, complete = revision.drift_report(log, now, 1, 2, max_depth=3, max_nodes=1_000_000)
+    return rows.unionByName(spark.createDataFrame([("complete", str(complete).lower())], "kind string, detail string"))
+
+
 # ---- causality and clocks
 
 

@@ -10,7 +10,7 @@ from ..language.names import relation_name as rel
 from ..language.program import parse
 from ..operators import authorization, provenance
 from ..operators.fixpoint import Closure
-from ..operators.query import answer, solve
+from ..operators.query import ad_hoc, answer, solve
 from . import data
 
 QUERIES: dict = {}
@@ -337,6 +337,13 @@ def self_negation_broken(spark, sf_dir):
     return found.select(F.col("subject").alias("x")).distinct()
 
 
+@query("ad_hoc_sql", "select r.o as region, count(*)::bigint as n from in_nation n join in_region r on n.o = r.s where n.s like 'customer.%' group by 1")
+def ad_hoc_sql(spark, sf_dir):
+    program = parse("RULE home:\nIF ?c#in_nation@?n AND ?n#in_region@?r\nTHEN ?c#lives_in@?r.")
+    closed = Closure(data.places(spark, sf_dir), program.all_rules())
+    return ad_hoc(closed, "select object as region, count(*) as n from {rel_livesIn} where subject like 'customer.%' group by object", [rel("lives_in")])
+
+
 # ---- a program of 84 rules
 
 

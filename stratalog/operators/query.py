@@ -23,6 +23,12 @@ def solve(closed: Closure, query: Query, distinct: bool = True, ordered: bool =
     return rows.orderBy(*rows.columns) if ordered else rows
 
 
+def ad_hoc(closed: Closure, text: str, relations: list[str]) -> DataFrame:
+    """Spark SQL over relations, each under its own name (dots as underscores) with subject, object, attrs."""
+    tables = {name.replace(".", "_"): closed.relation(name).select("subject", "object", "attrs") for name in relations}
+    return closed.facts.sparkSession.sql(text.format_map({k: f"{{{k}}}" for k in tables}), **tables)
+
+
 def answer(program: Program, facts: DataFrame, name: str, distinct: bool = True, ordered: bool = False, **options) -> DataFrame:
     """A query of a program over facts in a table; only rules that can matter to it are evaluated."""
     query = program.query(name)

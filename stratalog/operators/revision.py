@@ -102,6 +102,25 @@ def drift(log: DataFrame, base: int, current: int) -> DataFrame:
     return b.join(a, key, "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, key, "left_anti").withColumn("change", F.lit("removed")))
 
 
+def drift_report(log: DataFrame, edges: DataFrame, base: int, current: int, max_depth: int = 8, max_nodes: int = 1000) -> tuple[DataFrame, bool]:
+    """What stands between a context at ``base`` and the log at ``current``: kind and detail; and whether that is all.
+
+    Kinds: changed (a subject some of whose facts came or went), affected (what
+    depends on one, within the bounds, over ``edges`` as they are now) and, in
+    order, the steps of a plan: discard, load, invalidate, revalidate, preflight.
+    """
+    from .impact import impact
+
+    changed = drift(log, base, current).select(F.col("subject").alias("node")).distinct()
+    found = impact(edges, changed, max_depth + 1, max_nodes + 1)
+    beyond = found.where((F.col("distance") > max_depth) | (F.col("rank") > max_nodes)).isEmpty()
+    affected = found.where((F.col("distance") <= max_depth) & (F.col("rank") <= max_nodes)).select("node").distinct()
+    steps = [("1 discard", "assumptions"), ("2 load", str(current)), ("3 invalidate", "affected"), ("4 revalidate", "obligations"), ("5 preflight", str(current))]
+    plan = log.sparkSession.createDataFrame(steps, "kind string, detail string")
+    rows = changed.select(F.lit("changed").alias("kind"), F.col("node").alias("detail")).unionByName(affected.select(F.lit("affected").alias("kind"), F.col("node").alias("detail")))
+    return (rows.unionByName(plan) if base != current else rows), beyond
+
+
 def publish(spark, path: str, operations: DataFrame, expected: int, event: str = "delta") -> int:
     """Appends operations as the next revision of the log at ``path`` if its head is ``expected``.
 

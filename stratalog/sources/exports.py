@@ -77,20 +77,21 @@ def fact_lines(facts: DataFrame) -> DataFrame:
     return facts.select(F.concat_ws("\t", F.lit("fact"), *[escaped(F.col(c)) for c in KEY[:3]], "attrs_key").alias("line"))
 
 
-def facts_of_lines(lines: DataFrame) -> DataFrame:
-    """The facts of ``fact_lines``."""
-    parts = F.split("line", "\t", -1)
+def plain(c):
+    """A value as it was before it was escaped."""
+    from ..language.names import ESCAPES
 
-    def plain(c):
-        from ..language.names import ESCAPES
+    for char, code in reversed(ESCAPES.items()):
+        c = F.replace(c, F.lit(code), F.lit(char))
+    return c
 
-        for char, code in reversed(ESCAPES.items()):
-            c = F.replace(c, F.lit(code), F.lit(char))
-        return c
 
+def facts_of_lines(lines: DataFrame, *keep: str) -> DataFrame:
+    """The facts of ``fact_lines``, with further columns that are to be kept."""
+    parts = F.split("line", "\t", -1)
     pairs = F.filter(F.split(F.get(parts, F.lit(4)), ";"), lambda p: p != "")
     entry = lambda p: F.struct(plain(F.substring_index(p, "=", 1)).alias("key"), plain(F.substring(p, F.length(F.substring_index(p, "=", 1)) + 2, F.length(p))).alias("value"))
-    return lines.where(F.col("line").startswith("fact\t")).select(*[plain(F.get(parts, F.lit(i + 1))).alias(c) for i, c in enumerate(KEY[:3])], F.map_from_entries(F.transform(pairs, entry)).alias("attrs"), F.get(parts, F.lit(4)).alias("attrs_key"))
+    return lines.where(F.col("line").startswith("fact\t")).select(*[plain(F.get(parts, F.lit(i + 1))).alias(c) for i, c in enumerate(KEY[:3])], F.map_from_entries(F.transform(pairs, entry)).alias("attrs"), F.get(parts, F.lit(4)).alias("attrs_key"), *keep)
 
 
 def rule_line(r: Rule) -> str:

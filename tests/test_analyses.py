@@ -357,3 +357,23 @@ def test_plugins_bundles_attestations(spark):
     assert got == {"x": (True, "lts"), "y": (False, None), "z": (False, None)}
     frame = lambda rows: spark.createDataFrame(rows, "path string, sha256 string")
     assert {tuple(x) for x in governance.attest(frame([("a", "1"), ("b", "2"), ("c", "3")]), frame([("a", "1"), ("b", "9"), ("d", "4")])).collect()} == {("a", "ok"), ("b", "changed"), ("c", "missing"), ("d", "unlisted")}
+
+
+def test_envelope(spark):
+    from stratalog.sources import envelope
+
+    rows = [("a\tb", "rel.x", "c\n;=d\\", {"k;=": "s:v\t1"}, 1, "e1", "assert"), ("a", "rel.x", "b", {}, 2, "e\t2", "retract")]
+    log = spark.createDataFrame([(s, r, o, a, "", n, e, op) for s, r, o, a, n, e, op in rows], "subject string, relation string, object string, attrs map<string,string>, attrs_key string, revision bigint, event string, op string")
+    log = log.withColumn("attrs_key", T.key_of(F.col("attrs")))
+    edges = spark.createDataFrame([("e1", "e\t2")], "left string, right string")
+    lines = envelope.lines_of(log, edges, "m").select("line")
+    found, back = envelope.read(lines)
+    key = lambda f: sorted((r["subject"], r["object"], str(r["attrs"]), r["revision"], r["event"], r["op"]) for r in f.collect())
+    assert key(found) == key(log) and [tuple(r) for r in back.collect()] == [("e1", "e\t2")]
+    for bad in ("record\tx\te\tassert\ta\tb\tc\t", "record\t1\te\tset\ta\tb\tc\t", "other\t1", "before\ta"):
+        with pytest.raises(ValueError):
+            envelope.read(lines.unionByName(spark.createDataFrame([(bad,)], "line string")))
+    with pytest.raises(ValueError):
+        envelope.read(lines.where("line not like 'revisions%'"))
+    with pytest.raises(ValueError):
+        envelope.read(lines.unionByName(lines))
