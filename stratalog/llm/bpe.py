@@ -14,10 +14,16 @@ the right spine of the left token and the left spine of the right one.  A pair
 fails if a merge across the border exists between two spine members that are
 both present when that merge's turn comes.
 
-Defined results: a null or empty text has no tokens.  The strings of special
-tokens are matched in raw text before anything else, as the library does.
-Rows are independent, so repeated rows, ties and further columns (which are
-kept out of the result) change nothing.
+Tokenizer files are taken if they cut and normalise text in the one way that is
+built in here (``NORMALIZER``, ``PRE_TOKENIZER``); others are refused, since
+their ids would be wrong without a sign.  Special tokens come from the file.
+
+Defined results: a null or empty text has no tokens, an empty table gives no
+rows.  The strings of special tokens are matched in raw text before anything
+else, as the library does.  Rows are independent, so repeated rows, ties and
+further columns (which are kept out of the result) change nothing.  A very long
+text is held whole, once as text and once as ids; pieces met lately are
+remembered in bounded number.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 import re
 import struct
 import unicodedata
@@ -70,6 +77,31 @@ def wide_patterns() -> tuple[regex.Pattern, regex.Pattern]:
     return regex.compile(PIECES.format(L=_class("L"), N=_class("N"), S=r"\s")), regex.compile(f"[{_class('Cn')}]")
 
 
+#: How the tokenizer files that are supported normalise and cut text, and their model's settings.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": END, "byte_fallback": False, "ignore_merges": False}
+
+
+def supported(file: dict) -> list[str]:
+    """The strings of a tokenizer file's special tokens; raises if the file works in another way than this module."""
+    for part, expected in (("normalizer", NORMALIZER), ("pre_tokenizer", PRE_TOKENIZER), ("decoder", None)):
+        if file.get(part) != expected:
+            raise ValueError(f"a tokenizer with another {part} is not supported")
+    for setting, expected in MODEL.items():
+        if file["model"].get(setting, expected) != expected:
+            raise ValueError(f"a model with another {setting} is not supported")
+    if any(t.get(k) for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("special tokens that take more than their own string are not supported")
+    return [t["content"] for t in file["added_tokens"]]
+
+
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte: itself if printable in Latin-1, else the next free code point from 256 on."""
     keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -90,7 +122,9 @@ class Vocabulary:
         model = file["model"]
         ids: dict[str, int] = model["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        names_of_special = supported(file)
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        self.mark = os.path.commonprefix(names_of_special)  # what every text with a special token has
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         names = {i: t for t, i in {**ids, **self.special}.items()}
         size = max(names) + 1
@@ -222,7 +256,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
         v, out = self.v, []
-        for part in v.special_split.split(text) if "<|" in text and v.special_split else [text]:
+        for part in v.special_split.split(text) if v.special_split and v.mark in text else [text]:
             if part in v.special:
                 out.append(pack([v.special[part]]))
             elif (pieces := pieces_of(part)) is not None:

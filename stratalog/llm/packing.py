@@ -23,6 +23,8 @@ left out.  A very long text is held whole once, as its packed ids.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -47,6 +49,9 @@ class Ids:
     """
 
     def __init__(self, path: str, limit: int = 250_000):
+        with open(path, encoding="utf-8") as f:
+            special = bpe.supported(json.load(f))
+        self.special, self.mark = bool(special), os.path.commonprefix(special)
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = common.Remembered(self._piece, limit)
 
@@ -54,7 +59,7 @@ class Ids:
         return bpe.pack([t.id for t in self.tokenizer.model.tokenize("".join([bpe.SYMBOLS[b] for b in piece.encode()]))])
 
     def encode(self, text: str) -> bytes:
-        pieces = None if "<|" in text else bpe.pieces_of(text)
+        pieces = None if self.special and self.mark in text else bpe.pieces_of(text)
         if pieces is None:
             return bpe.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.pieces.__getitem__, pieces))

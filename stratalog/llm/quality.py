@@ -13,7 +13,10 @@ judged by characters only.  So there are at most one reference more than lists.
 
 Defined results: a null or empty text has no words, fails the base rule and is
 dropped; if no document makes a reference, only the base rule judges; repeated
-rows are each returned; further columns are left out by ``judge``.
+rows are each returned; a distance that equals its threshold passes; an empty
+table gives no rows; further columns, whatever their names, are left out by
+``judge``.  A very long text makes arrays of as many elements as it has words,
+and time goes with their sorting.
 """
 
 from __future__ import annotations

@@ -19,7 +19,10 @@ hashes, round by round, so no task holds more than a part.
 Defined results: a null or empty text has no words; a null doc_id comes before
 all others; rows that share doc_id and text are one document (neither is
 earlier, so neither loses words to the other); rows that share doc_id only are
-separate documents, ordered by a checksum of the text.
+separate documents, ordered by a checksum of the text; of windows that start
+alike none is a tie, as start and document order them; an empty table gives no
+rows; further columns, whatever their names, are kept, or left out with
+``digest``.  A very long text is hashed in chunks and cut into stretches.
 """
 
 from __future__ import annotations

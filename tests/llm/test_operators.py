@@ -562,6 +562,26 @@ def test_bpe_is_the_librarys(text):
     assert bpe.encoder(PATH).v.decode(ids).decode() == library.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        file = json.load(f)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "ByteLevel"}}):
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps({**file, **change}))
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.Vocabulary(str(other))
+        with pytest.raises(ValueError, match="not supported"):
+            packing.Ids(str(other))
+    renamed = tmp_path / "renamed.json"
+    renamed.write_text(json.dumps({**file, "added_tokens": [{**t, "content": t["content"].replace("<|", "[[").replace("|>", "]]")} for t in file["added_tokens"]]}))
+    library = Tokenizer.from_file(str(renamed))
+    for text in ("a [[endoftext]] b", "<|endoftext|>", "[[", "[[startoftext]][[endoftext]]"):
+        want = bpe.pack(library.encode(text, add_special_tokens=False).ids)
+        assert bpe.Encoder(bpe.Vocabulary(str(renamed))).encode(text) == want and packing.Ids(str(renamed)).encode(text) == want
+
+
 # ---- 10
 
 
