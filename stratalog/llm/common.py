@@ -48,6 +48,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def unpacked(columns: list[str], **replaced):
+    """Columns of a struct column ``row``, some replaced."""
+    return [replaced.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+
+
 def words_of(text):
     """Column of the words of a text column; null and empty texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), WORD_BREAK)

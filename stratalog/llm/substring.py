@@ -374,7 +374,8 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = 4, digest: bool = Fals
     found = repeats(docs.select("doc_id", "text"), k, m, **parameters)
     by_doc = found.groupBy("doc", "check").agg(F.collect_list(F.struct("start", "windows")).alias("__runs"))
     rows = docs.select("doc_id", "text") if digest else docs
-    keyed = rows.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "__check": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
+    # all columns travel as one, so that no name clashes
+    keyed = rows.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("__doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("__check"))
     joined = keyed.join(by_doc.withColumnsRenamed({"doc": "__doc", "check": "__check"}), ["__doc", "__check"], "left").drop("__doc", "__check")
 
     def kept(text: str | None, runs) -> tuple[int, list[bytes]]:
@@ -409,8 +410,9 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = 4, digest: bool = Fals
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     if digest:
-        return joined.select(F.col("doc_id").cast("bigint"), "text", "__runs").mapInArrow(digests, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
-    return joined.select(*docs.columns, "__runs").mapInArrow(texts, docs.schema)
+        return joined.select(F.col("row.doc_id").cast("bigint"), "row.text", "__runs").mapInArrow(digests, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    runs = "__runs" + "_" * max(map(len, docs.columns))  # a name that no column has
+    return joined.select(*common.unpacked(docs.columns), F.col("__runs").alias(runs)).mapInArrow(texts, docs.schema)
 
 
 #: ``remove_repeats(digest=True)`` over ``documents`` for DuckDB.

@@ -47,6 +47,27 @@ def test_stages_against_brute_force(spark, tables, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, packed))
 
 
+def test_odd_tables(spark, tmp_path):
+    """An empty table; null columns, repeated rows and further columns with clashing names."""
+    schema = brute.SCHEMA + ", node bigint, terms string, `__spans` int, windows int, `__doc` int, `__runs` int, row int"
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    empty = spark.createDataFrame([], schema)
+    text = " ".join(f"word{i}" for i in range(40)) + " x@mail.example.com"
+    rows = [(1, text, None, None, None, 1, "t", 2, 3, 4, 5, 6), (1, text, None, None, None, 1, "t", 2, 3, 4, 5, 6), (2, text, "en", "s", 9, 1, "t", 2, 3, 4, 5, 6), (3, *[None] * 11), (4, "", "en", "s", 0, 4, "", 0, 0, 0, 0, 0), (None, "alone here", "en", "s", 1, 5, "u", 6, 7, 8, 9, 10)]
+    for docs, kept in ((empty, []), (spark.createDataFrame(rows, schema), [1, 1, 3, None])):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == empty.columns, name
+            path = f"{tmp_path}/{name}{len(kept)}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+        found = sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+        assert [r["doc_id"] for r in found] == kept and all("@" not in (r["text"] or "") for r in found)
+        assert not kept or [tuple(r)[5:] for r in found] == [(1, "t", 2, 3, 4, 5, 6)] * 2 + [(None,) * 7, (5, "u", 6, 7, 8, 9, 10)]
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert packed.count() == len(kept)
+
+
 def test_held_out_matches_crc32(spark):
     import zlib
 
