@@ -272,8 +272,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[li
     named = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     share = min(1.0, sample / max(1, named.count()))
     chosen = named.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    # at most about ``sample`` rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()
+    few = chosen.count() <= 2 * sample  # about ``sample`` rows of two numbers, as the hash deals them
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen) if few else chosen, "doc_id").select("doc_id", "text", "toxic").toPandas()
     rows = rows.sort_values(["doc_id", "text"])
     return rows["text"].tolist(), rows["toxic"].to_numpy()
 
