@@ -12,16 +12,17 @@ from ..plans.analysis import needed
 from .fixpoint import Closure
 
 
-def decide(facts: DataFrame, rules: list[Rule], requests: DataFrame, relations: set[str] | None = None, **options) -> DataFrame:
+def decide(facts: DataFrame, rules: list[Rule], requests: DataFrame, relations: set[str] | None = None, closed: Closure | None = None, **options) -> DataFrame:
     """``requests`` (subject, relation, object, attrs_key) with decision (allow, deny), source (direct, derived, none) and candidate_rules.
 
     All requests are answered by two joins on the fact's key.  ``relations``,
     if given, are those that requests may name: only rules that can matter to
     them are evaluated, and others are denied unless stored.  Candidate rules
     are those with the relation in their head, by name, for derived facts.
+    ``closed`` is the facts' closure where there is one already.
     """
     rules = needed(rules, relations) if relations else rules
-    closed = Closure(facts, rules, **options)
+    closed = closed or Closure(facts, rules, **options)
     asked = sorted(relations) if relations else sorted({r.head.relation for r in rules})
     made = T.union([closed.relation(n).select(*T.KEY) for n in asked]) if asked else T.empty(facts.sparkSession).select(*T.KEY)
     requests = requests.select(*T.KEY)
@@ -40,8 +41,9 @@ def decide(facts: DataFrame, rules: list[Rule], requests: DataFrame, relations:
 def decide_one(facts: DataFrame, rules: list[Rule], request: Atom, **options) -> dict:
     """The decision on one request, with the numbers of stored and closed facts."""
     row = facts.sparkSession.createDataFrame([(request.subject, request.relation, request.object, attrs_key(dict(request.attrs)))], "subject string, relation string, object string, attrs_key string")
-    found = decide(facts, rules, row, **options).first().asDict()
-    return found | {"base_facts": T.distinct(facts).count(), "closed_facts": Closure(facts, rules, **options).all().count()}
+    closed = Closure(facts, rules, **options)
+    found = decide(facts, rules, row, closed=closed).first().asDict()
+    return found | {"base_facts": T.distinct(facts).count(), "closed_facts": closed.all().count()}
 
 
 def report(decisions: DataFrame) -> DataFrame:

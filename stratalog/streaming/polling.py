@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.ordering import number_rows
 from ..operators.revision import LOG_SCHEMA, snapshot
 from ..sources import adapters
 from ..sources.records import edges, ingest
@@ -67,10 +68,11 @@ def start(spark: SparkSession, spec: dict, log: str, checkpoint: str, first_revi
 
 def stream_records(spark: SparkSession, path: str, spec_id: str, log: str, checkpoint: str, first_revision: int = 1, available_now: bool = True) -> StreamingQuery:
     """Files of JSON lines that arrive in a folder, each micro-batch a revision of the log."""
-    lines = spark.readStream.text(path).where(F.trim("value") != "")
+    lines = spark.readStream.text(path).select(F.col("_metadata.file_path").alias("path"), "value").where(F.trim("value") != "")
 
     def batch(rows: DataFrame, number: int) -> None:
-        records = rows.select(F.monotonically_increasing_id().alias("record_no"), F.col("value").alias("body"))
+        # numbered by what they are, so that a batch that is retried numbers them alike
+        records = number_rows(rows, ["path", "value"], "record_no").select("record_no", F.col("value").alias("body"))
         ingest(records, spec_id, 0, first_revision + number).write.mode("overwrite").parquet(f"{log}/source={spec_id.replace(':', '_')}/batch={first_revision + number}")
 
     writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
