@@ -44,6 +44,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
