@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise, scratch  # noqa: F401  (used by the operators from here)
+from ..storage import discard, materialise, scratch  # noqa: F401  (used by the operators from here)
 
 #: Runs of anything but space, tab, LF, VT, FF and CR are words.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
