@@ -228,8 +228,8 @@ def fit(texts: list[str], toxic: np.ndarray, sentences: int = 6_000, rounds: int
         theta += 0.5 * grad / np.sqrt(square + 1e-8)
     weights = {f: float(x) for f, x in zip(data.names, theta) if abs(x) > 0.01}
     model = Model(weights, float(theta[n]), theta[n + 1 :].reshape(2, 2).copy(), 1.0, 0.0)
-    look = common.Remembered(model.token_score, 50_000)
-    best = np.concatenate([greatest(token_logits([tokens_of(t) for t in texts[i : i + 500]], model, look)) for i in range(0, len(texts), 500)])
+    look = Scores(model)
+    best = np.concatenate([greatest(token_logits([tokens_of(t) for t in texts[i : i + 500]], look)) for i in range(0, len(texts), 500)])
     model.slope, model.intercept = logistic(best, toxic)
     return model
 
@@ -245,21 +245,39 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return max(float(theta[0]), 1e-3), float(theta[1])
 
 
-def token_logits(lists: list[list[str]], model: Model, look) -> list[np.ndarray]:
+class Scores:
+    """``Model.token_score`` of words, remembered as rows of one table for about ``limit`` words."""
+
+    def __init__(self, model: Model, limit: int = 400_000):
+        self.model, self.limit = model, limit
+        self.place: dict[str, int] = {}
+        self.rows = array("d")
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self.place) > self.limit:
+            self.place, self.rows = {}, array("d")
+        for w in set(words) - self.place.keys():
+            self.place[w] = len(self.place)
+            self.rows.extend(self.model.token_score(w))
+        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        return np.frombuffer(self.rows).reshape(-1, 3)[at]
+
+
+def token_logits(lists: list[list[str]], look: Scores) -> list[np.ndarray]:
     """Marginal log-odds of every token of each list."""
     lengths = np.array([len(t) for t in lists], dtype=np.int64)
     ends = np.cumsum(lengths)
     total = int(lengths.sum())
     if not total:
         return [np.empty(0) for _ in lists]
-    parts = np.fromiter((x for words in lists for w in words for x in look[w]), dtype=np.float64, count=3 * total).reshape(-1, 3)
+    parts = look.of([w for words in lists for w in words])
     scores = parts[:, 0].copy()
     follows = np.ones(total, dtype=bool)
     follows[(ends - lengths)[lengths > 0]] = False
     at = np.flatnonzero(follows)
     scores[at] += parts[at - 1, 1]
     scores[at - 1] += parts[at, 2]
-    return np.split(marginal_logits(scores, lengths[lengths > 0], model.transition), ends[:-1])
+    return np.split(marginal_logits(scores, lengths[lengths > 0], look.model.transition), ends[:-1])
 
 
 def greatest(logits: list[np.ndarray]) -> np.ndarray:
@@ -294,14 +312,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = common.Remembered(model.token_score, 200_000)
+        look = Scores(model)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 texts = [t.as_py() or "" for t in batch.column(1)]
                 spans: list[list[dict]] = [[] for _ in texts]
                 if model.constant is None:
-                    logits = token_logits([tokens_of(t) for t in texts], model, look)
+                    logits = token_logits([tokens_of(t) for t in texts], look)
                     found = 1 / (1 + np.exp(-(model.slope * greatest(logits) + model.intercept)))
                     spans = [offending(t, x) if x.max(initial=-1.0) >= 0 else [] for t, x in zip(texts, logits)]
                 else:
@@ -334,13 +352,13 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = common.Remembered(model.token_score, 200_000)
+        look = Scores(model)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 texts = batch.column(batch.schema.names.index("text"))
                 if model.constant is None:
-                    best = greatest(token_logits([tokens_of(t.as_py() or "") for t in texts], model, look))
+                    best = greatest(token_logits([tokens_of(t.as_py() or "") for t in texts], look))
                     keep = model.slope * best + model.intercept < 0
                 else:
                     keep = np.full(batch.num_rows, model.constant < 0.5)

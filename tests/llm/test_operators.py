@@ -300,8 +300,8 @@ def test_context_counts_against():
     model = toxicity.fit(texts[:600], y[:600], purity=0.75)
     assert "zork" not in toxicity.telling(texts[:600], y[:600]) and "zork" in signs
     assert min(model.weights.values()) < 0 and model.weights["harmless<"] < 0
-    look = {w: model.token_score(w) for t in texts for w in toxicity.tokens_of(t)}
-    best = toxicity.greatest(toxicity.token_logits([toxicity.tokens_of(t) for t in texts[600:]], model, look))
+    look = toxicity.Scores(model)
+    best = toxicity.greatest(toxicity.token_logits([toxicity.tokens_of(t) for t in texts[600:]], look))
     wrong = int(((model.slope * best + model.intercept >= 0) != y[600:]).sum())
     by_list = sum(("zork" in t) != v for t, v in zip(texts[600:], y[600:].tolist()))
     assert by_list > 20 and wrong < by_list / 4
