@@ -144,7 +144,7 @@ def telling(texts: list[str], toxic: np.ndarray, least: int = 5, purity: float =
         if y:
             bad.update({f for t in set(tokens_of(text)) for f in features(t)})
     bad = Counter({f: n for f, n in bad.items() if n >= least})
-    known = common.Remembered(lambda w: [f for f in features(w) if f in bad], 200_000)
+    known = common.Remembered(lambda w: tuple(f for f in features(w) if f in bad), 20_000)
     for text, y in zip(texts, toxic.tolist()):
         if not y:
             good.update({f for t in set(tokens_of(text)) for f in known[t]})
@@ -164,6 +164,7 @@ class Labelled:
     def __init__(self, rows: list[tuple[list[str], list[int]]], least: int = 5):
         seen = Counter(f for words, _ in rows for found in in_context(words) for f in found)
         self.names = sorted(f for f, n in seen.items() if n >= least)
+        del seen
         number = {f: i for i, f in enumerate(self.names)}
         place, feature, tag = array("q"), array("q"), array("q")
         for words, tags in rows:
@@ -201,7 +202,7 @@ def fit(texts: list[str], toxic: np.ndarray, sentences: int = 6_000, rounds: int
     if not toxic.any() or toxic.all():
         return Model({}, 0.0, np.zeros((2, 2)), 0.0, 0.0, float(toxic.mean()) if len(toxic) else 0.0)
     signs = telling(texts, toxic, purity=purity)
-    sign = common.Remembered(lambda w: int(not signs.isdisjoint(features(w))), 50_000)
+    sign = common.Remembered(lambda w: int(not signs.isdisjoint(features(w))), 20_000)
     drawn: tuple[list, list] = ([], [])  # sentences without and with a toxic token, and how many there were
     met = [0, 0]
     pick = random.Random(0)
@@ -228,8 +229,9 @@ def fit(texts: list[str], toxic: np.ndarray, sentences: int = 6_000, rounds: int
         theta += 0.5 * grad / np.sqrt(square + 1e-8)
     weights = {f: float(x) for f, x in zip(data.names, theta) if abs(x) > 0.01}
     model = Model(weights, float(theta[n]), theta[n + 1 :].reshape(2, 2).copy(), 1.0, 0.0)
-    look = Scores(model)
-    best = np.concatenate([greatest(token_logits([tokens_of(t) for t in texts[i : i + 500]], look)) for i in range(0, len(texts), 500)])
+    del data, drawn
+    look = Scores(model, 20_000)
+    best = np.concatenate([greatest(token_logits([tokens_of(t) for t in texts[i : i + 100]], look)) for i in range(0, len(texts), 100)])
     model.slope, model.intercept = logistic(best, toxic)
     return model
 
