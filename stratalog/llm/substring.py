@@ -410,7 +410,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = 4, digest: bool = Fals
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     if digest:
-        return joined.select(F.col("row.doc_id").cast("bigint"), "row.text", "__runs").mapInArrow(digests, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+        return joined.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").alias("text"), "__runs").mapInArrow(digests, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     runs = "__runs" + "_" * max(map(len, docs.columns))  # a name that no column has
     return joined.select(*common.unpacked(docs.columns), F.col("__runs").alias(runs)).mapInArrow(texts, docs.schema)
 
