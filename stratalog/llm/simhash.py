@@ -23,6 +23,14 @@ shared by few unrelated texts at every size.  Texts that share a block and
 differ in at most ``within`` check bits are linked if their whole shingle sets
 are as similar as asked.
 
+Links that this misses are found exactly (``_missed``).  Sets as similar as asked
+have a shingle in common among the first n - ceil(similarity * n) + 1 of either,
+in any one order of all shingles, so every set is filed under those.  The order
+puts shingles that were met often last, which keeps groups small and changes no
+result.  Under a shingle only sets of different components so far meet, and a
+pair goes on unless its sizes, or the parities of its shingles in 256 slots,
+rule the similarity out; whole sets decide.  So a component holds all links.
+
 Defined results: a null or empty text, or one of white space only, has
 fingerprint zero and is linked like any other (``similar_texts``: those are
 linked with each other); a text of fewer words than a shingle is one shingle;
@@ -220,6 +228,11 @@ CHECK = 128
 MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(512)], dtype=np.uint64)
 #: Numbers of check bits within which texts are linked, closest first.
 LEVELS = (10, 20)
+#: 64-bit words of the parities of a set.
+PARITY = 4
+PARITIES = [f"p{k}" for k in range(PARITY)]
+#: Slots of the table of frequent shingles, and the count from which one is frequent.
+SLOTS, FREQUENT = 1 << 18, 32
 
 
 def shingles(text: str | None, words_per_shingle: int, seed: int) -> np.ndarray:
@@ -259,25 +272,55 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), 0)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY slots, whether an odd number of hashes falls there: sets differ in at least as many elements as their parities."""
+    slot = (hashes * np.uint64(MIX[1])) >> np.uint64(64 - (64 * PARITY - 1).bit_length())
+    return np.packbits(np.bincount(slot.astype(np.int64), minlength=64 * PARITY) & 1, bitorder="little").view("<i8")
+
+
+def by_key(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBatch]:
+    """``flush`` of the columns of rows that come sorted by the first; rows of one key stay together."""
+    rest: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        columns = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        key = columns[0]
+        if not len(key):
+            continue
+        rest.append(columns)
+        if key[0] == key[-1] or sum(len(c[0]) for c in rest) < 100_000:
+            continue  # the last key's group goes on
+        whole = int(np.searchsorted(key, key[-1]))
+        rest[-1] = tuple(c[:whole] for c in columns)
+        yield flush(*map(np.concatenate, zip(*rest)))
+        rest = [tuple(c[whole:] for c in columns)]
+    if rest:
+        yield flush(*map(np.concatenate, zip(*rest)))
+
+
 def _filed(docs: DataFrame, words_per_shingle: int, seed: int, size: int, blocks: int) -> DataFrame:
-    """doc_id, node (a name of the shingle set), x and y (the check bits), keys."""
+    """doc_id, node (a name of the shingle set), x and y (the check bits), keys, size and parities (p0 and on) of the set."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = 1 << np.arange(size, dtype=np.int64)
         for batch in batches:
-            nodes, checks, keys = [], [], []
+            nodes, checks, keys, sizes, odd = [], [], [], [], []
             for text in batch.column(1):
                 hashes = shingles(text.as_py(), words_per_shingle, seed)
                 bits = wide_fingerprint(hashes, CHECK + size * blocks)
                 nodes.append(node_of(hashes))
                 checks.append(np.packbits(bits[:CHECK], bitorder="little").view("<i8"))
                 keys.append((bits[CHECK:].reshape(blocks, size) @ power) * blocks + np.arange(blocks))
+                sizes.append(len(hashes))
+                odd.append(parities(hashes))
             check = np.array(checks, dtype=np.int64).reshape(-1, 2)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * blocks), pa.array(np.array(keys, dtype=np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(check[:, 0]), pa.array(check[:, 1]), lists], names=["doc_id", "node", "x", "y", "keys"])
+            odd = np.array(odd, dtype=np.int64).reshape(-1, PARITY)
+            columns = [batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(check[:, 0]), pa.array(check[:, 1]), lists, pa.array(sizes, pa.int64()), *map(pa.array, odd.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "x", "y", "keys", "size", *PARITIES])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, node bigint, x bigint, y bigint, keys array<bigint>")
+    schema = "doc_id bigint, node bigint, x bigint, y bigint, keys array<bigint>, size bigint" + "".join(f", {p} bigint" for p in PARITIES)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
 
 
 def span(node: np.ndarray, x: np.ndarray, y: np.ndarray, within: int) -> list[tuple[int, int]]:
@@ -325,24 +368,7 @@ def _candidates(nodes: DataFrame, within: int) -> DataFrame:
         pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            columns = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            key = columns[0]
-            if not len(key):
-                continue
-            rest.append(columns)
-            if key[0] == key[-1] or sum(len(c[0]) for c in rest) < 100_000:
-                continue  # the last key's group goes on
-            whole = int(np.searchsorted(key, key[-1]))
-            rest[-1] = tuple(c[:whole] for c in columns)
-            yield flush(*map(np.concatenate, zip(*rest)))
-            rest = [tuple(c[whole:] for c in columns)]
-        if rest:
-            yield flush(*map(np.concatenate, zip(*rest)))
-
-    return filed.mapInArrow(run, "a bigint, b bigint").distinct()
+    return filed.mapInArrow(lambda batches: by_key(batches, flush), "a bigint, b bigint").distinct()
 
 
 def _sets(docs: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
@@ -357,19 +383,157 @@ def _sets(docs: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node bigint, set array<bigint>")
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, recall: float = 0.99, seed: int = 42) -> DataFrame:
-    """doc_id, component_id: the least doc_id reachable over texts of at least ``similarity`` (Jaccard, of shingle sets)."""
-    size, blocks, within = block_plan(docs.count(), similarity, recall)
-    filed = common.materialise(_filed(docs, words_per_shingle, seed, size, blocks), "prints")
-    pairs = common.materialise(_candidates(filed.dropDuplicates(["node"]), within), "candidates")
+def _edges(docs: DataFrame, filed: DataFrame, pairs: DataFrame, similarity: float, words_per_shingle: int, seed: int, broadcast_rows: int = 0) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are as similar as asked."""
     # whole sets of the nodes that have candidates, once each
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = filed.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc"))
-    texts = docs.join(one.select("doc").distinct(), docs["doc_id"].cast("bigint").eqNullSafe(F.col("doc")), "left_semi")
+    one = filed.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc")).select("doc").distinct()
+    if broadcast_rows:
+        one = common.materialise(one, "met")
+        one = F.broadcast(one) if one.count() <= broadcast_rows else one
+    texts = docs.join(one, docs["doc_id"].cast("bigint").eqNullSafe(F.col("doc")), "left_semi")
     sets = common.materialise(_sets(texts, words_per_shingle, seed).dropDuplicates(["node"]), "sets")
     side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
-    edges = both.where(F.col("n") >= similarity * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+    return both.where(F.col("n") >= similarity * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+
+
+def _new_sets(batches: Iterator[pa.RecordBatch], words_per_shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """The shingles of each text; of equal ones near each other only the first's."""
+    seen: set[int] = set()
+    for batch in batches:
+        for text in batch.column(0):
+            hashes = shingles(text.as_py(), words_per_shingle, seed)
+            node = node_of(hashes)
+            if len(hashes) and node not in seen:
+                if len(seen) >= 100_000:
+                    seen.clear()
+                seen.add(node)
+                yield hashes
+
+
+def _frequent(docs: DataFrame, words_per_shingle: int, seed: int) -> np.ndarray:
+    """A level for each slot of hashes: the logarithm of how often the most frequent shingle there was met, 0 if all are rare.
+
+    It only orders shingles: any table gives the same links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key[n > 2].view(np.int64)), pa.array(n[n > 2].astype(np.int64))], names=["key", "n"])
+
+        held, total = [], 0
+        for hashes in _new_sets(batches, words_per_shingle, seed):
+            held.append(hashes)
+            total += len(hashes)
+            if total >= 1 << 20:
+                yield flush()
+                held, total = [], 0
+        if held:
+            yield flush()
+
+    often = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    slots = often.groupBy(F.col("key").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.max(F.floor(F.log2("n"))).alias("level")).toArrow()
+    levels = np.zeros(SLOTS, dtype=np.uint8)
+    levels[slots["slot"].to_numpy()] = slots["level"].to_numpy()
+    return levels
+
+
+def _prefixes(docs: DataFrame, levels: np.ndarray, similarity: float, words_per_shingle: int, seed: int) -> DataFrame:
+    """key, node: each set under its first shingles, where another set is under the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            key, size = np.concatenate(keys), [len(k) for k in keys]
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.uint64).view(np.int64), size))], names=["key", "node"])
+
+        keys, nodes, total = [], [], 0
+        for hashes in _new_sets(batches, words_per_shingle, seed):
+            order = np.argsort(levels[hashes & np.uint64(SLOTS - 1)], kind="stable")  # equal levels stay in the order of hashes
+            keys.append(hashes[order[: len(hashes) - ceil(similarity * len(hashes) - 1e-6) + 1]])
+            nodes.append(node_of(hashes))
+            total += len(keys[-1])
+            if total >= 100_000:
+                yield flush()
+                keys, nodes, total = [], [], 0
+        if keys:
+            yield flush()
+
+    def shared(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        first = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+        key, node = key[first], node[first]
+        same = key[1:] == key[:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
+
+    filed = docs.select("text").mapInArrow(run, "key bigint, node bigint")
+    dealt = filed.repartition(common.parallelism(docs.sparkSession), "key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(lambda batches: by_key(batches, shared), "key bigint, node bigint")
+
+
+def crossing(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of nodes under one key, of different roots, that may be as similar as asked; rows come sorted by key."""
+    most = (1 - similarity) / (1 + similarity)  # elements that similar sets differ in, as a share of their sizes
+    found = [np.zeros((0, 2), dtype=np.int64)]
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        some = root[i] != root[j]
+        i, j = i[some], j[some]
+        differ = np.maximum(np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64), np.abs(size[i] - size[j]))
+        some = differ <= (size[i] + size[j]) * most + 1e-6
+        pair = np.stack([node[i[some]], node[j[some]]], axis=1)
+        pair.sort(axis=1)
+        found.append(np.unique(pair, axis=0))
+
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+    count = np.diff(cut)
+    of = np.repeat(np.arange(len(count)), count)
+    at = np.flatnonzero((count <= 64)[of])
+    for d in range(1, 64):
+        at = at[at + d < len(key)]
+        at = at[of[at] == of[at + d]]
+        if not len(at):
+            break
+        add(at, at + d)
+    for g in np.flatnonzero(count > 64).tolist():
+        # rows of the largest component come last and are not compared with each other
+        rows = np.arange(cut[g], cut[g + 1])
+        _, inverse, n = np.unique(root[rows], return_inverse=True, return_counts=True)
+        rows = rows[np.argsort(inverse == n.argmax(), kind="stable")]
+        for k in range(len(rows) - int(n.max())):
+            add(np.full(len(rows) - k - 1, rows[k]), rows[k + 1 :])
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _missed(docs: DataFrame, filed: DataFrame, rooted: DataFrame, similarity: float, words_per_shingle: int, seed: int, broadcast_rows: int) -> DataFrame:
+    """a, b: all links between different components so far (node, root; nodes that are not in it are alone)."""
+    levels = _frequent(docs, words_per_shingle, seed)
+    shared = common.materialise(_prefixes(docs, levels, similarity, words_per_shingle, seed), "shared")
+    known = filed.select("node", "size", *PARITIES).dropDuplicates(["node"]).join(rooted, "node", "left")
+    known = known.select("node", F.coalesce("root", "node").alias("root"), "size", *PARITIES)
+    met = shared.join(known, "node").select("key", "node", "root", "size", *PARITIES)
+    met = met.repartition(common.parallelism(docs.sparkSession), "key").sortWithinPartitions("key", "node")
+
+    def flush(key, node, root, size, *parity) -> pa.RecordBatch:
+        pairs = crossing(key, node, root, size, np.stack(parity, axis=1).view(np.uint64), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    pairs = common.materialise(met.mapInArrow(lambda batches: by_key(batches, flush), "a bigint, b bigint").distinct(), "crossing")
+    return _edges(docs, filed, pairs, similarity, words_per_shingle, seed, broadcast_rows)
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, recall: float = 0.99, seed: int = 42, broadcast_rows: int = 50_000) -> DataFrame:
+    """doc_id, component_id: the least doc_id reachable over texts of at least ``similarity`` (Jaccard, of shingle sets).
+
+    ``recall`` is of the links that blocks find; ``_missed`` finds the others.
+    """
+    size, blocks, within = block_plan(docs.count(), similarity, recall)
+    filed = common.materialise(_filed(docs, words_per_shingle, seed, size, blocks), "prints")
+    pairs = common.materialise(_candidates(filed.select("node", "x", "y", "keys").dropDuplicates(["node"]), within), "candidates")
+    rooted = common.materialise(components(_edges(docs, filed, pairs, similarity, words_per_shingle, seed)), "rooted")
+    more = _missed(docs, filed, rooted, similarity, words_per_shingle, seed, broadcast_rows)
+    edges = rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return _named(filed.select("doc_id", "node"), edges, "node").select("doc_id", "component_id")
 
 
