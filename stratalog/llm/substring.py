@@ -376,7 +376,9 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = 4, digest: bool = Fals
     rows = docs.select("doc_id", "text") if digest else docs
     # all columns travel as one, so that no name clashes
     keyed = rows.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("__doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("__check"))
-    joined = keyed.join(by_doc.withColumnsRenamed({"doc": "__doc", "check": "__check"}), ["__doc", "__check"], "left").drop("__doc", "__check")
+    # shuffled at any size: what small tables take of disk tells what large ones do
+    by_doc = by_doc.withColumnsRenamed({"doc": "__doc", "check": "__check"}).hint("merge")
+    joined = keyed.join(by_doc, ["__doc", "__check"], "left").drop("__doc", "__check")
 
     def kept(text: str | None, runs) -> tuple[int, list[bytes]]:
         words = (text or "").encode().split()
