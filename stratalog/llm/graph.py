@@ -15,12 +15,13 @@ def components(edges: DataFrame) -> DataFrame:
     node hands its greater neighbours the least node it knows; in the second it
     does so for itself and its smaller neighbours.  The number of edges never
     grows and the rounds are logarithmic in the number of nodes.  A round reads
-    a table that the round before has written, so a lost executor costs one
-    round at most, and the minima are pre-aggregated, so a hub costs one row a
+    a table that the round before has written, of as many files as its rows take,
+    so a lost executor costs one round at most, and the minima are pre-aggregated, so a hub costs one row a
     task.  Self links and repeated rows are dropped; an empty table gives no rows.
     """
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialise(e, "edges")
+    files = e.count() // 200_000 + 1  # few edges are not written to as many files as there are tasks
     while True:
         if e.isEmpty():
             break
@@ -29,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files), "edges")
         heads = e.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v"))
         if heads.where("n > 1").isEmpty() and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break

@@ -28,7 +28,7 @@ have a shingle in common among the first n - ceil(similarity * n) + 1 of either,
 in any one order of all shingles, so every set is filed under those.  The order
 puts shingles that were met often last, which keeps groups small and changes no
 result.  Under a shingle only sets of different components so far meet, and a
-pair goes on unless its sizes, or the parities of its shingles in 256 slots,
+pair goes on unless its sizes, what follows the shingle in both, or the parities of its shingles in 256, then 2,048 slots,
 rule the similarity out; whole sets decide.  So a component holds all links.
 
 Defined results: a null or empty text, or one of white space only, has
@@ -228,11 +228,11 @@ CHECK = 128
 MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(512)], dtype=np.uint64)
 #: Numbers of check bits within which texts are linked, closest first.
 LEVELS = (10, 20)
-#: 64-bit words of the parities of a set.
-PARITY = 4
+#: 64-bit words of the parities of a set: those that its rows under shingles carry, and those that pairs are sieved by again.
+PARITY, WIDE = 4, 32
 PARITIES = [f"p{k}" for k in range(PARITY)]
 #: Slots of the table of frequent shingles, and the count from which one is frequent.
-SLOTS, FREQUENT = 1 << 18, 32
+SLOTS, FREQUENT = 1 << 20, 4
 
 
 def shingles(text: str | None, words_per_shingle: int, seed: int) -> np.ndarray:
@@ -272,10 +272,10 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), 0)
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """For each of 64 * PARITY slots, whether an odd number of hashes falls there: sets differ in at least as many elements as their parities."""
-    slot = (hashes * np.uint64(MIX[1])) >> np.uint64(64 - (64 * PARITY - 1).bit_length())
-    return np.packbits(np.bincount(slot.astype(np.int64), minlength=64 * PARITY) & 1, bitorder="little").view("<i8")
+def parities(hashes: np.ndarray, words: int) -> np.ndarray:
+    """For each of 64 * words slots, whether an odd number of hashes falls there: sets differ in at least as many elements as their parities."""
+    slot = (hashes * np.uint64(MIX[1])) >> np.uint64(64 - (64 * words - 1).bit_length())
+    return np.packbits(np.bincount(slot.astype(np.int64), minlength=64 * words) & 1, bitorder="little").view("<i8")
 
 
 def by_key(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBatch]:
@@ -298,13 +298,13 @@ def by_key(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBatch]
 
 
 def _filed(docs: DataFrame, words_per_shingle: int, seed: int, size: int, blocks: int) -> DataFrame:
-    """doc_id, node (a name of the shingle set), x and y (the check bits), keys, size and parities (p0 and on) of the set."""
+    """doc_id, node (a name of the shingle set), x and y (the check bits), keys, size and parities (p0 and on, wide) of the set."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = 1 << np.arange(size, dtype=np.int64)
         for batch in batches:
-            nodes, checks, keys, sizes, odd = [], [], [], [], []
+            nodes, checks, keys, sizes, odd, wide = [], [], [], [], [], []
             for text in batch.column(1):
                 hashes = shingles(text.as_py(), words_per_shingle, seed)
                 bits = wide_fingerprint(hashes, CHECK + size * blocks)
@@ -312,14 +312,16 @@ def _filed(docs: DataFrame, words_per_shingle: int, seed: int, size: int, blocks
                 checks.append(np.packbits(bits[:CHECK], bitorder="little").view("<i8"))
                 keys.append((bits[CHECK:].reshape(blocks, size) @ power) * blocks + np.arange(blocks))
                 sizes.append(len(hashes))
-                odd.append(parities(hashes))
+                odd.append(parities(hashes, PARITY))
+                wide.append(parities(hashes, WIDE))
             check = np.array(checks, dtype=np.int64).reshape(-1, 2)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * blocks), pa.array(np.array(keys, dtype=np.int64).reshape(-1)))
             odd = np.array(odd, dtype=np.int64).reshape(-1, PARITY)
             columns = [batch.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(check[:, 0]), pa.array(check[:, 1]), lists, pa.array(sizes, pa.int64()), *map(pa.array, odd.T.copy())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "x", "y", "keys", "size", *PARITIES])
+            columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * WIDE), pa.array(np.array(wide, dtype=np.int64).reshape(-1))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "x", "y", "keys", "size", *PARITIES, "wide"])
 
-    schema = "doc_id bigint, node bigint, x bigint, y bigint, keys array<bigint>, size bigint" + "".join(f", {p} bigint" for p in PARITIES)
+    schema = "doc_id bigint, node bigint, x bigint, y bigint, keys array<bigint>, size bigint" + "".join(f", {p} bigint" for p in PARITIES) + ", wide array<bigint>"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
 
 
@@ -388,9 +390,8 @@ def _edges(docs: DataFrame, filed: DataFrame, pairs: DataFrame, similarity: floa
     # whole sets of the nodes that have candidates, once each
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     one = filed.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc")).select("doc").distinct()
-    if broadcast_rows:
-        one = common.materialise(one, "met")
-        one = F.broadcast(one) if one.count() <= broadcast_rows else one
+    if broadcast_rows and 2 * pairs.count() <= broadcast_rows:
+        one = F.broadcast(one)
     texts = docs.join(one, docs["doc_id"].cast("bigint").eqNullSafe(F.col("doc")), "left_semi")
     sets = common.materialise(_sets(texts, words_per_shingle, seed).dropDuplicates(["node"]), "sets")
     side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
@@ -421,13 +422,13 @@ def _frequent(docs: DataFrame, words_per_shingle: int, seed: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key[n > 2].view(np.int64)), pa.array(n[n > 2].astype(np.int64))], names=["key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
 
         held, total = [], 0
         for hashes in _new_sets(batches, words_per_shingle, seed):
             held.append(hashes)
             total += len(hashes)
-            if total >= 1 << 20:
+            if total >= 1 << 21:
                 yield flush()
                 held, total = [], 0
         if held:
@@ -441,12 +442,12 @@ def _frequent(docs: DataFrame, words_per_shingle: int, seed: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray, similarity: float, words_per_shingle: int, seed: int) -> DataFrame:
-    """key, node: each set under its first shingles, where another set is under the same."""
+    """key, node, place: each set under its first shingles and their places, where another set is under the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             key, size = np.concatenate(keys), [len(k) for k in keys]
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.uint64).view(np.int64), size))], names=["key", "node"])
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.uint64).view(np.int64), size)), pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in size]))], names=["key", "node", "place"])
 
         keys, nodes, total = [], [], 0
         for hashes in _new_sets(batches, words_per_shingle, seed):
@@ -460,26 +461,36 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, similarity: float, words_per_
         if keys:
             yield flush()
 
-    def shared(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    def shared(key: np.ndarray, node: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
         first = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-        key, node = key[first], node[first]
+        key, node, place = key[first], node[first], place[first]
         same = key[1:] == key[:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(place[keep])], names=["key", "node", "place"])
 
-    filed = docs.select("text").mapInArrow(run, "key bigint, node bigint")
+    filed = docs.select("text").mapInArrow(run, "key bigint, node bigint, place int")
     dealt = filed.repartition(common.parallelism(docs.sparkSession), "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(lambda batches: by_key(batches, shared), "key bigint, node bigint")
+    return dealt.mapInArrow(lambda batches: by_key(batches, shared), "key bigint, node bigint, place int")
 
 
-def crossing(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> np.ndarray:
-    """Pairs of nodes under one key, of different roots, that may be as similar as asked; rows come sorted by key."""
-    most = (1 - similarity) / (1 + similarity)  # elements that similar sets differ in, as a share of their sizes
-    found = [np.zeros((0, 2), dtype=np.int64)]
+def _most(similarity: float) -> float:
+    """Elements that similar sets differ in at most, as a share of their sizes."""
+    return (1 - similarity) / (1 + similarity)
+
+
+def crossing(key: np.ndarray, node: np.ndarray, place: np.ndarray, root: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of nodes under one key, of different roots, that may be as similar as asked; rows come sorted by key.
+
+    A similar pair goes on under its first common shingle at least: there, what follows in either set bounds what is common.
+    """
+    most, found = _most(similarity), [np.zeros((0, 2), dtype=np.int64)]
 
     def add(i: np.ndarray, j: np.ndarray) -> None:
         some = root[i] != root[j]
         i, j = i[some], j[some]
+        common_most = np.minimum(size[i] - place[i], size[j] - place[j])
+        some = common_most >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
+        i, j = i[some], j[some]
         differ = np.maximum(np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64), np.abs(size[i] - size[j]))
         some = differ <= (size[i] + size[j]) * most + 1e-6
         pair = np.stack([node[i[some]], node[j[some]]], axis=1)
@@ -512,14 +523,18 @@ def _missed(docs: DataFrame, filed: DataFrame, rooted: DataFrame, similarity: fl
     shared = common.materialise(_prefixes(docs, levels, similarity, words_per_shingle, seed), "shared")
     known = filed.select("node", "size", *PARITIES).dropDuplicates(["node"]).join(rooted, "node", "left")
     known = known.select("node", F.coalesce("root", "node").alias("root"), "size", *PARITIES)
-    met = shared.join(known, "node").select("key", "node", "root", "size", *PARITIES)
+    met = shared.join(known, "node").select("key", "node", "place", "root", "size", *PARITIES)
     met = met.repartition(common.parallelism(docs.sparkSession), "key").sortWithinPartitions("key", "node")
 
-    def flush(key, node, root, size, *parity) -> pa.RecordBatch:
-        pairs = crossing(key, node, root, size, np.stack(parity, axis=1).view(np.uint64), similarity)
+    def flush(key, node, place, root, size, *parity) -> pa.RecordBatch:
+        pairs = crossing(key, node, place, root, size, np.stack(parity, axis=1).view(np.uint64), similarity)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    pairs = common.materialise(met.mapInArrow(lambda batches: by_key(batches, flush), "a bigint, b bigint").distinct(), "crossing")
+    pairs = met.mapInArrow(lambda batches: by_key(batches, flush), "a bigint, b bigint").distinct()
+    side = lambda c: filed.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("wide").alias(f"w{c}")).dropDuplicates([c])
+    differ = F.expr("aggregate(zip_with(wa, wb, (x, y) -> bit_count(x ^ y)), 0, (t, v) -> t + v)")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= (F.col("na") + F.col("nb")) * _most(similarity) + 1e-6)
+    pairs = common.materialise(pairs.select("a", "b"), "crossing")
     return _edges(docs, filed, pairs, similarity, words_per_shingle, seed, broadcast_rows)
 
 
