@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tasks: int = 1 << 20) -> DataFrame:
     """node, root for every node of ``edges`` (columns a and b, bigint); root is the least node it reaches.
 
     Alternates two contractions until the edges form stars.  In the first every
@@ -18,9 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     a table that the round before has written, of as many files as its rows take,
     so a lost executor costs one round at most, and the minima are pre-aggregated, so a hub costs one row a
     task.  Self links and repeated rows are dropped; an empty table gives no rows.
+    The first table is written by ``tasks`` tasks at most.
     """
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialise(e, "edges")
+    e = materialise(e.coalesce(tasks), "edges")
     files = e.count() // 200_000 + 1  # few edges are not written to as many files as there are tasks
     while True:
         if e.isEmpty():

@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, with_ids: bool = Fals
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=[x.split(" ")[0] for x in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(common.released(run), schema)
 
 
 class Packer:
@@ -179,7 +179,7 @@ def pack(items: DataFrame, capacity: int, lanes: int, open_bins: int = 256, ahea
         if held is not None and held.num_rows:
             yield placed(held, int(held.column(held.schema.names.index("__lane"))[0].as_py()))
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(common.released(run), schema)
 
 
 def lanes_for(docs: DataFrame, rows_per_lane: int = 2048) -> int:

@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42) ->
             found = np.array([fingerprint(t.as_py(), words_per_shingle, seed) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(common.released(run), "doc_id bigint, fp bigint")
 
 
 def masks(distance: int, blocks: int) -> list[int]:
@@ -195,19 +195,19 @@ def links(nodes: DataFrame, distance: int = 4, blocks: int = 7) -> DataFrame:
         if rest:
             yield flush(*map(np.concatenate, zip(*rest)))
 
-    return filed.select("key", "fp").mapInArrow(run, "a bigint, b bigint")
+    return filed.select("key", "fp").mapInArrow(common.released(run), "a bigint, b bigint")
 
 
 #: Names of nodes without a doc_id come after all doc_ids.
 LAST = (1 << 63) - 1 - (1 << 32)
 
 
-def _named(rows: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+def _named(rows: DataFrame, edges: DataFrame, key: str, tasks: int = 1 << 20) -> DataFrame:
     """doc_id, ``key``, component_id of rows with doc_id and key; ``edges`` (a, b) link keys."""
     nodes = rows.groupBy(key).agg(F.coalesce(F.min("doc_id"), F.lit(LAST) + F.pmod(F.xxhash64(key), F.lit(1 << 32))).alias("name"))
-    nodes = common.materialise(nodes, "nodes")
+    nodes = common.materialise(nodes.coalesce(tasks), "nodes")
     side = lambda c: nodes.select(F.col(key).alias(c), F.col("name").alias(f"n{c}"))
-    found = components(edges.join(side("a"), "a").join(side("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    found = components(edges.join(side("a"), "a").join(side("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")), tasks)
     rooted = nodes.join(found.withColumnRenamed("node", "name"), "name", "left").select(key, F.coalesce("root", "name").alias("component_id"))
     joined = rows.join(rooted, key)
     return joined.select("doc_id", key, F.when(F.col("component_id") < LAST, F.col("component_id")).alias("component_id"))
@@ -322,7 +322,7 @@ def _filed(docs: DataFrame, words_per_shingle: int, seed: int, size: int, blocks
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "x", "y", "keys", "size", *PARITIES, "wide"])
 
     schema = "doc_id bigint, node bigint, x bigint, y bigint, keys array<bigint>, size bigint" + "".join(f", {p} bigint" for p in PARITIES) + ", wide array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(common.released(run), schema)
 
 
 def span(node: np.ndarray, x: np.ndarray, y: np.ndarray, within: int) -> list[tuple[int, int]]:
@@ -370,7 +370,7 @@ def _candidates(nodes: DataFrame, within: int) -> DataFrame:
         pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return filed.mapInArrow(lambda batches: by_key(batches, flush), "a bigint, b bigint").distinct()
+    return filed.mapInArrow(common.released(lambda batches: by_key(batches, flush)), "a bigint, b bigint").distinct()
 
 
 def _sets(docs: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
@@ -382,7 +382,7 @@ def _sets(docs: DataFrame, words_per_shingle: int, seed: int) -> DataFrame:
             nodes = np.array([node_of(s) for s in found], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.view(np.int64) for s in found], type=pa.list_(pa.int64()))], names=["node", "set"])
 
-    return docs.select("text").mapInArrow(run, "node bigint, set array<bigint>")
+    return docs.select("text").mapInArrow(common.released(run), "node bigint, set array<bigint>")
 
 
 def _edges(docs: DataFrame, filed: DataFrame, pairs: DataFrame, similarity: float, words_per_shingle: int, seed: int, broadcast_rows: int = 0) -> DataFrame:
@@ -393,7 +393,7 @@ def _edges(docs: DataFrame, filed: DataFrame, pairs: DataFrame, similarity: floa
     if broadcast_rows and 2 * pairs.count() <= broadcast_rows:
         one = F.broadcast(one)
     texts = docs.join(one, docs["doc_id"].cast("bigint").eqNullSafe(F.col("doc")), "left_semi")
-    sets = common.materialise(_sets(texts, words_per_shingle, seed).dropDuplicates(["node"]), "sets")
+    sets = common.materialise(_sets(texts, words_per_shingle, seed).dropDuplicates(["node"]).coalesce(common.tasks(docs)), "sets")
     side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("n") >= similarity * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
@@ -434,7 +434,7 @@ def _frequent(docs: DataFrame, words_per_shingle: int, seed: int) -> np.ndarray:
         if held:
             yield flush()
 
-    often = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    often = docs.select("text").mapInArrow(common.released(run), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     slots = often.groupBy(F.col("key").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.max(F.floor(F.log2("n"))).alias("level")).toArrow()
     levels = np.zeros(SLOTS, dtype=np.uint8)
     levels[slots["slot"].to_numpy()] = slots["level"].to_numpy()
@@ -468,9 +468,9 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, similarity: float, words_per_
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep]), pa.array(place[keep])], names=["key", "node", "place"])
 
-    filed = docs.select("text").mapInArrow(run, "key bigint, node bigint, place int")
+    filed = docs.select("text").mapInArrow(common.released(run), "key bigint, node bigint, place int")
     dealt = filed.repartition(common.parallelism(docs.sparkSession), "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(lambda batches: by_key(batches, shared), "key bigint, node bigint, place int")
+    return dealt.mapInArrow(common.released(lambda batches: by_key(batches, shared)), "key bigint, node bigint, place int")
 
 
 def _most(similarity: float) -> float:
@@ -520,7 +520,7 @@ def crossing(key: np.ndarray, node: np.ndarray, place: np.ndarray, root: np.ndar
 def _missed(docs: DataFrame, filed: DataFrame, rooted: DataFrame, similarity: float, words_per_shingle: int, seed: int, broadcast_rows: int) -> DataFrame:
     """a, b: all links between different components so far (node, root; nodes that are not in it are alone)."""
     levels = _frequent(docs, words_per_shingle, seed)
-    shared = common.materialise(_prefixes(docs, levels, similarity, words_per_shingle, seed), "shared")
+    shared = common.materialise(_prefixes(docs, levels, similarity, words_per_shingle, seed).coalesce(common.tasks(docs)), "shared")
     known = filed.select("node", "size", *PARITIES).dropDuplicates(["node"]).join(rooted, "node", "left")
     known = known.select("node", F.coalesce("root", "node").alias("root"), "size", *PARITIES)
     met = shared.join(known, "node").select("key", "node", "place", "root", "size", *PARITIES)
@@ -530,11 +530,11 @@ def _missed(docs: DataFrame, filed: DataFrame, rooted: DataFrame, similarity: fl
         pairs = crossing(key, node, place, root, size, np.stack(parity, axis=1).view(np.uint64), similarity)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    pairs = met.mapInArrow(lambda batches: by_key(batches, flush), "a bigint, b bigint").distinct()
+    pairs = met.mapInArrow(common.released(lambda batches: by_key(batches, flush)), "a bigint, b bigint").distinct()
     side = lambda c: filed.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("wide").alias(f"w{c}")).dropDuplicates([c])
     differ = F.expr("aggregate(zip_with(wa, wb, (x, y) -> bit_count(x ^ y)), 0, (t, v) -> t + v)")
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(differ <= (F.col("na") + F.col("nb")) * _most(similarity) + 1e-6)
-    pairs = common.materialise(pairs.select("a", "b"), "crossing")
+    pairs = common.materialise(pairs.select("a", "b").coalesce(common.tasks(docs)), "crossing")
     return _edges(docs, filed, pairs, similarity, words_per_shingle, seed, broadcast_rows)
 
 
@@ -543,16 +543,17 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, words_per_shingle: i
 
     ``recall`` is of the links that blocks find; ``_missed`` finds the others.
     """
+    tasks = common.tasks(docs)
     size, blocks, within = block_plan(docs.count(), similarity, recall)
-    filed = common.materialise(_filed(docs, words_per_shingle, seed, size, blocks), "prints")
-    pairs = common.materialise(_candidates(filed.select("node", "x", "y", "keys").dropDuplicates(["node"]), within), "candidates")
-    rooted = common.materialise(components(_edges(docs, filed, pairs, similarity, words_per_shingle, seed)), "rooted")
+    filed = common.materialise(_filed(docs, words_per_shingle, seed, size, blocks).coalesce(tasks), "prints")
+    pairs = common.materialise(_candidates(filed.select("node", "x", "y", "keys").dropDuplicates(["node"]), within).coalesce(tasks), "candidates")
+    rooted = common.materialise(components(_edges(docs, filed, pairs, similarity, words_per_shingle, seed), tasks).coalesce(tasks), "rooted")
     more = _missed(docs, filed, rooted, similarity, words_per_shingle, seed, broadcast_rows)
     edges = rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    return _named(filed.select("doc_id", "node"), edges, "node").select("doc_id", "component_id")
+    return _named(filed.select("doc_id", "node"), edges, "node", tasks).select("doc_id", "component_id")
 
 
 def keep_representatives(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their component of ``similar_texts``: one document of each group stays."""
     stay = similar_texts(docs, **parameters).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi").coalesce(common.tasks(docs))

@@ -291,7 +291,7 @@ def cut(docs: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
         if repeated:
             yield settled_batch(*zip(*merge(repeated)), buckets)
 
-    return docs.mapInArrow(run, ROW)
+    return docs.mapInArrow(common.released(run), ROW)
 
 
 def settle(rows: DataFrame, k: int, limit: int, buckets: int, next_buckets: int) -> DataFrame:
@@ -339,7 +339,7 @@ def settle(rows: DataFrame, k: int, limit: int, buckets: int, next_buckets: int)
             yield from part(held, whole)
 
     dealt = rows.repartition(common.parallelism(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, ROW)
+    return dealt.mapInArrow(common.released(run), ROW)
 
 
 def repeats(docs: DataFrame, k: int = 20, m: int = 4, limit: int = 1_000_000, bucket_bytes: int = 200_000) -> DataFrame:
@@ -349,13 +349,12 @@ def repeats(docs: DataFrame, k: int = 20, m: int = 4, limit: int = 1_000_000, bu
     of input as Spark estimates it; a wrong estimate costs a round, not results.
     """
     common.ship(docs.sparkSession)
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = max(64, min(size // bucket_bytes, 1 << 24))
+    buckets = max(64, min(common.size_of(docs) // bucket_bytes, 1 << 24))
     slim = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text")
     rows, out = cut(slim, k, m, buckets), None
     while True:
         more = min(buckets * 16, 1 << 24)
-        found = common.materialise(settle(rows, k, limit, buckets, more), "repeats")
+        found = common.materialise(settle(rows, k, limit, buckets, more).coalesce(common.tasks(docs)), "repeats")
         settled = found.where("blob is null").drop("bucket", "blob")
         out = settled if out is None else out.unionByName(settled)
         rows, buckets = found.where("blob is not null"), more
@@ -412,9 +411,9 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = 4, digest: bool = Fals
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     if digest:
-        return joined.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").alias("text"), "__runs").mapInArrow(digests, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+        return joined.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").alias("text"), "__runs").mapInArrow(common.released(digests), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     runs = "__runs" + "_" * max(map(len, docs.columns))  # a name that no column has
-    return joined.select(*common.unpacked(docs.columns), F.col("__runs").alias(runs)).mapInArrow(texts, docs.schema)
+    return joined.select(*common.unpacked(docs.columns), F.col("__runs").alias(runs)).mapInArrow(common.released(texts), docs.schema).coalesce(common.tasks(docs))
 
 
 #: ``remove_repeats(digest=True)`` over ``documents`` for DuckDB.

@@ -328,7 +328,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     found = np.full(len(texts), model.constant)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= 0.5).astype(np.int32)), pa.array(spans, span)], names=["doc_id", "score", "predicted", "spans"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(common.released(run), schema)
 
 
 def offending(text: str, logits: np.ndarray) -> list[dict]:
@@ -366,4 +366,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
                     keep = np.full(batch.num_rows, model.constant < 0.5)
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.released(run), docs.schema)

@@ -1,10 +1,12 @@
+import glob
+
 import brute
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stratalog.llm import toxicity
+from stratalog.llm import common, toxicity
 from stratalog.llm.catalog import WORD_BPE
 from test_operators import labelled
 
@@ -75,3 +77,36 @@ def test_held_out_matches_crc32(spark):
 
     got = {r["id"]: r["h"] for r in spark.range(200).select("id", toxicity.held_out(F.col("id")).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200)} and np.mean(list(got.values())) > 0.1
+
+
+def test_files_follow_the_input(spark, tables, tmp_path):
+    """Stages of a small table write few files, however many partitions a shuffle has."""
+    folder, before = tables[0], spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs, top = spark.read.parquet(f"{folder}/documents.parquet"), common.scratch(spark, "x").removeprefix("file:").rpartition("/")[0]
+        old = set(glob.glob(f"{top}/*"))
+        for name, stage in corpus_pipeline.STAGES[1:4]:
+            stage(spark, docs, folder).write.parquet(f"{tmp_path}/{name}")
+        new = [*set(glob.glob(f"{top}/*")) - old, *glob.glob(f"{tmp_path}/*")]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(new) > 10
+    assert max(len(glob.glob(f"{d}/part-*")) for d in new) <= common.TASKS
+
+
+def test_freed_memory_is_given_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    def run(batches):
+        held = [np.ones(12_000) for _ in range(2000)]  # 192 MB in pieces below the size that has pages of its own
+        top.append(held[-1])  # what lies above the freed pieces stays in use
+        yield from batches
+
+    top, begin = [], resident()
+    assert list(common.released(run)(iter([1, 2]))) == [1, 2]
+    assert len(top) == 1 and resident() - begin < 60
